@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import exact_dedup, line_dedup, mixing, secrets
+from tidecast.llm import exact_dedup, language_id, line_dedup, mixing, multi_index, packing, secrets
 from tidecast.llm.common import read
 
 #: Weights of the mixture; nodes that aren't named weigh 1.
@@ -28,12 +28,24 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(read(spark, sf_dir, "embeddings"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(read(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op6_multi_index, op8_language_id, op9_line_dedup, op10_best_fit)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import exact_dedup, language_id, line_dedup, mixing, multi_index, packing, secrets, superminhash
+from tidecast.llm import exact_dedup, fm_index, language_id, line_dedup, mixing, multi_index, packing, secrets, suffix_array, superminhash
 from tidecast.llm.common import read
 
 #: Weights of the mixture; nodes that aren't named weigh 1.
@@ -28,6 +28,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digest(read(spark, sf_dir, "documents"))
+
+
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.digest(read(spark, sf_dir, "documents"), size=2)
 
@@ -36,6 +40,10 @@ def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(read(spark, sf_dir, "embeddings"))
 
 
+def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.digest(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(read(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op5_superminhash, op6_multi_index, op8_language_id, op9_line_dedup, op10_best_fit)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op4_suffix_array, op5_superminhash, op6_multi_index, op7_fm_index, op8_language_id, op9_line_dedup, op10_best_fit)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

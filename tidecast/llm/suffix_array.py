@@ -87,7 +87,7 @@ def _without(common: np.ndarray, stays: np.ndarray) -> np.ndarray:
     left = np.flatnonzero(stays)
     if not len(left):
         return common[:0]
-    out = np.minimum.reduceat(common, np.append(0, left[:-1] + 1)) if len(left) > 1 else common[left[:1]].copy()
+    out = np.minimum.reduceat(np.append(common, 0), np.append(0, left + 1))[:-1]
     out[0] = 0
     return out
 

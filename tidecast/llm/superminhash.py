@@ -19,6 +19,8 @@ BANDS, ROWS = 40, 5
 SHINGLE, SIMILARITY = 5, 80
 #: Shingles that a vectorised step takes at once.
 CHUNK = 1 << 14
+#: Members or hubs of a cluster in one task, and shared elements that a step of a task counts at once.
+SLICE, POSTINGS = 256, 1 << 21
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,10 +145,9 @@ def group(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, ba
     component_id is the smallest doc_id that links lead to, itself included.
 
     Equal sets are one class from the start, by partial aggregation, so copies make no pairs.  In each band bucket
-    every class is compared with the bucket's hub, its smallest id; buckets that this leaves in several components
-    compare more hubs, one of each of the smallest components, with every class of another component, in rounds until
-    each bucket is one component or all its hubs have been tried.  So no link that would join components is lost, a
-    group of any size makes pairs in proportion to it, and no bucket is gathered in one task.
+    every class is compared with the bucket's hub, its smallest id; where this leaves a bucket in several components,
+    settle() compares more hubs.  So no link between candidates that would join components is lost, a group of any
+    size makes pairs in proportion to it, and no bucket is gathered in one task.
 
     Null text or none but white space: no shingles, linked with nothing.  Rows that share an id are one document: their
     links are its links.  Rows of null id link with nothing: component_id null, kept false.  Empty table: no rows.
@@ -165,31 +166,86 @@ def group(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, ba
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = cut(full_sets(plain.join(wanted, "doc_id", "left_semi"), size), "sets")
     edges = cut(verified(pairs, sets, similarity), "edges")
-    open_members = members.select("key", "rep", (F.col("rep") == F.col("hub")).alias("tried"))
-    hubs = 8
-    while True:
-        roots = cut(components(edges), "roots")
-        placed = open_members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "tried", F.coalesce("root", "rep").alias("root"))
-        placed = placed.filter(~F.col("tried"))
-        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-        placed = cut(placed.join(split, "key"), "open")
-        if placed.isEmpty():
-            break
-        sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("next"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "root"))
-        chosen = cut(sizes.withColumn("r", rank).filter(F.col("r") <= hubs).select("key", F.col("root").alias("hub_root"), F.col("next").alias("hub")), "hubs")
-        new = attach(placed, chosen, ["key"], ["rep"], "inner").filter("root <> hub_root")
-        new = cut(new.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), "pairs")
-        edges = cut(edges.union(verified(new, sets, similarity)), "edges")
-        done = chosen.select("key", F.col("hub").alias("rep"), F.lit(True).alias("now"))
-        open_members = cut(placed.select("key", "rep", "tried").join(done, ["key", "rep"], "left").select("key", "rep", (F.col("tried") | F.coalesce("now", F.lit(False))).alias("tried")), "members")
-        hubs *= 2
+    edges = settle(edges, members.select("key", "rep"), sets, similarity)
     roots = cut(components(edges.union(several_classes(shared, labelled))), "roots")
     final = attach(labelled, roots.select(F.col("node").alias("class_id"), "root"), ["class_id"], ["doc_id"])
     component = F.when(F.col("n") > 0, F.coalesce("root", "class_id")).otherwise(F.col("doc_id"))
     return final.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def links(hubs: list[np.ndarray], sets: list[np.ndarray], similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hub, set) indices of the pairs similar to `similarity` hundredths or more, counted by the hubs' postings."""
+    none = np.zeros(0, np.int64)
+    if not hubs or not sets:
+        return none, none
+    n_hubs, n_sets = np.array([len(h) for h in hubs]), np.array([len(s) for s in sets])
+    element, hub = np.concatenate(hubs), np.repeat(np.arange(len(hubs)), n_hubs)
+    order = np.argsort(element, kind="stable")
+    element, hub = element[order], hub[order]
+    out_h, out_s, s = [], [], 0
+    while s < len(sets):
+        e = s + 1
+        while e < len(sets) and n_sets[s : e + 1].sum() * len(hubs) <= POSTINGS:
+            e += 1
+        mine, of = np.concatenate(sets[s:e]), np.repeat(np.arange(e - s), n_sets[s:e])
+        lo, hi = np.searchsorted(element, mine), np.searchsorted(element, mine, side="right")
+        n = hi - lo
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        both = np.bincount(np.repeat(of, n) * len(hubs) + hub[at], minlength=(e - s) * len(hubs)).reshape(e - s, len(hubs))
+        i, j = np.nonzero(100 * both >= similarity * (n_sets[s:e, None] + n_hubs[None, :] - both))
+        out_h.append(j)
+        out_s.append(i + s)
+        s = e
+    return np.concatenate(out_h), np.concatenate(out_s)
+
+
+def settle(edges: DataFrame, members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """edges with the links that are still needed to join what belongs together in buckets of several components.
+
+    members is (key, rep).  Buckets in more than one component form clusters, by the representatives they share.  In
+    each round a cluster's hubs, members of its smallest components, meet all its members: sets are dealt in slices
+    of SLICE members and blocks of SLICE hubs, a task counts all their intersections from postings and returns only
+    links.  A hub that has met all is done; a cluster is done when those left are of one component.  The hubs of a
+    round double, so rounds are few, and no task holds more than a slice and a block.
+    """
+    roots = cut(components(edges), "roots")
+    placed = cut(members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "placed")
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("hub")).filter("lo < hi").select("key", "hub")
+    opened = cut(attach(placed, split, ["key"], ["rep"], "inner"), "open")
+    if opened.isEmpty():
+        return edges
+    clusters = cut(components(opened.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "clusters")
+    left = cut(clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(opened.select("rep", "root").distinct(), "rep"), "left")
+    own = cut(sets.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "members"), "own")
+    hubs = SLICE
+    while True:
+        sizes = left.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+        whole = sizes.groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        whole = cut(whole.select("cluster", F.col("most.root").alias("largest"), F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "whole")
+        if whole.isEmpty():
+            return edges
+        small = sizes.join(whole, "cluster").filter("root <> largest").select("cluster", "root", "n")
+        rank = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "root", "rep"))
+        chosen = cut(left.join(small, ["cluster", "root"]).withColumn("r", rank).filter(F.col("r") <= hubs).select("cluster", "rep", F.floor((F.col("r") - 1) / SLICE).cast("int").alias("block")), "hubs")
+        blocks = chosen.groupBy("cluster").agg(F.max("block").alias("blocks"))
+        here = attach(left, whole.join(blocks, "cluster").select("cluster", "slices", "blocks"), ["cluster"], ["rep"], "inner")
+        rows = here.join(own, "rep").select("cluster", F.pmod(F.xxhash64("rep"), "slices").cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("block"), "rep", "members")
+        asked = chosen.join(own.toDF("rep", "theirs"), "rep").join(whole.select("cluster", "slices"), "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "block", "rep", "theirs")
+        asked = asked.toDF(*(f"_{c}" for c in asked.columns))
+
+        def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            a, b = theirs.column("_rep").to_numpy(), mine.column("rep").to_numpy()
+            h, s = links([np.asarray(x) for x in theirs.column("_theirs").to_numpy()], [np.asarray(x) for x in mine.column("members").to_numpy()], similarity)
+            a, b = a[h] if len(h) else a[:0], b[s] if len(s) else b[:0]
+            return pa.table({"a": pa.array(np.maximum(a, b)[a != b], pa.int64()), "b": pa.array(np.minimum(a, b)[a != b], pa.int64())})
+
+        keys = ("cluster", "slice", "block")
+        edges = cut(edges.union(rows.groupBy(*keys).cogroup(asked.groupBy(*(f"_{k}" for k in keys))).applyInArrow(meet, "a long, b long").distinct()), "edges")
+        roots = cut(components(edges), "roots")
+        left = cut(left.select("cluster", "rep").join(chosen.select("cluster", "rep"), ["cluster", "rep"], "left_anti").join(roots, F.col("rep") == F.col("node"), "left").select("cluster", "rep", F.coalesce("root", "rep").alias("root")), "left")
+        hubs *= 2
+
+
 def several_classes(shared: DataFrame, labelled: DataFrame) -> DataFrame:
     """Edges between the classes of one id that has rows in several."""
     own = labelled.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("a")).filter("a <> b")

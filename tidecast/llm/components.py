@@ -28,25 +28,34 @@ def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
     return {x: find(x) for x in list(up)}
 
 
+#: Edges that one task's union-find takes.
+FOREST = 250_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = forest(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()))
-        own = {x: r for x, r in own.items() if x != r}
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["a", "b"])
+    own = forest(pair for batch in batches for pair in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()))
+    own = {x: r for x, r in own.items() if x != r}
+    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["a", "b"])
 
 
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_task: int = FOREST) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component, itself included.
 
-    Each Arrow batch of edges shrinks to a union-find forest; then large-star and small-star rounds, each written to
-    the shared folder, link every node with the smallest it can see until nothing changes.  Only counts and a checksum
-    come to the driver.  Null ends and loops are dropped; an empty table has no components.
+    Edges are dealt to tasks of about per_task, each of which shrinks its own to a union-find forest of stars.  Of one
+    task's edges that is the answer; the forests of several meet in large-star and small-star rounds, each written to
+    the shared folder, until nothing changes.  Only counts and a checksum come to the driver.  Null ends and loops are
+    dropped; an empty table has no components.
     """
-    now = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "forest")
+    given = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b"), "given")
+    tasks = max(1, -(-given.count() // per_task))
+    now = given.repartition(tasks).mapInArrow(_contract, "a long, b long")
+    if tasks == 1:
+        return _stars(cut(now, "forest"))
+    now = cut(now.distinct(), "forest")
     seen = _print(now)
     while True:
         both = now.union(now.select("b", "a").toDF("a", "b"))
@@ -62,4 +71,8 @@ def components(edges: DataFrame) -> DataFrame:
         if told == seen:
             break
         seen = told
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return _stars(now)
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

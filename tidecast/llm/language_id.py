@@ -81,8 +81,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     language or text aren't used.  None where there is no row to learn from.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("r") <= per_lang)
-    sample = ranked.select("lang", "r", _packed("text").alias("p")).orderBy("lang", "r").collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # ids alone are ranked; the chosen, per_lang a language, then pick their texts where these are
+    chosen = rows.select("lang", "doc_id").withColumn("r", rank).filter(F.col("r") <= per_lang).filter("doc_id is not null").groupBy("lang", "doc_id").agg(F.min("r").alias("r"))
+    sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "r", _packed("text").alias("p")).collect()
+    sample.sort(key=lambda s: (s.lang, s.r, s.p))
     if not sample:
         return None
     x = np.unpackbits(np.frombuffer(b"".join(s.p for s in sample), np.uint8).reshape(len(sample), -1), axis=1)

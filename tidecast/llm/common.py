@@ -38,12 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: a later loss of executors recomputes nothing before this.
 
-    The files go when the application ends.
+    narrow writes in as many tasks as there are cores, where that is fewer.  The files go when the application ends.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark)}/tidecast-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -45,17 +45,17 @@ def _print(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, per_task: int = FOREST) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component, itself included.
 
-    Edges are dealt to tasks of about per_task, each of which shrinks its own to a union-find forest of stars.  Of one
+    edges is read twice, so it had better be a stored table.  Edges are dealt to tasks of about per_task, each of which shrinks its own to a union-find forest of stars.  Of one
     task's edges that is the answer; the forests of several meet in large-star and small-star rounds, each written to
     the shared folder, until nothing changes.  Only counts and a checksum come to the driver.  Null ends and loops are
     dropped; an empty table has no components.
     """
-    given = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b"), "given")
+    given = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     tasks = max(1, -(-given.count() // per_task))
     now = given.repartition(tasks).mapInArrow(_contract, "a long, b long")
     if tasks == 1:
-        return _stars(cut(now, "forest"))
-    now = cut(now.distinct(), "forest")
+        return _stars(cut(now, "forest", narrow=True))
+    now = cut(now.distinct(), "forest", narrow=True)
     seen = _print(now)
     while True:
         both = now.union(now.select("b", "a").toDF("a", "b"))
@@ -63,10 +63,10 @@ def components(edges: DataFrame, per_task: int = FOREST) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # small star: every node's smaller neighbours and the node itself go to the smallest
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        down = cut(down, "large")
+        down = cut(down, "large", narrow=True)
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        now = cut(small, "small")
+        now = cut(small, "small", narrow=True)
         told = _print(now)
         if told == seen:
             break

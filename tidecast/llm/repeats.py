@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tidecast.llm.arrow_text import flat, steps
 from tidecast.llm.common import attach, cut
@@ -252,18 +253,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out]
 
 
+def sieved(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with _may: false for rows whose id the table ids (doc_id) certainly lacks."""
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(ids.select(F.xxhash64("doc_id").alias("key"))))
+
+    @F.arrow_udf(BooleanType())
+    def may(key: pa.Array) -> pa.Array:
+        return pa.array(sieve.value.has(key.to_numpy()))
+
+    return docs.withColumn("_may", may(F.xxhash64(F.col(id_col).cast("long"))))
+
+
 def with_spans(docs: DataFrame, spans: DataFrame, schema: str, apply: Callable) -> DataFrame:
     """apply(doc_id, bytes of the text, merged spans) -> a row of schema, for every row of docs.
 
     Documents that a sieve of the ids with spans keeps out are done where they are; only the others' texts are moved.
     """
-    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(spans.select(F.xxhash64("doc_id").alias("key"))))
     names = [part.split()[0] for part in schema.split(", ")]
 
-    @F.arrow_udf("boolean")
-    def may(key: pa.Array) -> pa.Array:
-        return pa.array(sieve.value.has(key.to_numpy()))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = None
         for batch in batches:
@@ -274,7 +281,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, schema: str, apply: Callable)
             kinds = kinds or [pa.string() if part.split()[1] == "string" else pa.int64() for part in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names)
 
-    marked = docs.withColumn("_may", may(F.coalesce(F.xxhash64("doc_id"), F.lit(0).cast("long"))))
+    marked = sieved(docs, spans)
     still = marked.filter(~F.col("_may")).select("doc_id", "text", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))
     moved = marked.filter("_may").select("doc_id", "text").join(spans, "doc_id", "left")
     return still.mapInArrow(run, schema).union(moved.mapInArrow(run, schema))

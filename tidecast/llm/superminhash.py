@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidecast.llm.arrow_text import flat, steps
 from tidecast.llm.common import attach, cut
 from tidecast.llm.components import components
+from tidecast.llm.repeats import sieved
 from tidecast.llm.rolling import mix, words
 
 #: BANDS bands of ROWS values: two sets of similarity 0.8 share no band with probability (1 - 0.8**5)**40 = 1.2e-7.
@@ -163,11 +164,11 @@ def group(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, ba
     buckets = reps.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("_count")).filter("_count > 1").drop("_count")
     members = cut(attach(reps, buckets, ["key"], ["rep"], "inner"), "members")
     pairs = cut(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(full_sets(plain.join(wanted, "doc_id", "left_semi"), size), "sets")
+    wanted = cut(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted", narrow=True)
+    sets = cut(full_sets(sieved(plain, wanted).filter("_may").select("doc_id", "text"), size), "sets")
     edges = cut(verified(pairs, sets, similarity), "edges")
     edges = settle(edges, members.select("key", "rep"), sets, similarity)
-    roots = cut(components(edges.union(several_classes(shared, labelled))), "roots")
+    roots = cut(components(cut(edges.union(several_classes(shared, labelled)), "edges", narrow=True)), "roots", narrow=True)
     final = attach(labelled, roots.select(F.col("node").alias("class_id"), "root"), ["class_id"], ["doc_id"])
     component = F.when(F.col("n") > 0, F.coalesce("root", "class_id")).otherwise(F.col("doc_id"))
     return final.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -208,25 +209,25 @@ def settle(edges: DataFrame, members: DataFrame, sets: DataFrame, similarity: in
     links.  A hub that has met all is done; a cluster is done when those left are of one component.  The hubs of a
     round double, so rounds are few, and no task holds more than a slice and a block.
     """
-    roots = cut(components(edges), "roots")
-    placed = cut(members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "placed")
+    roots = cut(components(edges), "roots", narrow=True)
+    placed = cut(members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "placed", narrow=True)
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("hub")).filter("lo < hi").select("key", "hub")
-    opened = cut(attach(placed, split, ["key"], ["rep"], "inner"), "open")
+    opened = cut(attach(placed, split, ["key"], ["rep"], "inner"), "open", narrow=True)
     if opened.isEmpty():
         return edges
-    clusters = cut(components(opened.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "clusters")
-    left = cut(clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(opened.select("rep", "root").distinct(), "rep"), "left")
+    clusters = cut(components(cut(opened.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "near", narrow=True)), "clusters", narrow=True)
+    left = cut(clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(opened.select("rep", "root").distinct(), "rep"), "left", narrow=True)
     own = cut(sets.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "members"), "own")
     hubs = SLICE
     while True:
         sizes = left.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
         whole = sizes.groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        whole = cut(whole.select("cluster", F.col("most.root").alias("largest"), F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "whole")
+        whole = cut(whole.select("cluster", F.col("most.root").alias("largest"), F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "whole", narrow=True)
         if whole.isEmpty():
             return edges
         small = sizes.join(whole, "cluster").filter("root <> largest").select("cluster", "root", "n")
         rank = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "root", "rep"))
-        chosen = cut(left.join(small, ["cluster", "root"]).withColumn("r", rank).filter(F.col("r") <= hubs).select("cluster", "rep", F.floor((F.col("r") - 1) / SLICE).cast("int").alias("block")), "hubs")
+        chosen = cut(left.join(small, ["cluster", "root"]).withColumn("r", rank).filter(F.col("r") <= hubs).select("cluster", "rep", F.floor((F.col("r") - 1) / SLICE).cast("int").alias("block")), "hubs", narrow=True)
         blocks = chosen.groupBy("cluster").agg(F.max("block").alias("blocks"))
         here = attach(left, whole.join(blocks, "cluster").select("cluster", "slices", "blocks"), ["cluster"], ["rep"], "inner")
         rows = here.join(own, "rep").select("cluster", F.pmod(F.xxhash64("rep"), "slices").cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("block"), "rep", "members")
@@ -240,9 +241,9 @@ def settle(edges: DataFrame, members: DataFrame, sets: DataFrame, similarity: in
             return pa.table({"a": pa.array(np.maximum(a, b)[a != b], pa.int64()), "b": pa.array(np.minimum(a, b)[a != b], pa.int64())})
 
         keys = ("cluster", "slice", "block")
-        edges = cut(edges.union(rows.groupBy(*keys).cogroup(asked.groupBy(*(f"_{k}" for k in keys))).applyInArrow(meet, "a long, b long").distinct()), "edges")
-        roots = cut(components(edges), "roots")
-        left = cut(left.select("cluster", "rep").join(chosen.select("cluster", "rep"), ["cluster", "rep"], "left_anti").join(roots, F.col("rep") == F.col("node"), "left").select("cluster", "rep", F.coalesce("root", "rep").alias("root")), "left")
+        edges = cut(edges.union(rows.groupBy(*keys).cogroup(asked.groupBy(*(f"_{k}" for k in keys))).applyInArrow(meet, "a long, b long").distinct()), "edges", narrow=True)
+        roots = cut(components(edges), "roots", narrow=True)
+        left = cut(left.select("cluster", "rep").join(chosen.select("cluster", "rep"), ["cluster", "rep"], "left_anti").join(roots, F.col("rep") == F.col("node"), "left").select("cluster", "rep", F.coalesce("root", "rep").alias("root")), "left", narrow=True)
         hubs *= 2
 
 
@@ -258,5 +259,8 @@ def digest(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_co
 
 def representatives(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, columns as they were, without the rows of documents that another of their group stands for."""
-    lost = group(docs, size, id_col=id_col, text_col=text_col).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col(id_col).cast("long") == F.col("_lost"), "left_anti")
+    lost = cut(group(docs, size, id_col=id_col, text_col=text_col).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "lost")
+    # texts of ids that are certainly kept stay where they are
+    marked = sieved(docs, lost, id_col)
+    moved = marked.filter("_may").join(lost.select(F.col("doc_id").alias("_lost")), F.col(id_col).cast("long") == F.col("_lost"), "left_anti")
+    return marked.filter(~F.col("_may")).union(moved).drop("_may")

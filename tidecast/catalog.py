@@ -114,11 +114,11 @@ def panel_unpivot(spark, d):
     return panel.unpivot(panel_pivot_status(spark, d), ["day"], FLAGS)
 
 
-@query("""WITH h AS (SELECT DISTINCT date_diff('hour', TIMESTAMP '2024-01-01', ts)::BIGINT * 2 AS time FROM events), i AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS pos FROM h)
+@query("""WITH h AS (SELECT DISTINCT date_diff('day', DATE '2024-01-01', ts::DATE)::BIGINT * 2 AS time FROM events), i AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS pos FROM h)
 SELECT time, pos FROM i UNION ALL SELECT (SELECT max(time) FROM i) + 2 * k, (SELECT max(pos) FROM i) + k FROM generate_series(1, 24) g(k)""")
 def extend_index_numeric(spark, d):
-    hours = read(spark, d, "events").select((F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.lit(1704067200)) / 3600) * 2).cast("long").alias("time")).distinct()
-    return index.extend_time_index(hours.withColumn(POS, (F.row_number().over(Window.orderBy("time")) - 1).cast("long")), 24)
+    days = read(spark, d, "events").select((F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) * 2).cast("long").alias("time")).distinct()
+    return index.extend_time_index(days.withColumn(POS, (F.row_number().over(Window.orderBy("time")) - 1).cast("long")), 24)
 
 
 @query("""WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS time FROM orders), i AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS pos FROM m)

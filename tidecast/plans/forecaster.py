@@ -97,7 +97,7 @@ class BaseForecaster:
             return pd.DataFrame(out)
 
         schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + DRAWS
-        grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0))
+        grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit("all"))
         self.posterior_ = grouped.applyInPandas(run, schema).persist()
         self.data_, self.t_obs_ = data, data.agg(F.max(POS)).first()[0] + 1
         self.had_covariates_ = bool(names)

@@ -8,23 +8,21 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step takes at once; one longer text goes by itself.
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets): text i is bytes[offsets[i]:offsets[i + 1]]; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
-        column = column.cast(pa.large_binary())
-    else:
-        column = column.cast(pa.large_string())
     if column.null_count:
-        column = column.fill_null(b"" if pa.types.is_large_binary(column.type) else "")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    # offsets are read as they are: a cast would copy the text
+    width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    offsets = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return data, offsets
 

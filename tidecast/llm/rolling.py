@@ -22,7 +22,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and INVERSE ** i for i < n."""
     if len(_powers["up"]) < n:
         for name, base in (("up", BASE), ("down", INVERSE)):
-            steps = np.full(max(n, 1 << 21), base, np.uint64)
+            steps = np.full(max(n, 1 << 19), base, np.uint64)
             steps[0] = 1
             _powers[name] = np.cumprod(steps)
     return _powers["up"][:n], _powers["down"][:n]

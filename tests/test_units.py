@@ -12,7 +12,7 @@ from tidecast.operators import folds, index, metrics, panel
 from tidecast.operators.windows import window_splits
 from tidecast.plans import diagnostics, kernels
 from tidecast.plans.backtest import backtest, results_to_dataframe
-from tidecast.plans.forecaster import METHODS, Forecaster, PathfinderForecaster
+from tidecast.plans.forecaster import METHODS, Forecaster, PathfinderForecaster, PriorForecaster
 from tidecast.plans.spec import Compiled, ModelSpec, Prior, PriorConfig
 from tidecast.sources import loaders
 
@@ -191,6 +191,58 @@ def test_backtest_fits_all_windows(trend):
     assert [(r.t0, r.t1, r.t2) for r in found] == [(0, 20, 23), (0, 24, 27)] and all(r.mae < 0.6 for r in found)
 
 
+def test_backtest_with_covariates_scales_and_training_scores(spark, trend):
+    cov = spark.range(30).select(F.col("id").alias("pos"), (F.col("id") / 10.0).alias("x"))
+    make = lambda keys: PathfinderForecaster(ModelSpec(trend=False, covariates=("x",)), keys)
+    split = {"train": 20, "test": 3, "min_test": 3, "stride": 4}
+    found = backtest(trend, make, covariates=cov, seasonality=1, in_sample=True, **split)
+    got = results_to_dataframe(found).collect()
+    assert [(r.t0, r.t1, r.t2) for r in got] == [(0, 20, 23), (4, 24, 27)]
+    assert all(r.mae < 0.6 and 0 < r.train_mae < 0.3 for r in got)
+    y = [r.y for r in trend.orderBy("pos").collect()]
+    for r in got:
+        assert abs(r.mase - r.mae / np.abs(np.diff(y[r.t0 : r.t1])).mean()) < 1e-9
+    assert sorted(r[0] for r in found.predictions.filter("t0 = 4").select("pos").distinct().collect()) == [24, 25, 26]
+    off = backtest(trend, make, covariates=cov, metrics=("mae",), transform=lambda p, t: (p, t.withColumn("truth", F.col("truth") + 10)), **split)
+    assert all(r.mae > 9 for r in off.table.collect())
+    with pytest.raises(Exception, match="too short or constant"):
+        backtest(trend.withColumn("y", F.lit(1.0)), lambda keys: PathfinderForecaster(ModelSpec(), keys), seasonality=1, **split).table.collect()
+
+
+def test_student_noise_has_students_quantiles(spark):
+    made = PathfinderForecaster(ModelSpec("studentt", trend=False, degrees=3.0))
+    posterior = spark.range(20000).selectExpr("0 as chain", "id as draw", "array(0d) as beta", "1d as sigma", "0d as level_sd", "0d as level", "array(0d) as mu_path")
+    got = made._noisy(posterior.withColumn("pos", F.lit(0)).withColumn("mu", F.lit(0.0)), "mu", "obs", 5)
+    q = got.agg(F.percentile("obs", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.975)))).first()[0]
+    assert np.allclose(q, [0.0, 1.638, 3.182], atol=0.15)
+
+
+def test_prior_predictive_needs_no_fit(trend):
+    made = PriorForecaster(ModelSpec(level=True).with_priors(trend=Prior("normal", {"sigma": 1e-9})), num_draws=400).fit(trend)
+    got = made.predict_in_sample(num_samples=400).groupBy("pos").agg(F.stddev("mu").alias("sd")).orderBy("pos").collect()
+    assert len(got) == 30 and got[-1].sd > got[0].sd
+    assert made.forecast(horizon=2, num_samples=10).count() == 20
+
+
+def test_summary(spark):
+    x = np.random.default_rng(2).normal(size=(2, 400))
+    df = spark.createDataFrame([(c, d, float(x[c, d])) for c in range(2) for d in range(400)], "chain int, draw long, a double")
+    r = diagnostics.summary(df, ["a"]).first()
+    s = np.sort(x.ravel())
+    k = int(0.94 * 800)
+    w = s[k:] - s[: 800 - k]
+    assert r.parameter == "a" and (r.hdi_low, r.hdi_high) == (s[w.argmin()], s[w.argmin() + k])
+    assert abs(r["mean"] - x.mean()) < 1e-12 and r.rhat < 1.05 and r.ess > 300
+
+
+def test_conditional_draws_follow_the_conditional(spark, trend):
+    kernel = lambda lag: math.exp(-abs(lag) / 3)
+    exact = {r.pos: r for r in kernels.gp_forecast(trend, [], 3, kernel).collect()}
+    got = kernels.gp_samples(trend, [], 3, kernel, 4000).groupBy("pos").agg(F.avg("forecast").alias("m"), F.var_samp("forecast").alias("v")).collect()
+    assert {r.pos for r in got} == set(exact) == {30, 31, 32}
+    assert all(abs(r.m - exact[r.pos]["mean"]) < 0.06 and abs(r.v - exact[r.pos].variance) < 0.06 for r in got)
+
+
 def test_priors():
     class Mine(PriorConfig):
         defaults = {"a": Prior("normal", {"sigma": 2.0})}

@@ -25,6 +25,12 @@ def normal(key: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2 * math.pi) * v)
 
 
+def student(key: Column, degrees: float) -> Column:
+    """A Student number of any degrees of freedom, by Bailey's polar form of Box-Muller."""
+    u, v = uniforms(key)
+    return F.sqrt(F.lit(float(degrees)) * (F.pow(u, F.lit(-2.0 / degrees)) - 1)) * F.cos(F.lit(2 * math.pi) * v)
+
+
 def normal_of(*parts: object) -> float:
     """normal(key_of(...)) on the driver."""
     digest = hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.names import POS
@@ -13,6 +13,9 @@ from tidecast.operators.metrics import DEFAULT_METRICS, evaluate_forecast
 from tidecast.operators.windows import window_splits
 from tidecast.plans.forecaster import BaseForecaster
 
+SPLIT = ["t0", "t1", "t2"]
+Transform = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
 
 @dataclass(frozen=True)
 class BacktestResult:
@@ -22,23 +25,53 @@ class BacktestResult:
     predictions: DataFrame
 
 
-def backtest(data: DataFrame, make: Callable[[list[str]], BaseForecaster], keys: Sequence[str] = (), metrics: Sequence[str] = DEFAULT_METRICS, test: int = 1, num_samples: int = 100, **split: object) -> BacktestResult:
+def window_scales(cut: DataFrame, keys: Sequence[str], seasonality: int) -> DataFrame:
+    """(t0, t1, t2, scale): the mean |y[t] - y[t - seasonality]| of each window's training rows, pooled over series."""
+    if seasonality < 1:
+        raise ValueError("seasonality must be 1 or more")
+    gap = F.abs(F.col("y") - F.lag("y", seasonality).over(Window.partitionBy(*SPLIT, *keys).orderBy(POS)))
+    scale = cut.withColumn("_gap", gap).groupBy(*SPLIT).agg(F.avg("_gap").alias("scale"))
+    return scale.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.raise_error(F.lit("a training window is too short or constant at this seasonality")).cast("double")))
+
+
+def backtest(data: DataFrame, make: Callable[[list[str]], BaseForecaster], keys: Sequence[str] = (), metrics: Sequence[str] = DEFAULT_METRICS, test: int = 1, num_samples: int = 100, covariates: DataFrame | None = None, transform: Transform | None = None, seasonality: int | None = None, in_sample: bool = False, **split: object) -> BacktestResult:
     """Fit make(keys) on each window's training rows, forecast its test, score it.
 
     Windows become one more key, so all fits run as one job; a window holds its position in the series, and a fit sees
-    nothing from t1 on.
+    nothing from t1 on.  covariates (keys or not, pos, columns) span the data.  transform takes predictions (column
+    pred) and truth and returns what is scored.  seasonality adds mase, scaled by each window's own training rows;
+    in_sample adds train_ columns, the scores of observations resampled over the training rows.
     """
     duration = data.agg(F.max(POS)).first()[0] + 1
     windows = window_splits(data.sparkSession, duration, test=test, **split)
     cut = data.crossJoin(F.broadcast(windows)).filter((F.col(POS) >= F.col("t0")) & (F.col(POS) < F.col("t1")))
-    whole = ["t0", "t1", "t2", *keys]
-    fitted = make(whole).fit(cut.select(*whole, POS, "y"))
+    whole = [*SPLIT, *keys]
+    fitted = make(whole).fit(cut.select(*whole, POS, "y"), covariates)
     # each window's horizon starts where its training ends
     steps = windows.withColumn(POS, F.explode(F.sequence(F.col("t1"), F.col("t2") - 1)))
+    if fitted.had_covariates_:
+        steps = steps.join(covariates, POS)
     fitted.t_obs_ = 0
-    predictions = fitted.forecast(covariates=steps, num_samples=num_samples) if not fitted.had_covariates_ else None
+    draws = fitted.draw_posterior(num_samples)
+    predictions = fitted.forecast(covariates=steps, posterior=draws)
     truth = data.select(*keys, POS, F.col("y").alias("truth"))
-    scores = evaluate_forecast(predictions.withColumnRenamed("forecast", "pred"), truth, [*keys, POS], by=["t0", "t1", "t2"], metrics=metrics)
+
+    def score(samples: DataFrame, names: Sequence[str]) -> DataFrame:
+        pair = (samples, truth)
+        if transform is not None:
+            pair = transform(*pair)
+        return evaluate_forecast(*pair, [*keys, POS], by=SPLIT, metrics=names)
+
+    wanted = [*metrics, *(["mae"] if seasonality is not None and "mae" not in metrics else [])]
+    scores = score(predictions.withColumnRenamed("forecast", "pred"), wanted)
+    if seasonality is not None:
+        scores = scores.join(window_scales(cut, keys, seasonality), SPLIT)
+        scores = scores.select(*SPLIT, *metrics, (F.col("mae") / F.col("scale")).alias("mase"))
+    if in_sample:
+        # paths count from the window's start
+        replayed = fitted.predict_in_sample(posterior=draws).withColumn(POS, F.col(POS) + F.col("t0")).withColumnRenamed("obs", "pred")
+        trained = score(replayed, metrics)
+        scores = scores.join(trained.select(*SPLIT, *(F.col(m).alias(f"train_{m}") for m in metrics)), SPLIT)
     return BacktestResult(scores, predictions)
 
 

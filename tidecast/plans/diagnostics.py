@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,3 +52,34 @@ def effective_size(chains: np.ndarray) -> float:
             break
         tau += 2 * pair
     return float(m * n / max(tau, 1e-12))
+
+
+def hdi_of(ordered: Column, prob: float = 0.94) -> Column:
+    """The shortest interval [low, high] that holds floor(prob * n) steps between an array's n values in rising order."""
+    if not 0 < prob < 1:
+        raise ValueError("prob must lie between 0 and 1")
+    n = F.size(ordered)
+    gap = F.floor(F.lit(prob) * n).cast("int")
+    spans = F.transform(F.sequence(F.lit(0), n - 1 - gap), lambda i: F.struct((F.get(ordered, i + gap) - F.get(ordered, i)).alias("width"), F.get(ordered, i).alias("low"), F.get(ordered, i + gap).alias("high")))
+    return F.array_min(spans)
+
+
+def summary(posterior: DataFrame, parameters: Sequence[str], keys: Sequence[str] = (), prob: float = 0.94) -> DataFrame:
+    """(keys, parameter, mean, sd, hdi_low, hdi_high, ess, rhat) of scalar parameters over (chain, draw).
+
+    A group holds the draws of one parameter of one series; chains are cut to the shortest.
+    """
+    long = posterior.select(*keys, "chain", "draw", *(F.col(p).cast("double") for p in parameters)).unpivot([*keys, "chain", "draw"], list(parameters), "parameter", "value")
+    by = [*keys, "parameter"]
+    held = long.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev("value").alias("sd"), F.array_sort(F.collect_list("value")).alias("_v"))
+    moments = held.withColumn("_h", hdi_of(F.col("_v"), prob)).select(*by, "mean", "sd", F.col("_h.low").alias("hdi_low"), F.col("_h.high").alias("hdi_high"))
+
+    def mixing(frame: pd.DataFrame) -> pd.DataFrame:
+        chains = [g.sort_values("draw")["value"].to_numpy(float) for _, g in frame.groupby("chain")]
+        n = min(map(len, chains))
+        x = np.array([c[:n] for c in chains])
+        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in by}, "ess": [effective_size(x)], "rhat": [split_rhat(x) if n > 3 else float("nan")]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in long.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", ess double, rhat double"
+    return moments.join(long.groupBy(*by).applyInPandas(mixing, schema), by)

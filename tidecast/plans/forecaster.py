@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from tidecast.errors import AlignmentError, HorizonError, MethodResolutionError, NotFittedError
 from tidecast.functions.features import fourier_features
-from tidecast.functions.rng import key_of, normal, uniforms
+from tidecast.functions.rng import key_of, normal, student, uniforms
 from tidecast.names import POS, TIME_DIM
 from tidecast.operators import index as time_index
 from tidecast.operators.draws import thin_draws
@@ -123,7 +123,8 @@ class BaseForecaster:
         key = key_of(seed, name, F.col("chain"), F.col("draw"), *(F.col(k) for k in self.keys), F.col(POS))
         if self.spec.family == "poisson":
             return rows.withColumn(name, poisson_from(uniforms(key)[0], F.exp(F.least(F.col(mu), F.lit(27.0)))))
-        return rows.withColumn(name, F.col(mu) + F.col("sigma") * normal(key))
+        noise = student(key, self.spec.degrees) if self.spec.family == "studentt" else normal(key)
+        return rows.withColumn(name, F.col(mu) + F.col("sigma") * noise)
 
     def forecast(self, horizon: int | None = None, covariates: DataFrame | None = None, future_covariates: DataFrame | None = None, future_index: DataFrame | None = None, posterior: DataFrame | None = None, num_samples: int | None = None, seed: int | None = None) -> DataFrame:
         """(keys, chain, draw, pos, mu_future, forecast) over the horizon: exactly one of the first four says which.
@@ -154,7 +155,8 @@ class BaseForecaster:
         seed = self.seed if seed is None else seed
         draws = self._resolve(posterior, num_samples)
         on = [k for k in self.keys if k in steps.columns]
-        grid = draws.join(F.broadcast(steps), on) if on else draws.crossJoin(F.broadcast(steps))
+        # steps of all series may be many, a horizon alone is short
+        grid = draws.join(steps, on) if on else draws.crossJoin(F.broadcast(steps))
         linear = F.aggregate(F.zip_with(F.col("beta"), self._features(), lambda b, x: b * x), F.lit(0.0), lambda a, v: a + v)
         out = grid.withColumn("_linear", linear)
         if self.spec.level:
@@ -174,6 +176,19 @@ class BaseForecaster:
         return self._noisy(rows, "mu", "obs", self.seed if seed is None else seed).select(*self.keys, "chain", "draw", POS, "mu", "obs")
 
 
+class PriorForecaster(BaseForecaster):
+    """No inference: draws of the priors, on the scale of the data.  predict_in_sample() is the prior predictive of the
+    observed window, forecast() that of the horizon."""
+
+    def _sample(self, model: Compiled, rng: np.random.Generator) -> Iterable[np.ndarray]:
+        out = rng.standard_normal((self.num_draws, model.dim))
+        out[:, model.beta] *= model.sd
+        for at, name, scale in ((model.noise, "sigma", 1.0), (model.step, "level", 0.5)):
+            if at is not None:
+                out[:, at] = np.log(np.abs(out[:, at]) * self.spec.prior(name, scale) + 1e-12)
+        return out
+
+
 class Forecaster(BaseForecaster):
     """Variational inference: method "advi" or "fullrank_advi"; optimizer None, or a learning rate for Adam."""
 

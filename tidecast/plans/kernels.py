@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidecast.names import POS
 
@@ -34,8 +36,8 @@ def conditional_mvn(loc: np.ndarray, cov: np.ndarray, observed: np.ndarray, jitt
     return mean, (rest + rest.T) / 2 + jitter * np.eye(len(rest))
 
 
-def gp_forecast(series: DataFrame, keys: Sequence[str], horizon: int, kernel: Callable[[int], float], jitter: float = 1e-6, value: str = "y") -> DataFrame:
-    """(keys, pos, mean, variance): the exact conditional of each series under a stationary kernel around its mean."""
+def _gp(series: DataFrame, keys: Sequence[str], horizon: int, kernel: Callable[[int], float], jitter: float, value: str, columns: Callable[..., dict], fields: str) -> DataFrame:
+    """columns(future positions, mean, covariance, key) of each series' exact conditional, beside its keys."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(POS)
@@ -43,11 +45,29 @@ def gp_forecast(series: DataFrame, keys: Sequence[str], horizon: int, kernel: Ca
         where = np.concatenate([at, at[-1] + 1 + np.arange(horizon)])
         cov = np.array([[kernel(int(a - b)) for b in where] for a in where])
         mean, var = conditional_mvn(np.full(len(where), y.mean()), cov, y, jitter)
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] * horizon for k in keys}, POS: where[len(at) :], "mean": mean, "variance": np.diag(var)})
+        key = [frame[k].iloc[0] for k in keys]
+        out = columns(where[len(at) :], mean, var, key)
+        return pd.DataFrame({**{k: [v] * len(out[POS]) for k, v in zip(keys, key)}, **out})
+
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
+    rows = series.select(*keys, POS, value)
+    return rows.groupBy(*(keys or [F.lit("all")])).applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + fields)
+
+
+def gp_forecast(series: DataFrame, keys: Sequence[str], horizon: int, kernel: Callable[[int], float], jitter: float = 1e-6, value: str = "y") -> DataFrame:
+    """(keys, pos, mean, variance): the exact conditional of each series under a stationary kernel around its mean."""
+    return _gp(series, keys, horizon, kernel, jitter, value, lambda at, mean, var, key: {POS: at, "mean": mean, "variance": np.diag(var)}, f"{POS} long, mean double, variance double")
+
+
+def gp_samples(series: DataFrame, keys: Sequence[str], horizon: int, kernel: Callable[[int], float], num_samples: int = 100, seed: int = 0, jitter: float = 1e-6, value: str = "y") -> DataFrame:
+    """(keys, chain, draw, pos, forecast): joint draws of gp_forecast's conditional, seeded by the series' keys."""
+
+    def paths(at: np.ndarray, mean: np.ndarray, var: np.ndarray, key: list) -> dict:
+        word = int.from_bytes(hashlib.md5(repr((seed, [str(k) for k in key])).encode()).digest()[:8], "little")
+        drawn = mean + np.random.default_rng(word).standard_normal((num_samples, horizon)) @ np.linalg.cholesky(var).T
+        return {"chain": 0, "draw": np.repeat(np.arange(num_samples), horizon), POS: np.tile(at, num_samples), "forecast": drawn.ravel()}
 
-    fields = [f for f in series.schema.fields if f.name in keys]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {POS} long, mean double, variance double"
-    return series.groupBy(*keys).applyInPandas(run, schema)
+    return _gp(series, keys, horizon, kernel, jitter, value, paths, f"chain int, draw long, {POS} long, forecast double")
 
 
 def softplus(x: np.ndarray) -> np.ndarray:

@@ -294,3 +294,17 @@ def test_pipeline_stages(spark, docs, texts):
             ids = [r.doc_id for r in now.collect()]
             assert len(ids) == len(set(ids)) < len(texts)
     assert corpus_pipeline.pack_sequences(spark, now, None).count() > 0
+
+
+def test_language_sample_is_the_lowest_by_hash(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidecast.llm import language_id
+
+    rows = spark.range(3000).selectExpr("if(id % 7 = 0, 'rare', 'common') as lang", "if(id % 5 = 0, 12, if(id % 11 = 0, null, id)) as doc_id")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    for most in (1, 40, 1500):
+        want = rows.withColumn("r", rank).filter(F.col("r") <= most).select("lang", "doc_id", "r")
+        assert sorted(map(str, language_id.lowest(rows, most).collect())) == sorted(map(str, want.collect()))
+    assert language_id.lowest(rows.limit(0), 5).count() == 0

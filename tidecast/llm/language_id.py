@@ -74,6 +74,20 @@ def _packed(text: pa.Array) -> pa.Array:
     return pa.array([row.tobytes() for i, j in steps(offsets) for row in np.packbits(presence(data, offsets[i : j + 1]), axis=1)], pa.binary())
 
 
+def lowest(rows: DataFrame, per_lang: int) -> DataFrame:
+    """(lang, doc_id, r): the per_lang rows of each language that come first by hash of id, r from 1.
+
+    Counts by language and leading 16 bits of the hash tell how far these can reach, so that the ranking gets them and
+    one 65536th of a language's rows at most, whatever the table; rows that share an id go together.
+    """
+    hashed = rows.select("lang", "doc_id").withColumn("h", F.xxhash64("doc_id")).withColumn("b", F.shiftright("h", 48))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    counted = hashed.groupBy("lang", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    reach = counted.filter(F.col("before") < per_lang).groupBy("lang").agg(F.max("b").alias("most"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return hashed.join(F.broadcast(reach), "lang").filter("b <= most").select("lang", "doc_id", rank.alias("r")).filter(F.col("r") <= per_lang)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Model | None:
     """Fit on at most per_lang rows of each language, first by hash of id, of documents that aren't held out.
 
@@ -81,9 +95,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     language or text aren't used.  None where there is no row to learn from.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # ids alone are ranked; the chosen, per_lang a language, then pick their texts where these are
-    chosen = rows.select("lang", "doc_id").withColumn("r", rank).filter(F.col("r") <= per_lang).filter("doc_id is not null").groupBy("lang", "doc_id").agg(F.min("r").alias("r"))
+    chosen = lowest(rows, per_lang).filter("doc_id is not null").groupBy("lang", "doc_id").agg(F.min("r").alias("r"))
     sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "r", _packed("text").alias("p")).collect()
     sample.sort(key=lambda s: (s.lang, s.r, s.p))
     if not sample:

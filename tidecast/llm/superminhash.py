@@ -157,7 +157,7 @@ def group(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, ba
     prints = cut(fingerprints(plain, size, bands, rows), "prints")
     real = prints.filter("n > 0 and doc_id is not null")
     classes = real.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_count")).filter("_count > 1").drop("_count")
-    labelled = cut(attach(prints, classes, ["d1", "d2", "n"], ["doc_id"]).withColumn("class_id", F.coalesce("rep", "doc_id")).select("doc_id", "n", "class_id", "bands"), "classes")
+    labelled = cut(attach(prints, classes, ["d1", "d2", "n"], ["doc_id"]).withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).select("doc_id", "n", "class_id", "bands"), "classes")
     # an id of several rows, with different texts, joins their classes
     shared = labelled.filter("n > 0 and class_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     reps = labelled.filter("n > 0 and doc_id = class_id").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()

@@ -34,8 +34,12 @@ def late_windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(content.buffers()[2], np.uint8)
     _, group = np.unique(table.column("g").to_numpy(), return_inverse=True)
     doc, anchor = table.column("doc_id").to_numpy(), table.column("anchor").to_numpy().astype(np.int64)
+    # repeated rows stand at the same place: equal ranks, so that neither is earlier than the other
+    by_place = np.lexsort((anchor, doc))
+    new_place = np.ones(n, bool)
+    new_place[1:] = (doc[by_place][1:] != doc[by_place][:-1]) | (anchor[by_place][1:] != anchor[by_place][:-1])
     rank = np.empty(n, np.int64)
-    rank[np.lexsort((anchor, doc))] = np.arange(n)
+    rank[by_place] = np.cumsum(new_place)
     begin = table.column("first").to_numpy().astype(np.int64) - anchor
     size = np.diff(offsets)
     end = begin + size

@@ -308,3 +308,10 @@ def test_language_sample_is_the_lowest_by_hash(spark):
         want = rows.withColumn("r", rank).filter(F.col("r") <= most).select("lang", "doc_id", "r")
         assert sorted(map(str, language_id.lowest(rows, most).collect())) == sorted(map(str, want.collect()))
     assert language_id.lowest(rows.limit(0), 5).count() == 0
+
+
+def test_documents_with_letters_stay_where_no_language_is_known(docs, texts):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    left = language_id.accepted(unlabelled)
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} == {i for i, t in texts.items() if re.search(r"[^\W\d_]", t or "")}

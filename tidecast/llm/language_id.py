@@ -115,6 +115,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(langs, marks, (whiten @ w).astype(np.float32), (bias - mean @ w).astype(np.float32))
 
 
+def lettered(text: Column) -> Column:
+    return F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"\p{L}"))
+
+
 def predicted(model: Model | None, text: Column) -> Column:
     """struct(lang, score): the best-scoring language, and that score taken from -1..1 to 0..1.
 
@@ -133,7 +137,7 @@ def predicted(model: Model | None, text: Column) -> Column:
         top = scores[np.arange(len(best)), best].astype(np.float64)
         return pa.StructArray.from_arrays([pa.array([model.langs[k] for k in best], pa.string()), pa.array(np.clip((top + 1) / 2, 0, 1), pa.float64())], ["lang", "score"])
 
-    return F.when(F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"\p{L}")), classify(text)).otherwise(unknown)
+    return F.when(lettered(text), classify(text)).otherwise(unknown)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -144,6 +148,11 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def accepted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """docs, columns as they were, without the rows whose language can't be told (`und`)."""
+    """docs, columns as they were, without the rows whose language can't be told (`und`).
+
+    Where no model could be learned, that are the rows of null text or without letters alone.
+    """
     model = train(docs, id_col, text_col, lang_col)
+    if model is None:
+        return docs.filter(lettered(F.col(text_col)))
     return docs.withColumn("_p", predicted(model, F.col(text_col))).filter(F.col("_p.lang") != UNKNOWN).drop("_p")

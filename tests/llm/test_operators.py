@@ -315,3 +315,23 @@ def test_documents_with_letters_stay_where_no_language_is_known(docs, texts):
     left = language_id.accepted(unlabelled)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == {i for i, t in texts.items() if re.search(r"[^\W\d_]", t or "")}
+
+
+def test_pipeline_mixture_ends_at_the_budget(spark, docs):
+    import corpus_pipeline
+
+    plan = mixing.mix(docs, corpus_pipeline.WEIGHTS, corpus_pipeline.FRACTION, corpus_pipeline.EPOCHS, corpus_pipeline.SEED).select("doc_id", "text", "n_chars", "_tokens", "_take_tokens").collect()
+    assert any(0 < r._take_tokens < r._tokens for r in plan)
+    want = []
+    for r in plan:
+        cut = r._take_tokens < r._tokens
+        text = r.text[: list(WORDS.finditer(r.text))[r._take_tokens - 1].end()] if cut else r.text
+        want.append((r.doc_id, text, len(text) if cut else r.n_chars))
+    got = [(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.mix_sources(spark, docs, None).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_first_words_keeps_white_space(spark):
+    rows = [(" a\tb\n\nc \x0b", 2, " a\tb"), ("x " * 30000, 29999, ("x " * 29999)[:-1]), ("é\u00a0ß ü", 1, "é\u00a0ß")]
+    for r in spark.createDataFrame(rows, "t string, n long, want string").select("want", mixing.first_words(F.col("t"), F.col("n")).alias("got")).collect():
+        assert r.got == r.want

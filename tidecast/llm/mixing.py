@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import WORD, cut
+from tidecast.llm.common import BLANK, WORD, cut
 
 #: The tree: a document's domain holds its language, which holds its source.
 LEVELS = ("domain", "lang", "source")
@@ -26,6 +26,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space between as it was."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[{BLANK}]*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
 def order_key(seed: int, epoch: Column, doc_id: Column, text: Column) -> Column:
     """The place of a document in its leaf's epoch: MD5 of seed, epoch, id and the text's MD5.  Only rows with the same
     id and text share it."""

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.llm.arrow_text import flat
 from tidecast.llm.repeats import Unit, repeated_spans, with_spans
-from tidecast.llm.rolling import words
+from tidecast.llm.rolling import numbered, words
 
 LENGTH, GRAM = 20, 6
 
@@ -95,7 +96,7 @@ def matching(index: FMIndex, text: np.ndarray, ends: np.ndarray, most: int) -> t
 def late_windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, place from the anchor) of the windows that the shard also holds at an earlier (doc_id, place).
 
-    The shard's segments, a separator after each, are one text with one FM-index.  Every window streams through
+    The shard's segments, numbered by their real words, a separator after each, are one text with one FM-index.  Every window streams through
     backward search, which stops as soon as its words stand nowhere else; those that match `length` words share
     their interval with their equals, of which the earliest is no repeat.
     """
@@ -103,9 +104,10 @@ def late_windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if not n:
         return none, none
-    parts = [np.frombuffer(c, np.uint64) for c in table.column("content").to_pylist()]
-    size = np.array([len(p) for p in parts])
-    _, symbol = np.unique(np.concatenate(parts), return_inverse=True)
+    data, offsets = flat(table.column("content"))
+    raw, of, start, end = words(data, offsets, lower=False)
+    size = np.bincount(of, minlength=n)
+    symbol, _ = numbered(raw, start, end)
     begin = np.concatenate([[0], np.cumsum(size + 1)])
     text = np.zeros(begin[-1], np.int64)
     place = np.arange(len(symbol)) + np.repeat(np.arange(n), size)

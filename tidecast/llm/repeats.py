@@ -2,14 +2,16 @@
 
 Equal windows choose equal anchors, the gram with the least hash among those inside, so windows only need comparing
 with those of the same anchor.  Neighbouring windows of one anchor form a segment.  An anchor that occurs once has no
-repeat; segments of equal content need no further work but to find the first; what is left, different segments round
-one anchor, goes to a kernel that compares windows exactly.
+repeat.  Segments of equal content, told by 128 bits of BLAKE2 over their bytes, are aggregated before anything else
+moves: their first stands for them.  The different segments round one anchor go to a kernel that compares their real
+bytes or words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql.types import BooleanType
 
 from tidecast.llm.arrow_text import flat, steps
 from tidecast.llm.common import attach, cut
-from tidecast.llm.rolling import BYTES, mix, prefix, ranges, words
+from tidecast.llm.rolling import BYTES, mix, prefix, ranges, spaced, words
 
 #: Bits of a sieve at most: 8 MB, whatever the corpus.  A full sieve lets everything through, which costs shuffle only.
 SIEVE_BITS = 1 << 26
@@ -38,12 +40,22 @@ class Unit:
     gram: int
     by_word: bool
 
-    def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols of some texts, as 64-bit numbers, and where each text's begin."""
+    def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """(symbols, begins, bytes, place) of some texts: 64-bit numbers that propose anchors, where each text's begin,
+        and what they are really made of: symbols i to j are bytes[i:j], or words bytes[place[i]:place[j] - 1]."""
         if self.by_word:
-            word, of, _, _ = words(data, offsets, lower=False)
-            return word, np.searchsorted(of, np.arange(len(offsets)))
-        return BYTES[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
+            text, of, start, end = words(data, offsets, lower=False)
+            raw, place = spaced(text, start, end)
+            with np.errstate(over="ignore"):
+                symbols = ranges(prefix(BYTES[text]), start, end)
+            return symbols, np.searchsorted(of, np.arange(len(offsets))), raw, place
+        raw = data[offsets[0] : offsets[-1]]
+        return BYTES[raw], offsets - offsets[0], raw, None
+
+
+def bounds(place: np.ndarray | None, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where symbols first to end begin and end among the bytes."""
+    return (first, end) if place is None else (place[first], place[end] - 1)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,14 +68,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(symbols: np.ndarray, begins: np.ndarray, unit: Unit) -> dict[str, np.ndarray]:
-    """The segments of some texts: text, first and last window start, anchor place and hash, and a hash of the content.
+    """The segments of some texts: text, first and last window start, anchor place and hash.
 
-    Places count from the first symbol of all.  The content hash also holds where the anchor stands.
+    Places count from the first symbol of all.
     """
     n, width = len(symbols), unit.length - unit.gram + 1
     none = np.zeros(0, np.int64)
     if n < unit.length:
-        return {"text": none, "first": none, "last": none, "anchor": none, "g": np.zeros(0, np.uint64), "c": np.zeros(0, np.uint64)}
+        return {"text": none, "first": none, "last": none, "anchor": none, "g": np.zeros(0, np.uint64)}
     with np.errstate(over="ignore"):
         sums = prefix(symbols)
         at = np.arange(n - unit.gram + 1)
@@ -78,8 +90,14 @@ def segments(symbols: np.ndarray, begins: np.ndarray, unit: Unit) -> dict[str, n
         first = start[head]
         last = start[np.append(head[1:], len(start)) - 1] if len(head) else first
         anchor = anchor[head]
-        content = mix(ranges(sums, first, last + unit.length) + (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return {"text": np.searchsorted(begins, first, side="right") - 1, "first": first, "last": last, "anchor": anchor, "g": gram[anchor], "c": content}
+    return {"text": np.searchsorted(begins, first, side="right") - 1, "first": first, "last": last, "anchor": anchor, "g": gram[anchor]}
+
+
+def names(raw: np.ndarray, start: np.ndarray, end: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Two 64-bit columns: 128 bits of BLAKE2 over raw[start:end] and a number, for each range."""
+    view = memoryview(np.ascontiguousarray(raw))
+    found = [blake2b(view[a:b], digest_size=16, salt=x).digest() for a, b, x in zip(start.tolist(), end.tolist(), map(int.to_bytes, extra.tolist(), [8] * len(extra)))]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 class Sieve:
@@ -114,16 +132,15 @@ def place_key(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, unit: Unit, schema: str, make: Callable) -> DataFrame:
-    """make(segments, doc ids by text, symbols, begins, data, offsets) -> arrays of the schema, step by step."""
+    """make(segments, doc ids by text, begins, bytes, place) -> arrays of the schema, step by step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             for i, j in steps(offsets):
-                symbols, begins = unit.symbols(data, offsets[i : j + 1])
-                found = segments(symbols, begins, unit)
-                yield make(found, ids[i:j], symbols, begins, data, offsets[i : j + 1])
+                symbols, begins, raw, place = unit.symbols(data, offsets[i : j + 1])
+                yield make(segments(symbols, begins, unit), ids[i:j], begins, raw, place)
 
     return docs.mapInArrow(run, schema)
 
@@ -140,58 +157,59 @@ def _counts(g: np.ndarray) -> np.ndarray:
 
 
 def _places(docs: DataFrame, unit: Unit, sieve) -> DataFrame:
-    """(g, c, doc_id, first, last): segments whose anchor the sieve lets through; places count within the document."""
+    """(g, c1, c2, doc_id, first, last): segments whose anchor the sieve lets through; places count within the document.
+
+    c1 and c2 name the content and where its anchor stands in it."""
 
-    def make(s, ids, symbols, begins, *_):
+    def make(s, ids, begins, raw, place):
         keep = sieve.value.has(s["g"])
-        text = s["text"][keep]
+        first, last, text = s["first"][keep], s["last"][keep], s["text"][keep]
+        name = names(raw, *bounds(place, first, last + unit.length), s["anchor"][keep] - first)
         base = begins[text]
         return pa.RecordBatch.from_arrays(
-            [pa.array(s["g"][keep].astype(np.int64)), pa.array(s["c"][keep].astype(np.int64)), pa.array(ids[text]), pa.array((s["first"][keep] - base).astype(np.int32)), pa.array((s["last"][keep] - base).astype(np.int32))],
-            ["g", "c", "doc_id", "first", "last"],
+            [pa.array(s["g"][keep].astype(np.int64)), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array(ids[text]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))],
+            ["g", "c1", "c2", "doc_id", "first", "last"],
         )
 
-    return _scan(docs, unit, "g long, c long, doc_id long, first int, last int", make)
+    return _scan(docs, unit, "g long, c1 long, c2 long, doc_id long, first int, last int", make)
 
 
 def _contents(docs: DataFrame, unit: Unit, sieve) -> DataFrame:
-    """(g, doc_id, first, anchor, content): the symbols of the segments at places that the sieve lets through."""
+    """(g, doc_id, first, anchor, content): the real bytes of the segments at places that the sieve lets through."""
 
-    def make(s, ids, symbols, begins, data, offsets):
+    def make(s, ids, begins, raw, place):
         base = begins[s["text"]]
         doc = ids[s["text"]]
         keep = np.flatnonzero(sieve.value.has(place_key(doc, s["first"] - base)))
-        raw = symbols if unit.by_word else data[offsets[0] : offsets[-1]]
-        a, b = s["first"][keep], s["last"][keep] + unit.length
+        first = s["first"][keep]
+        a, b = bounds(place, first, s["last"][keep] + unit.length)
         size = b - a
         ends = np.concatenate([[0], np.cumsum(size)])
         at = np.arange(ends[-1]) + np.repeat(a - ends[:-1], size)
-        taken = np.ascontiguousarray(raw[at]).view(np.uint8)
-        content = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer((ends * raw.itemsize).astype(np.int32)), pa.py_buffer(taken)])
+        content = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[at]))])
         return pa.RecordBatch.from_arrays(
-            [pa.array(s["g"][keep].astype(np.int64)), pa.array(doc[keep]), pa.array((a - base[keep]).astype(np.int32)), pa.array((s["anchor"][keep] - base[keep]).astype(np.int32)), content],
+            [pa.array(s["g"][keep].astype(np.int64)), pa.array(doc[keep]), pa.array((first - base[keep]).astype(np.int32)), pa.array((s["anchor"][keep] - base[keep]).astype(np.int32)), content],
             ["g", "doc_id", "first", "anchor", "content"],
         )
 
     return _scan(docs, unit, "g long, doc_id long, first int, anchor int, content binary", make)
 
 
-def _by_hash(contents: DataFrame, unit: Unit) -> DataFrame:
-    """(doc_id, lo, hi) for anchors with too many segments for one task: windows meet by hash, a salted group each."""
+def _by_window(contents: DataFrame, unit: Unit) -> DataFrame:
+    """(doc_id, lo, hi) for anchors with too many segments for one task: each window by itself, as equal segments go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, first, content in zip(batch.column("doc_id").to_pylist(), batch.column("first").to_pylist(), batch.column("content").to_pylist()):
-                raw = np.frombuffer(content, np.uint64) if unit.by_word else BYTES[np.frombuffer(content, np.uint8)]
-                with np.errstate(over="ignore"):
-                    at = np.arange(len(raw) - unit.length + 1)
-                    h1 = ranges(prefix(raw), at, at + unit.length)
-                    h2 = ranges(prefix(mix(raw)), at, at + unit.length)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64)), pa.array(np.full(len(at), doc)), pa.array((at + first).astype(np.int32))], ["h1", "h2", "doc_id", "lo"])
-
-    rows = contents.select("doc_id", "first", "content").mapInArrow(run, "h1 long, h2 long, doc_id long, lo int")
-    owner = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "lo")).alias("own"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    late = attach(rows, owner, ["h1", "h2"], ["doc_id", "lo"], "inner").filter(F.struct("doc_id", "lo") != F.col("own"))
+            data, offsets = flat(batch.column("content"))
+            for doc, first, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("first").to_pylist(), offsets[:-1], offsets[1:]):
+                _, begins, raw, place = unit.symbols(data, np.array([a, b]))
+                at = np.arange(int(begins[-1]) - unit.length + 1)
+                name = names(raw, *bounds(place, at, at + unit.length), np.zeros(len(at), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array(np.full(len(at), doc)), pa.array((at + first).astype(np.int32))], ["c1", "c2", "doc_id", "lo"])
+
+    rows = contents.select("doc_id", "first", "content").mapInArrow(run, "c1 long, c2 long, doc_id long, lo int")
+    owner = rows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "lo")).alias("own"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    late = attach(rows, owner, ["c1", "c2"], ["doc_id", "lo"], "inner").filter(F.struct("doc_id", "lo") != F.col("own"))
     return late.select("doc_id", "lo", (F.col("lo") + unit.length).alias("hi"))
 
 
@@ -206,8 +224,8 @@ def repeated_spans(docs: DataFrame, unit: Unit, kernel: Callable[[pa.Table, int]
     anchors = _hashes(docs, unit).groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("g").alias("key"))
     sieve = spark.sparkContext.broadcast(Sieve.of(cut(anchors, "anchors")))
     places = cut(_places(docs, unit, sieve), "places")
-    firsts = cut(places.groupBy("g", "c").agg(F.min(F.struct("doc_id", "first")).alias("own"), F.count(F.lit(1)).alias("n")), "firsts")
-    copies = attach(places, firsts.filter("n > 1").select("g", "c", "own"), ["g", "c"], ["doc_id", "first"], "inner", salts=4).filter(F.struct("doc_id", "first") != F.col("own"))
+    firsts = cut(places.groupBy("g", "c1", "c2").agg(F.min(F.struct("doc_id", "first")).alias("own"), F.count(F.lit(1)).alias("n")), "firsts")
+    copies = attach(places, firsts.filter("n > 1").select("g", "c1", "c2", "own"), ["g", "c1", "c2"], ["doc_id", "first"], "inner", salts=4).filter(F.struct("doc_id", "first") != F.col("own"))
     whole = copies.select("doc_id", F.col("first").alias("lo"), (F.col("last") + unit.length).alias("hi"))
     several = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     compared = cut(firsts.join(several, "g").select("g", "m", F.col("own.doc_id").alias("doc_id"), F.col("own.first").alias("first")), "compared")
@@ -237,7 +255,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, kernel: Callable[[pa.Table, int]
     usual = contents.join(hot, "g", "left_anti").withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
     near = usual.groupBy("shard").applyInArrow(compare, "doc_id long, lo int, hi int")
     # the join with the few hot anchors needs nothing of a shard
-    far = _by_hash(contents.join(hot, "g", "left_semi"), unit)
+    far = _by_window(contents.join(hot, "g", "left_semi"), unit)
     spans = whole.union(near).union(far)
     return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 

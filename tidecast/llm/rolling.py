@@ -1,8 +1,14 @@
-"""Vectorised polynomial hashes of byte ranges, words, and shingles, modulo 2**64."""
+"""Words of byte arrays: where they stand, exact numbers for them, and hashes of words and of ranges.
+
+Numbers compare real words and decide; hashes only propose what to compare, or name a content by 128 bits of BLAKE2.
+"""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
+import pyarrow as pa
 
 #: The base is odd, so it has an inverse modulo 2**64, and a range's hash follows from two prefix sums.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -14,8 +20,11 @@ IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
+#: Word digests that a Python worker remembers, of words up to so many bytes.
+REMEMBERED, SHORT = 200_000, 64
 
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_digests: dict[bytes, bytes] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,17 +54,20 @@ def prefix(symbols: np.ndarray) -> np.ndarray:
 
 
 def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each range [start, end) of what `sums` was made of, alike wherever it stands."""
+    """A hash of each range [start, end) of what `sums` was made of, alike wherever it stands.
+
+    Different ranges can be made to have equal hashes (the sums are linear): good to propose, not to decide.
+    """
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, start, end) of each word of texts data[offsets[i]:offsets[i + 1]]; start and end count from offsets[0]."""
+    """(bytes, text, start, end) of the words of texts data[offsets[i]:offsets[i + 1]]; start and end count in bytes."""
     base = offsets[0]
     text = data[base : offsets[-1]]
     if not len(text):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
+        return text, none, none, none
     if lower:
         text = ASCII_LOWER[text]
     solid = ~IS_BLANK[text]
@@ -68,4 +80,73 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     of = np.searchsorted(offsets - base, start, side="right") - 1
-    return ranges(prefix(BYTES[text]), start, end), of, start, end
+    return text, of, start, end
+
+
+def spaced(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, place): the words, a space after each, and where each begins; words i to j are bytes[place[i]:place[j] - 1]."""
+    place = np.concatenate([[0], np.cumsum(end - start + 1)])
+    out = np.full(place[-1], 32, np.uint8)
+    if len(start):
+        solid = text[~IS_BLANK[text]]
+        out[np.arange(len(solid)) + np.repeat(np.arange(len(start)), end - start)] = solid
+    return out, place
+
+
+def numbered(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number, values): the same number for equal words, by comparing their bytes, and the words by number."""
+    ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    solid = np.ascontiguousarray(text[~IS_BLANK[text]])
+    found = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(solid)]).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def digests(values: pa.Array) -> np.ndarray:
+    """Two 64-bit columns: 128 bits of BLAKE2 of each value."""
+    if len(_digests) > REMEMBERED:
+        _digests.clear()
+    out = []
+    for value in values.to_pylist():
+        known = _digests.get(value)
+        if known is None:
+            known = blake2b(value, digest_size=16).digest()
+            if len(value) <= SHORT:
+                _digests[value] = known
+        out.append(known)
+    return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+
+
+def joined(x: np.ndarray, bound_x: int, y: np.ndarray, bound_y: int) -> tuple[np.ndarray, int]:
+    """(number, bound) of the pairs (x, y), in their order; equal numbers are equal pairs.  Values are from 0 to bound."""
+    if bound_x * bound_y >= 1 << 62:
+        _, x = np.unique(x, return_inverse=True)
+        bound_x = len(x) + 1
+    if bound_x * bound_y >= 1 << 62:
+        _, y = np.unique(y, return_inverse=True)
+        bound_y = len(y) + 1
+    return x * bound_y + y, bound_x * bound_y
+
+
+def shingles(of: np.ndarray, word: np.ndarray, texts: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, at) of each text's distinct shingles of `size` words, in order of text and shingle.
+
+    shingle is a number that tells shingles apart by their words' numbers; at is where one of them begins.  A text of
+    fewer words has one shingle, all of it, which no text of more words has.
+    """
+    n = np.bincount(of, minlength=texts)
+    first = np.cumsum(n) - n
+    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    text = np.repeat(np.arange(texts), count)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    last = np.repeat(first + n, count)
+    # a place past the text's end counts as 0
+    padded = np.append(word + 1, np.zeros(size, np.int64))
+    bound = int(word.max()) + 2 if len(word) else 1
+    number, top = padded[at], bound
+    for k in range(1, size):
+        number, top = joined(number, top, np.where(at + k < last, padded[at + k], 0), bound)
+    if texts * top >= 1 << 62:
+        _, number = np.unique(number, return_inverse=True)
+        top = len(number) + 1
+    key, index = np.unique(text * top + number, return_index=True)
+    return key // top, key % top, at[index]

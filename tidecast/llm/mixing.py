@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import BLANK, WORD, cut
+from tidecast.llm.common import BLANK, SALTS, WORD, cut
 
 #: The tree: a document's domain holds its language, which holds its source.
 LEVELS = ("domain", "lang", "source")
-#: Leaves up to this many are broadcast; with more, rows meet their leaf by a shuffled join.
+#: Leaves up to this many are broadcast; with more, rows meet their leaf by a join that deals each leaf over SALTS tasks.
 BROADCAST_LEAVES = 50_000
+#: Rows among which a leaf's budget ends that one task sorts at most.
+SORTED_ROWS = 100_000
 ABSENT = "(none)"
 
 
@@ -50,7 +52,8 @@ def share(nodes: DataFrame, parent: Sequence[str], name: str, weights: Mapping[s
     """Give each parent's `budget` to its children by weight, none above its `cap`; what one can't take goes to its siblings.
 
     In order of cap / weight the children that fill up come first, so the level at which the others stand follows from
-    running sums: no loop.  All arithmetic is on integers (decimal(38,0)); shares round down.
+    running sums: no loop.  All arithmetic is on integers (decimal(38,0)); shares round down, and the rest of that goes
+    one each to the first children, in the same order, that aren't full.
     """
     big = lambda c: c.cast("decimal(38,0)")
     siblings = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
@@ -65,16 +68,23 @@ def share(nodes: DataFrame, parent: Sequence[str], name: str, weights: Mapping[s
         .withColumn("_r", F.row_number().over(rising))
         .withColumn("_at", F.min(F.when(~F.col("_full"), F.struct(F.col("_r").alias("r"), F.col("_left").alias("l"), F.col("_w").alias("w")))).over(siblings))
     )
-    return out.withColumn("share", F.when(F.col("_full"), F.col("cap")).otherwise(F.least(F.col("cap"), F.expr("cast((cast(w as decimal(38,0)) * _at.l) div cast(_at.w as decimal(38,0)) as bigint)")))).drop("w", "_left", "_w", "_full", "_r", "_at")
+    out = out.withColumn("_base", F.when(~F.col("_full"), F.expr("cast((cast(w as decimal(38,0)) * _at.l) div cast(_at.w as decimal(38,0)) as bigint)")))
+    rest = F.col("_at.l") - F.sum(big(F.col("_base"))).over(siblings)
+    one = F.when(F.col("_r") - F.col("_at.r") < F.col("_rest"), 1).otherwise(0)
+    out = out.withColumn("_rest", rest).withColumn("share", F.when(F.col("_full"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("_base") + one)))
+    return out.drop("w", "_left", "_w", "_full", "_r", "_at", "_base", "_rest")
 
 
 def budgets(leaves: DataFrame, total: Column, weights: Mapping[str, Mapping[str, int]], max_epochs: int) -> DataFrame:
     """leaves (domain, lang, source, tokens) with `budget`: the total taken down the tree level by level.
 
     A node's cap is what its leaves hold in max_epochs epochs, so a shortage goes to the nodes beside it and, only
-    when they are full as well, shows as its parent's cap, to be made up one level higher.
+    when they are full as well, shows as its parent's cap, to be made up one level higher.  Leaves below a node of
+    weight 0 can take nothing: they count in no cap, and aren't returned.
     """
     caps = leaves.withColumn("cap", F.col("tokens") * F.lit(max_epochs))
+    for level in LEVELS:
+        caps = caps.filter(weight_of(level, F.col(level), weights) > 0)
     tier = caps.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("budget", total)
     tier = share(tier, (), "domain", weights).select("domain", F.col("share").alias("budget"))
     tier = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(tier, "domain")
@@ -103,8 +113,9 @@ def mix(
     stand at one place and are taken together.
 
     Epoch q's order is cut into 256 buckets by the first two digits of the key; running sums over buckets find the one
-    that crosses, and only its rows are sorted, so that no leaf, however hot, meets in one task.  Which rows are taken is
-    then decided row by row against a table of leaves, and texts aren't shuffled.
+    that crosses, which is cut again by the next digits while it has more than SORTED_ROWS rows.  Only the last one's
+    rows are sorted, so that no leaf, however hot, meets in one task.  Which rows are taken is then decided row by row
+    against a table of leaves, and texts aren't shuffled up to BROADCAST_LEAVES leaves.
 
     Null source, language or domain: the child "(none)".  Documents without words fill no budget: they are taken where
     their leaf's prefix passes their place.  A node of weight 0 takes nothing.  Empty table: no rows.
@@ -140,7 +151,12 @@ def mix(
     crossing = cut(boundaries(narrow, given, hint, max_epochs), "crossing")
     cuts = given.join(crossing, list(LEVELS), "left").select(F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "q", "rest", "cut_key", "cut_take")
     keys = F.array(*(order_key(seed, F.lit(e), ids, text) for e in range(max_epochs)))
-    met = tagged.join(hint(cuts), ["_domain", "_lang", "_source"])
+    leaf = ["_domain", "_lang", "_source"]
+    if small:
+        met = tagged.join(F.broadcast(cuts), leaf)
+    else:
+        salt = F.pmod(F.xxhash64(ids, text), F.lit(SALTS)).cast("int")
+        met = tagged.withColumn("_salt", salt).join(cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*leaf, "_salt"]).drop("_salt")
     last = F.when((F.col("rest") > 0) & (F.col("q") < max_epochs), F.get(keys, F.col("q")))
     met = met.withColumn("_key", last).withColumn("_partial", F.coalesce(F.col("_key") <= F.coalesce("cut_key", F.lit("g")), F.lit(False)))
     met = met.withColumn("_copies", F.col("q") + F.col("_partial").cast("int")).filter("_copies > 0")
@@ -154,18 +170,21 @@ def budgets_of(leaves: DataFrame, whole: DataFrame, weights: Mapping[str, Mappin
     return budgets(leaves, F.lit(total).cast("long"), weights, max_epochs)
 
 
-def boundaries(narrow: DataFrame, given: DataFrame, hint, max_epochs: int) -> DataFrame:
+def boundaries(narrow: DataFrame, given: DataFrame, hint, max_epochs: int, sorted_rows: int = SORTED_ROWS) -> DataFrame:
     """(domain, lang, source, cut_key, cut_take): where the rest of each leaf's budget ends in its epoch q."""
     keys = F.array(*(F.col(f"k{e}") for e in range(max_epochs)))
-    last = narrow.join(hint(given.filter(f"rest > 0 and q < {max_epochs}").select(*LEVELS, "q", "rest")), list(LEVELS)).select(*LEVELS, "rest", "n", F.get(keys, F.col("q")).alias("key")).withColumn("bucket", F.substring("key", 1, 2))
+    last = narrow.join(hint(given.filter(f"rest > 0 and q < {max_epochs}").select(*LEVELS, "q", "rest")), list(LEVELS)).select(*LEVELS, "rest", "n", F.get(keys, F.col("q")).alias("key"))
     leaf = Window.partitionBy(*LEVELS)
-    sums = last.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n").alias("n"))
-    crossing = (
-        sums.withColumn("_before", F.coalesce(F.sum("n").over(leaf.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .filter("_before < rest and _before + n >= rest")
-        .select(*LEVELS, "bucket", "_before")
-    )
-    inside = last.join(hint(crossing), [*LEVELS, "bucket"])
-    rows = inside.groupBy(*LEVELS, "rest", "_before", "key").agg(F.sum("n").alias("n"), F.max("n").alias("one"))
+    inside = last.withColumn("_before", F.lit(0).cast("long"))
+    for digits in range(2, 33, 2):
+        bucket = F.substring("key", 1, digits).alias("bucket")
+        sums = inside.groupBy(*LEVELS, "rest", "_before", bucket).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+        upto = F.col("_before") + F.coalesce(F.sum("n").over(leaf.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = sums.withColumn("_upto", upto).filter("_upto < rest and _upto + n >= rest").select(*LEVELS, "bucket", F.col("_upto").alias("_before"), "rows")
+        crossing = cut(found, f"crossing-{digits}", narrow=True)
+        inside = last.withColumn("bucket", F.substring("key", 1, digits)).join(hint(crossing.drop("rows")), [*LEVELS, "bucket"])
+        if (crossing.agg(F.max("rows")).first()[0] or 0) <= sorted_rows:
+            break
+    rows = inside.groupBy(*LEVELS, "rest", "_before", "key").agg(F.sum("n").alias("n"))
     upto = F.col("_before") + F.coalesce(F.sum("n").over(leaf.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_upto", upto).filter("_upto < rest and _upto + n >= rest").select(*LEVELS, F.col("key").alias("cut_key"), (F.col("rest") - F.col("_upto")).alias("cut_take"))

@@ -74,7 +74,9 @@ def _share(level: str, parent: str, name: str, weight: str) -> str:
 {level}_f AS (SELECT *, cap::HUGEINT * ww <= w::HUGEINT * l AS is_full FROM {level}_s),
 {level}_a AS (SELECT *, min(CASE WHEN NOT is_full THEN rn END) OVER ({by}) AS first_open FROM {level}_f),
 {level}_l AS (SELECT *, max(CASE WHEN rn = first_open THEN l END) OVER ({by}) AS ll, max(CASE WHEN rn = first_open THEN ww END) OVER ({by}) AS lw FROM {level}_a),
-{level} AS (SELECT * EXCLUDE (budget), CASE WHEN is_full THEN cap ELSE least(cap, (w::HUGEINT * ll) // lw) END AS budget FROM {level}_l)"""
+{level}_b AS (SELECT *, CASE WHEN NOT is_full THEN (w::HUGEINT * ll) // lw END AS base FROM {level}_l),
+{level}_r AS (SELECT *, ll - sum(base) OVER ({by}) AS rest FROM {level}_b),
+{level} AS (SELECT * EXCLUDE (budget, rest), CASE WHEN is_full THEN cap ELSE least(cap, base + CASE WHEN rn - first_open < rest THEN 1 ELSE 0 END) END AS budget FROM {level}_r)"""
 
 
 def _weight(level: str, column: str) -> str:

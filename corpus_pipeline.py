@@ -14,7 +14,7 @@ FRACTION, EPOCHS, SEED = (1, 1), 2, 29
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or letters go."""
+    """Documents whose language can be told, labelled with it, which is what the mixture goes by; the others go."""
     return language_id.accepted(docs)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +29,15 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary folder; on a cluster that raises, as executors don't share one.
+    """
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not told:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         told = tempfile.mkdtemp(prefix="tidecast-")
         sc.setCheckpointDir(told)
         told = sc.getCheckpointDir()
@@ -41,17 +47,37 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: a later loss of executors recomputes nothing before this.
 
-    narrow writes in as many tasks as there are cores, where that is fewer.  The files go when the application ends.
+    narrow writes in as many tasks as there are cores, where that is fewer.  The files go with discard(), or when the
+    application ends.
     """
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark)}/tidecast-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, system = _located(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where the table behind a DataFrame of cut() lies.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() returned, once all that was made of them is written itself."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path is not None:
+            where, system = _located(table.sparkSession, path)
+            system.delete(where, True)
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:

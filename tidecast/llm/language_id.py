@@ -148,11 +148,13 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def accepted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """docs, columns as they were, without the rows whose language can't be told (`und`).
+    """docs without the rows whose language can't be told (`und`), and with lang_col as predicted from the text.
 
-    Where no model could be learned, that are the rows of null text or without letters alone.
+    Labels are learned from and then replaced, missing and wrong ones with the rest; all other columns are as they were.
+    Where no model could be learned, the rows of null text or without letters go and labels stay.
     """
     model = train(docs, id_col, text_col, lang_col)
     if model is None:
         return docs.filter(lettered(F.col(text_col)))
-    return docs.withColumn("_p", predicted(model, F.col(text_col))).filter(F.col("_p.lang") != UNKNOWN).drop("_p")
+    kind = docs.schema[lang_col].dataType
+    return docs.withColumn("_p", predicted(model, F.col(text_col))).filter(F.col("_p.lang") != UNKNOWN).withColumn(lang_col, F.col("_p.lang").cast(kind)).drop("_p")

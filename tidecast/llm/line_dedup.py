@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import BLANK, SALTS, ascii_lower, cut
 
 LEAST_CHARS = 10
+#: Occurrences that one slice of a key has at most, about, where one key holds all lines.
+SLICE_ROWS = 1_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -20,10 +22,7 @@ def line_key(line: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, pos, h1, h2, slice) of the lines whose key has `least` code points; two 64-bit hashes name a key.
-
-    slice deals one key's occurrences over several tasks, by document.
-    """
+    """(doc_id, pos, h1, h2) of the lines whose key has `least` code points; two 64-bit hashes name a key."""
     keyed = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.posexplode(F.transform(lines_of(F.col(text_col)), line_key)).alias("pos", "k"),
@@ -33,15 +32,21 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "pos",
         F.xxhash64("k").alias("h1"),
         F.xxhash64(F.lit(1), F.col("k")).alias("h2"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("slice"),
     )
 
 
+def sliced(hashes: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
+    """hashes with slice, which deals a key's occurrences over tasks by document: SALTS slices, or as many as keep one
+    of them below `rows` whatever share of all lines a key has."""
+    slices = max(SALTS, -(-hashes.count() // rows))
+    return hashes.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
+
+
 def first_occurrences(hashes: DataFrame, partitions: int | None = None) -> DataFrame:
     """(h1, h2, slice, owner) of the keys found in two documents or more; owner is the smallest id that holds the key.
 
     Hashes are range-partitioned by key and slice and sorted within by document and position; the first row of each
-    streams out, with its last document.  A key's slices, SALTS rows at most, then meet to name the owner.
+    streams out, with its last document.  A key's slices, one row each, then meet to name the owner.
     """
     n = partitions or int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = Window.partitionBy("h1", "h2", "slice").orderBy("doc_id", "pos")
@@ -53,13 +58,8 @@ def first_occurrences(hashes: DataFrame, partitions: int | None = None) -> DataF
         .groupBy("h1", "h2", "slice")
         .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     )
-    key = Window.partitionBy("h1", "h2")
-    return (
-        firsts.withColumn("owner", F.min("first_doc").over(key))
-        .withColumn("_last", F.max("last_doc").over(key))
-        .filter("owner < _last")
-        .select("h1", "h2", "slice", "owner")
-    )
+    ends = firsts.groupBy("h1", "h2").agg(F.min("first_doc").alias("owner"), F.max("last_doc").alias("_last")).filter("owner < _last").drop("_last")
+    return firsts.select("h1", "h2", "slice").join(ends, ["h1", "h2"])
 
 
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
@@ -72,7 +72,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null ids own and lose nothing.  Rows that share an id share a bitmap: their lines count as one document's, position
     by position.  Null or empty text is one empty line, which stays.
     """
-    hashes = cut(line_hashes(docs, id_col, text_col, least).filter("doc_id is not null"), "lines")
+    hashes = sliced(cut(line_hashes(docs, id_col, text_col, least).filter("doc_id is not null"), "lines"))
     lost = hashes.join(first_occurrences(hashes), ["h1", "h2", "slice"]).filter("doc_id != owner")
     words = lost.groupBy("doc_id", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))

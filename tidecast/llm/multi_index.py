@@ -7,7 +7,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,13 +16,13 @@ from tidecast.llm.common import cut
 #: Rows that the two codebooks are fitted on at most, rounds of k-means, and centroids a half at most.
 SAMPLE, ROUNDS, MOST_CENTROIDS = 20_000, 12, 64
 #: Rows that a cell holds on average, and vectors that a query reranks at least.
-CELL_ROWS, MIN_RERANK = 4, 3000
-#: The share of all vectors that a query reranks, where that is more.  On vectors with hardly any structure recall follows
-#: this share; on clustered ones a small share will do.
-SHARE = 0.5
+CELL_ROWS, MIN_RERANK = 4, 256
 NEIGHBOURS = 20
-#: Entries and queries that one task scores against each other at most, about.
-BLOCK, QUERY_BLOCK = 4096, 4096
+#: Queries on which the number of vectors to rerank is learned, and the share of their true neighbours it must reach.  On
+#: vectors with hardly any structure that is half of all vectors, on clustered ones a small part.
+PROBES, RECALL = 64, 0.96
+#: Entries and queries that one task scores against each other at most, about, and queries that one task routes.
+BLOCK, QUERY_BLOCK, ROUTED = 4096, 4096, 128
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
@@ -83,8 +82,45 @@ def blocks_of(counts: dict[int, int], size: int = BLOCK) -> dict[int, tuple[int,
     return out
 
 
-def _matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in column], np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array | list, dim: int) -> np.ndarray:
+    """The rows of a column of lists of dim numbers, none of them null."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.Array):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
+    return np.array(column, np.float64).reshape(-1, dim)
+
+
+def reach(entries: DataFrame, probed: np.ndarray, books: tuple[np.ndarray, np.ndarray], counts: dict[int, int], neighbours: int, recall: float) -> int:
+    """How many vectors a query must rerank so that `recall` of the probed queries' true neighbours are among them.
+
+    The probes are searched exhaustively: each task keeps their best of its entries.  A neighbour needs as many vectors
+    as the cells up to its own hold, in the order in which its query visits them.
+    """
+    dim, total = probed.shape[1], sum(counts.values())
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, scores = np.zeros((len(probed), 0), np.int32), np.zeros((len(probed), 0))
+        for batch in batches:
+            scores = np.hstack([scores, probed @ _matrix(batch.column("v"), dim).T])
+            cells = np.hstack([cells, np.tile(batch.column("cell").to_numpy().astype(np.int32), (len(probed), 1))])
+            if scores.shape[1] > neighbours + 1:
+                top = np.argpartition(-scores, neighbours, axis=1)[:, : neighbours + 1]
+                scores, cells = np.take_along_axis(scores, top, 1), np.take_along_axis(cells, top, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(probed)), scores.shape[1]), pa.int32()), pa.array(cells.ravel(), pa.int32()), pa.array(scores.ravel())], ["probe", "cell", "score"])
+
+    top = Window.partitionBy("probe").orderBy(F.desc("score"), "cell")
+    near = entries.select("v", "cell").mapInArrow(best, "probe int, cell int, score double").withColumn("r", F.row_number().over(top)).filter(F.col("r") <= neighbours + 1)
+    needs = []
+    found: dict[int, list[int]] = defaultdict(list)
+    for row in near.collect():
+        found[row["probe"]].append(row["cell"])
+    for probe, cells in found.items():
+        order = visits(probed[probe], books, counts, total)
+        upto = dict(zip(order, np.cumsum([counts[c] for c in order]).tolist()))
+        needs += [upto[c] for c in cells]
+    needs.sort()
+    return needs[min(len(needs) - 1, int(np.ceil(recall * len(needs))))] if needs else total
 
 
 def search(
@@ -96,7 +132,8 @@ def search(
     min_rerank: int = MIN_RERANK,
     sample: int = SAMPLE,
     cell_rows: int = CELL_ROWS,
-    share: float = SHARE,
+    probes: int = PROBES,
+    recall: float = RECALL,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows found for every row whose id is divisible by `every`.
 
@@ -106,10 +143,11 @@ def search(
 
     Equal vectors stand in the index once, with their neighbours + 1 smallest ids: no search returns more of them.
     Both halves are quantised by k-means on a bounded sample (`sample` rows, first by hash); every vector is indexed.
-    A query visits cells by the heap until they hold `share` of all vectors and min_rerank at least, meets the entries
-    of visited cells in blocks, and keeps its best of each block.  Neighbouring cells share a block and a large cell is
-    dealt over several; queries are dealt in blocks too.  Cell counts, at most MOST_CENTROIDS ** 2 numbers, are what
-    the driver holds.  Empty table: no rows.
+    A query visits cells by the heap until they hold as many vectors as reach() found to catch `recall` of the true
+    neighbours of `probes` queries, min_rerank at least, meets the entries of visited cells in blocks, and keeps its best of each block.
+    Neighbouring cells share a block and a large cell is dealt over several; queries are dealt in blocks too.  Cell
+    counts, at most MOST_CENTROIDS ** 2 numbers, and the probes' neighbours are what the driver holds.  Empty table: no
+    rows.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -135,20 +173,22 @@ def search(
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _matrix(batch.column("v").to_pylist(), dim)
+            m = _matrix(batch.column("v"), dim)
             cell = nearest(m[:, :half], books[0]) * len(books[1]) + nearest(m[:, half:], books[1]) if len(m) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column("v"), batch.column("ids"), batch.column("vk")], ["cell", "v", "ids", "vk"])
 
     entries = cut(points.mapInArrow(assign, "cell int, v array<double>, ids array<bigint>, vk long"), "entries")
     counts = {r["cell"]: r["count"] for r in entries.groupBy("cell").count().collect()}
-    want = max(min_rerank, int(total * share))
     blocks = blocks_of(counts)
     asked = cut(rows.filter(F.col("id") % every == 0).groupBy("vk", "v").agg(F.min("id").alias("qk")), "asked")
-    query_blocks = -(-asked.count() // QUERY_BLOCK)
+    distinct = asked.count()
+    query_blocks = -(-distinct // QUERY_BLOCK)
+    probed = _matrix([r.v for r in asked.orderBy(F.xxhash64("vk", F.lit(1)), "vk").limit(probes).select("v").collect()], dim)
+    want = max(min_rerank, reach(entries, probed, books, counts, neighbours, recall))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _matrix(batch.column("v").to_pylist(), dim)
+            m = _matrix(batch.column("v"), dim)
             qk = batch.column("qk").to_pylist()
             for s in range(0, len(m), 64):
                 took = []
@@ -171,18 +211,19 @@ def search(
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), batch.column("cell"), batch.column("v"), batch.column("ids")], ["block", "cell", "v", "ids"])
 
     # a distinct query vector searches once; qk names it by its smallest id
-    routed = asked.select("qk", "v").mapInArrow(route, "qk long, q array<double>, block int, cells array<int>").withColumn("qb", F.pmod(F.xxhash64("qk"), F.lit(max(1, query_blocks))).cast("int"))
+    tasks = max(1, -(-distinct // ROUTED))
+    routed = asked.select("qk", "v").repartition(tasks, "qk").mapInArrow(route, "qk long, q array<double>, block int, cells array<int>").withColumn("qb", F.pmod(F.xxhash64("qk"), F.lit(max(1, query_blocks))).cast("int"))
     dealt = entries.mapInArrow(deal, "block int, cell int, v array<double>, ids array<bigint>").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(0, query_blocks - 1)))))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_id, out_s = [], [], []
         if left.num_rows and right.num_rows:
-            e, cell = _matrix(left.column("v").to_pylist(), dim), left.column("cell").to_numpy()
+            e, cell = _matrix(left.column("v"), dim), left.column("cell").to_numpy()
             ids = left.column("ids").to_pylist()
             first = np.array([i[0] for i in ids])
             for s in range(0, right.num_rows, 256):
                 part = right.slice(s, 256)
-                got = np.einsum("qd,ed->qe", _matrix(part.column("q").to_pylist(), dim), e)
+                got = np.einsum("qd,ed->qe", _matrix(part.column("q"), dim), e)
                 for name, row, visited in zip(part.column("qk").to_pylist(), got, part.column("cells").to_pylist()):
                     here = np.flatnonzero(np.isin(cell, visited))
                     if len(here) > 4 * neighbours:

@@ -101,28 +101,27 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     Every word of every row is in exactly one bin.  A bin holds no two pieces of one duplicate cluster and at most
     per_source pieces of one source.  Documents longer than a bin are cut into bins of their own and a rest.
 
-    Only ids, counts and two hashes move.  Rows are dealt by hash to shards of about shard_rows rows, each packed by
-    itself in bounded memory, and again in the same way if its executor is lost; a row's place is stored before, and
-    repeated rows of one id have places of their own.
+    Only ids, counts and two hashes move.  Rows that agree in all of these are counted before they move and numbered
+    after, so that repeats have places of their own.  Rows are dealt by a hash of their contents and number to shards of
+    about shard_rows rows, each packed by itself in bounded memory: the layout depends on nothing but the rows.
 
     Null text or no words: one piece of 0 tokens in no bin (bin_id null).  Null source: a source of its own.  Empty
     table: no rows.
     """
     cluster = F.col(cluster_col).cast("string") if cluster_col else cluster_key(F.col(text_col))
-    rows = cut(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            word_count(F.col(text_col)).alias("n"),
-            F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit("(none)"))).alias("source"),
-            F.xxhash64(cluster).alias("cluster"),
-            F.xxhash64(F.col(id_col), F.spark_partition_id(), F.monotonically_increasing_id()).alias("place"),
-        ),
-        "pieces",
+    narrow = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        word_count(F.col(text_col)).alias("n"),
+        F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit("(none)"))).alias("source"),
+        F.xxhash64(cluster).alias("cluster"),
     )
+    counted = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    numbered = counted.select(*narrow.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("number"))
+    rows = cut(numbered.withColumn("place", F.xxhash64(*numbered.columns)), "pieces")
     shards = max(1, -(-rows.count() // shard_rows))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["doc_id", "n", "cluster", "place"])
+        ordered = group.sort_values(["doc_id", "n", "cluster", "source", "number"])
         ids = [None if pd.isna(d) else int(d) for d in ordered["doc_id"]]
         out = list(pack_shard(zip(ids, ordered["n"].tolist(), ordered["source"].tolist(), ordered["cluster"].tolist()), capacity, per_source))
         opened = sum(1 for x in out if x[4] is not None and x[4] < 0)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from tidecast.llm.arrow_text import flat, steps
-from tidecast.llm.common import attach, cut
+from tidecast.llm.common import attach, cut, discard
 from tidecast.llm.rolling import BYTES, mix, prefix, ranges, spaced, words
 
 #: Bits of a sieve at most: 8 MB, whatever the corpus.  A full sieve lets everything through, which costs shuffle only.
@@ -222,7 +222,9 @@ def repeated_spans(docs: DataFrame, unit: Unit, kernel: Callable[[pa.Table, int]
     """
     spark = docs.sparkSession
     anchors = _hashes(docs, unit).groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("g").alias("key"))
-    sieve = spark.sparkContext.broadcast(Sieve.of(cut(anchors, "anchors")))
+    anchors = cut(anchors, "anchors")
+    sieve = spark.sparkContext.broadcast(Sieve.of(anchors))
+    discard(anchors)
     places = cut(_places(docs, unit, sieve), "places")
     firsts = cut(places.groupBy("g", "c1", "c2").agg(F.min(F.struct("doc_id", "first")).alias("own"), F.count(F.lit(1)).alias("n")), "firsts")
     copies = attach(places, firsts.filter("n > 1").select("g", "c1", "c2", "own"), ["g", "c1", "c2"], ["doc_id", "first"], "inner", salts=4).filter(F.struct("doc_id", "first") != F.col("own"))
@@ -257,7 +259,9 @@ def repeated_spans(docs: DataFrame, unit: Unit, kernel: Callable[[pa.Table, int]
     # the join with the few hot anchors needs nothing of a shard
     far = _by_window(contents.join(hot, "g", "left_semi"), unit)
     spans = whole.union(near).union(far)
-    return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    out = cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(places, firsts, compared, contents, hot)
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.arrow_text import STEP, flat, steps
-from tidecast.llm.common import attach, cut
+from tidecast.llm.common import attach, cut, discard
 from tidecast.llm.components import components
 from tidecast.llm.repeats import sieved
 from tidecast.llm.rolling import digests, mix, numbered, shingles, words
@@ -214,6 +214,7 @@ def group(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, ba
     real = prints.filter("n > 0 and doc_id is not null")
     classes = real.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_count")).filter("_count > 1").drop("_count")
     labelled = cut(attach(prints, classes, ["d1", "d2", "n"], ["doc_id"]).withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).select("doc_id", "n", "class_id", "bands"), "classes")
+    discard(prints)
     # an id of several rows, with different texts, joins their classes
     shared = labelled.filter("n > 0 and class_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     reps = labelled.filter("n > 0 and doc_id = class_id").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
@@ -225,6 +226,7 @@ def group(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, ba
     edges = cut(verified(pairs, texts, size, similarity), "edges", narrow=True)
     edges = settle(edges, members.select("key", "rep"), texts, size, similarity)
     roots = cut(components(cut(edges.union(several_classes(shared, labelled)), "edges", narrow=True)), "roots", narrow=True)
+    discard(members, pairs, wanted, texts)
     final = attach(labelled, roots.select(F.col("node").alias("class_id"), "root"), ["class_id"], ["doc_id"])
     component = F.when(F.col("n") > 0, F.coalesce("root", "class_id")).otherwise(F.col("doc_id"))
     return final.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

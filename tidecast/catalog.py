@@ -327,6 +327,74 @@ def backtest_naive_table(spark, d):
     return out.select("t0", "t1", "t2", rounded("mae").alias("mae"), rounded("crps").alias("crps"))
 
 
+@query(SQL["backtest_naive_table"])
+def backtest_seasonal_naive(spark, d):
+    """The same windows through backtest() and a forecaster."""
+    from tidecast.plans.backtest import backtest
+    from tidecast.plans.forecaster import SeasonalNaiveForecaster
+
+    series = daily(spark, d).select("series", POS, "y")
+    found = backtest(series, lambda keys: SeasonalNaiveForecaster(keys, 7, num_draws=2), ["series"], metrics=("mae", "crps"), test=4, train=14, min_test=4, stride=4)
+    return found.table.select("t0", "t1", "t2", rounded("mae").alias("mae"), rounded("crps").alias("crps"))
+
+
+@query("""WITH t AS (SELECT DISTINCT date_trunc('hour', ts) AS time FROM events WHERE ts < (SELECT min(ts) + INTERVAL 3 DAY FROM events)),
+h AS (SELECT unnest(generate_series((SELECT min(time) FROM t), (SELECT max(time) FROM t), INTERVAL 1 HOUR)) AS time), i AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS pos FROM h)
+SELECT time, pos FROM i UNION ALL SELECT (SELECT max(time) FROM i) + to_hours(k::INTEGER), (SELECT max(pos) FROM i) + k FROM generate_series(1, 30) g(k)""")
+def extend_index_hourly(spark, d):
+    """Hourly labels of three days and 30 steps more, the step found from the data."""
+    ts = read(spark, d, "events").select("ts")
+    first = ts.crossJoin(F.broadcast(ts.agg((F.min("ts") + F.expr("interval 3 days")).alias("end")))).filter("ts < end")
+    hours = first.agg(F.min(F.date_trunc("hour", "ts")).alias("lo"), F.max(F.date_trunc("hour", "ts")).alias("hi")).select(F.posexplode(F.expr("sequence(lo, hi, interval 1 hour)")).alias(POS, "time"))
+    kind = dict(ts.dtypes)["ts"]
+    return index.extend_time_index(hours.select(F.col("time").cast(kind).alias("time"), F.col(POS).cast("long").alias(POS)), 30)
+
+
+@query(SQL["extend_index_monthly"])
+def extend_index_month_inferred(spark, d):
+    """extend_index_monthly without a stated freq."""
+    months = read(spark, d, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("time")).distinct()
+    return index.extend_time_index(months.withColumn(POS, (F.row_number().over(Window.orderBy("time")) - 1).cast("long")), 6)
+
+
+@query(f"""WITH {DAILY}, {NAIVE}, t AS (SELECT series, pos, y FROM daily WHERE pos % 3 <> 0 UNION ALL SELECT series, pos, y FROM daily WHERE pos % 5 = 1),
+p AS (SELECT DISTINCT series, pos FROM naive), k AS (SELECT series, pos, count(*) AS n FROM t GROUP BY ALL)
+SELECT count(*) AS places, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (n > 1) AS repeated FROM p LEFT JOIN k USING (series, pos)""")
+def evaluate_missing_truth(spark, d):
+    """What keeps a forecast from being scored: places whose truth is missing or stated twice."""
+    samples, _, _ = ensemble(spark, d)
+    truth = daily(spark, d).select("series", POS, F.col("y").alias("truth"))
+    given = truth.filter(F.col(POS) % 3 != 0).unionByName(truth.filter(F.col(POS) % 5 == 1))
+    return metrics.truth_gaps(samples, given, ["series", POS])
+
+
+def shards(spark, d):
+    """Orders by nation and day, in two parts that follow each other."""
+    days = read(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("time"))
+    by = days.join(read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("origin")), "o_custkey")
+    rides = by.groupBy("time", "origin").agg(F.count(F.lit(1)).alias("rides"))
+    turn = F.lit("1995-01-01").cast("date")
+    return [rides.filter(F.col("time") < turn), rides.filter(F.col("time") >= turn)]
+
+
+WEEKS = """o AS (SELECT c_nationkey AS origin, o_orderdate::DATE AS day FROM orders JOIN customer ON o_custkey = c_custkey), e AS (SELECT min(day) AS t0, (max(day) - min(day) + 1) // 7 AS n FROM o),
+w AS (SELECT origin, ((day - t0) // 7)::BIGINT AS block, count(*) AS rides FROM o, e WHERE (day - t0) // 7 < n GROUP BY ALL)"""
+
+
+@query(f"WITH {WEEKS} SELECT block, round(ln(sum(rides)), 6) + 0.0 AS y FROM w GROUP BY 1")
+def loader_weekly_total(spark, d):
+    from tidecast.sources import loaders
+
+    return loaders.weekly_total(loaders.od_counts(shards(spark, d), hours=24), 7).select("block", rounded("y").alias("y"))
+
+
+@query(f"WITH {WEEKS}, t AS (SELECT origin FROM w GROUP BY 1 ORDER BY sum(rides) DESC, origin LIMIT 8) SELECT origin, block, round(ln(1 + rides), 6) + 0.0 AS y FROM w JOIN t USING (origin)")
+def loader_weekly_by_origin(spark, d):
+    from tidecast.sources import loaders
+
+    return loaders.weekly_by_origin(loaders.od_counts(shards(spark, d), hours=24), 8, 7).select("origin", "block", rounded("y").alias("y"))
+
+
 def fixed_posterior(spark, n: int = 200) -> DataFrame:
     """A stated posterior: chain, draw, intercept, slope, level, drift, sigma, obs_sigma."""
     i = F.col("id")
@@ -364,10 +432,10 @@ def random_walk_replay(spark, d):
     return out.select("chain", "draw", POS, rounded("mu_future").alias("mu_future"), rounded("forecast").alias("forecast"))
 
 
-@query(f"WITH {DAILY}, {POST} SELECT chain, draw, series, pos, round(intercept + slope * pos, 6) + 0.0 AS mu FROM daily, post WHERE pos < {T_OBS} AND series = 'click'")
+@query(f"WITH {DAILY}, {POST} SELECT chain, draw, series, pos, round(intercept + slope * pos, 6) + 0.0 AS mu FROM daily, post WHERE pos < {T_OBS}")
 def in_sample_mu_coherent(spark, d):
-    steps = daily(spark, d).filter((F.col("series") == "click") & (F.col(POS) < T_OBS)).withColumn("x", F.col(POS).cast("double"))
-    return draws.linear_predictor(fixed_posterior(spark), F.broadcast(steps), {"slope": "x"}).select("chain", "draw", "series", POS, rounded("mu").alias("mu"))
+    steps = daily(spark, d).filter(F.col(POS) < T_OBS).withColumn("x", F.col(POS).cast("double"))
+    return draws.linear_predictor(F.broadcast(fixed_posterior(spark)), steps, {"slope": "x"}).select("chain", "draw", "series", POS, rounded("mu").alias("mu"))
 
 
 @query(f"""WITH RECURSIVE {POST}, p AS (SELECT chain, draw, level FROM post), f AS (SELECT chain, draw, -1 AS k, level AS x FROM p UNION ALL
@@ -430,14 +498,14 @@ def forecast_linreg_trend(spark, d):
     return fit.crossJoin(F.broadcast(steps)).select("series", "draw", POS, rounded(F.col("intercept") + F.col("slope") * F.col(POS) + 3 * z, 5).alias("forecast"))
 
 
-@query(f"""WITH {DAILY}, {POST}, s AS (SELECT pos, y AS x FROM daily WHERE series = 'click' AND pos >= {T_OBS}), f AS (SELECT chain, draw, sum(intercept + slope * x) AS base, sum(intercept + slope * x * 1.2) AS alt FROM post, s GROUP BY ALL)
-SELECT round(avg(alt / base - 1), 6) + 0.0 AS uplift, round(quantile_cont(alt / base - 1, 0.05), 6) + 0.0 AS lo, round(quantile_cont(alt / base - 1, 0.95), 6) + 0.0 AS hi FROM f""")
+@query(f"""WITH {DAILY}, {POST}, s AS (SELECT series, pos, y AS x FROM daily WHERE pos >= {T_OBS}), f AS (SELECT series, chain, draw, sum(intercept + slope * x) AS base, sum(intercept + slope * x * 1.2) AS alt FROM post, s GROUP BY ALL)
+SELECT series, round(avg(alt / base - 1), 6) + 0.0 AS uplift, round(quantile_cont(alt / base - 1, 0.05), 6) + 0.0 AS lo, round(quantile_cont(alt / base - 1, 0.95), 6) + 0.0 AS hi FROM f GROUP BY series""")
 def counterfactual_uplift(spark, d):
     """The same draws over the horizon as it is and with the covariate raised by a fifth: draws pair by key."""
-    steps = daily(spark, d).filter((F.col("series") == "click") & (F.col(POS) >= T_OBS)).select(POS, F.col("y").alias("x"))
-    both = draws.linear_predictor(fixed_posterior(spark), F.broadcast(steps.withColumn("x2", F.col("x") * 1.2)), {"slope": "x"}).withColumn("mu2", F.col("intercept") + F.col("slope") * F.col("x2"))
-    ratio = both.groupBy("chain", "draw").agg((F.sum("mu2") / F.sum("mu") - 1).alias("u"))
-    return ratio.agg(rounded(F.avg("u")).alias("uplift"), rounded(F.percentile("u", 0.05)).alias("lo"), rounded(F.percentile("u", 0.95)).alias("hi"))
+    steps = daily(spark, d).filter(F.col(POS) >= T_OBS).select("series", POS, F.col("y").alias("x"))
+    both = draws.linear_predictor(F.broadcast(fixed_posterior(spark)), steps.withColumn("x2", F.col("x") * 1.2), {"slope": "x"}).withColumn("mu2", F.col("intercept") + F.col("slope") * F.col("x2"))
+    ratio = both.groupBy("series", "chain", "draw").agg((F.sum("mu2") / F.sum("mu") - 1).alias("u"))
+    return ratio.groupBy("series").agg(rounded(F.avg("u")).alias("uplift"), rounded(F.percentile("u", 0.05)).alias("lo"), rounded(F.percentile("u", 0.95)).alias("hi"))
 
 
 @query(f"WITH {POST} SELECT (g / 4.0)::DOUBLE AS x, round(quantile_cont(intercept + slope * g / 4.0, 0.1), 6) + 0.0 AS lo, round(median(intercept + slope * g / 4.0), 6) + 0.0 AS mid, round(quantile_cont(intercept + slope * g / 4.0, 0.9), 6) + 0.0 AS hi FROM post, generate_series(0, 40) q(g) GROUP BY 1")

@@ -27,3 +27,7 @@ class NotFittedError(TidecastError, RuntimeError):
 
 class OptionalDependencyError(TidecastError, ImportError):
     """A package that an optional feature needs is missing."""
+
+
+class ConvergenceWarning(UserWarning):
+    """A variational fit whose loss still falls, or can't be told to have settled."""

@@ -44,10 +44,10 @@ def seasonal_naive(history: DataFrame, keys: Sequence[str], t_obs: int, horizon:
     """(keys, draw, pos, pred): each window of the history that starts a multiple of period before t_obs and holds the
     horizon is one draw of the future.
 
-    A history row serves the draws whose windows hold it, so rows explode in place and nothing is joined.
+    A history row finds the draws whose windows hold it by division and explodes into those alone; nothing is joined.
     """
-    k = F.explode(F.sequence(F.lit(1), F.lit(max(1, t_obs // period)))).alias("draw")
-    step = F.col(POS) - (F.lit(t_obs) - F.col("draw") * period)
-    rows = history.filter(F.col(POS) < t_obs).select(*keys, POS, value, k).withColumn("_step", step)
-    fits = (F.lit(t_obs) - F.col("draw") * period >= 0) & (F.lit(t_obs) - F.col("draw") * period + horizon <= t_obs)
-    return rows.filter(fits & F.col("_step").between(0, horizon - 1)).select(*keys, F.col("draw").cast("long").alias("draw"), (F.col("_step") + t_obs).cast("long").alias(POS), F.col(value).cast("double").alias("pred"))
+    back = F.lit(t_obs) - F.col(POS)
+    first = F.greatest(F.ceil(back / period), F.lit(-(-horizon // period)).cast("long"), F.lit(1).cast("long"))
+    last = F.least(F.floor((back + (horizon - 1)) / period), F.lit(t_obs // period).cast("long"))
+    rows = history.filter(F.col(POS) < t_obs).select(*keys, POS, value, F.explode(F.when(first <= last, F.sequence(first, last))).alias("draw"))
+    return rows.select(*keys, "draw", (F.col(POS) + F.col("draw") * period).cast("long").alias(POS), F.col(value).cast("double").alias("pred"))

@@ -16,16 +16,36 @@ def paths(series: DataFrame, keys: Sequence[str], value: str = "y") -> DataFrame
     return series.groupBy(*keys).agg(F.transform(rows, lambda r: r["v"]).alias("path"))
 
 
+#: States that a fold appends to one array at a time.
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scan(path: Column, init: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column], Column]) -> Column:
-    """The emitted states of a left fold over an array."""
+    """The emitted states of a left fold over an array.
+
+    States gather by blocks, so that a path of n costs n * BLOCK appends at most and not n * n.
+    """
     empty = F.transform(F.slice(path, 1, 0), lambda v: emit(step(init, v)))
-    start = F.struct(init.alias("s"), empty.alias("out"))
 
     def one(acc: Column, v: Column) -> Column:
-        now = step(acc["s"], v)
-        return F.struct(now.alias("s"), F.concat(acc["out"], F.array(emit(now))).alias("out"))
+        return let(step(acc["s"], v), lambda now: F.struct(now.alias("s"), F.concat(acc["out"], F.array(emit(now))).alias("out")))
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["s"].alias("s"), F.slice(acc["none"], 1, 0).alias("out")), one)
+        return let(inner, lambda got: F.struct(got["s"].alias("s"), F.concat(acc["out"], F.array(got["out"])).alias("out"), acc["none"].alias("none")))
+
+    def over(p: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(p), F.lit(BLOCK)), lambda at: at < F.size(p))
+        parts = F.transform(starts, lambda at: F.slice(p, at + 1, BLOCK))
+        start = F.struct(init.alias("s"), F.slice(F.array(empty), 1, 0).alias("out"), empty.alias("none"))
+        return F.flatten(F.aggregate(parts, start, block, lambda acc: acc["out"]))
 
-    return F.aggregate(path, start, one, lambda acc: acc["out"])
+    return let(path, over)
 
 
 def ar1(noise: Column, start: Column, phi: float, sigma: float) -> Column:

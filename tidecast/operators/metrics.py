@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,14 +38,29 @@ def crps_of(ordered: Column, truth: Column) -> Column:
 def reduce_draws(samples: DataFrame, truth: DataFrame, on: Sequence[str], by: Sequence[str] = (), pred: str = "pred", value: str = "truth") -> DataFrame:
     """(by, on, truth, draws): each place's draws in rising order, beside its truth.
 
-    Draws gather on the exchange of one aggregation; a place has as many as were drawn, never more.
+    Draws gather on the exchange of one aggregation; a place has as many as were drawn, never more.  A place without a
+    truth, with a null one or with several raises: a score of what is left would be another score.
     """
     keys = list(dict.fromkeys([*by, *on]))
     held = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(pred)).alias("draws"))
-    shared = [k for k in keys if k in truth.columns]
     if set(on) - set(truth.columns):
         raise AlignmentError("the truth lacks " + ", ".join(sorted(set(on) - set(truth.columns))))
-    return held.join(truth.select(*shared, F.col(value).alias("truth")), shared)
+    shared = [k for k in keys if k in truth.columns]
+    known = truth.groupBy(*shared).agg(F.max(value).cast("double").alias("_truth"), F.count(F.lit(1)).alias("_truths"))
+    told = (
+        F.when(F.col("_truths") > 1, F.raise_error(F.lit("a forecast has several truths")).cast("double"))
+        .when(F.col("_truth").isNull(), F.raise_error(F.lit("a forecast has no truth")).cast("double"))
+        .otherwise(F.col("_truth"))
+    )
+    return held.join(known, shared, "left").withColumn("truth", told).drop("_truth", "_truths")
+
+
+def truth_gaps(samples: DataFrame, truth: DataFrame, on: Sequence[str], value: str = "truth") -> DataFrame:
+    """One row: places of the forecast, those of them without a truth, and those with several."""
+    places = samples.select(*on).distinct()
+    known = truth.filter(F.col(value).isNotNull()).groupBy(*on).agg(F.count(F.lit(1)).alias("_truths"))
+    met = places.join(known, list(on), "left")
+    return met.agg(F.count(F.lit(1)).alias("places"), F.count_if(F.col("_truths").isNull()).alias("missing"), F.count_if(F.col("_truths") > 1).alias("repeated"))
 
 
 def metric(name: str, alpha: float = 0.9, quantile: float = 0.5) -> Column:
@@ -69,10 +84,27 @@ def metric(name: str, alpha: float = 0.9, quantile: float = 0.5) -> Column:
     return table[name]()
 
 
-def evaluate_forecast(samples: DataFrame, truth: DataFrame, on: Sequence[str], by: Sequence[str] = (), metrics: Sequence[str] = DEFAULT_METRICS, alpha: float = 0.9, quantile: float = 0.5) -> DataFrame:
-    """One row (for each value of `by`) with a column a metric, all from one pass over the draws."""
+#: A metric of one's own: (draws in rising order, truth) of a place -> its score, which is averaged over places.
+Score = Callable[[Column, Column], Column]
+
+
+def evaluate_forecast(samples: DataFrame, truth: DataFrame, on: Sequence[str], by: Sequence[str] = (), metrics: Sequence[str | Score] | Mapping[str, str | Score] = DEFAULT_METRICS, alpha: float = 0.9, quantile: float = 0.5) -> DataFrame:
+    """One row (for each value of `by`) with a column a metric, all from one pass over the draws.
+
+    metrics are names, functions of a place's draws and truth, or both by name of their column.
+    """
     places = reduce_draws(samples, truth, on, by)
-    return places.groupBy(*by).agg(*(metric(m, alpha, quantile).alias(m) for m in metrics))
+    return places.groupBy(*by).agg(*(_aggregate(m, alpha, quantile).alias(name) for name, m in named_metrics(metrics).items()))
+
+
+def named_metrics(metrics: Sequence[str | Score] | Mapping[str, str | Score]) -> dict[str, str | Score]:
+    if isinstance(metrics, Mapping):
+        return dict(metrics)
+    return {m if isinstance(m, str) else m.__name__: m for m in metrics}
+
+
+def _aggregate(m: str | Score, alpha: float, quantile: float) -> Column:
+    return metric(m, alpha, quantile) if isinstance(m, str) else F.avg(m(F.col("draws"), F.col("truth")))
 
 
 def crps_empirical(samples: DataFrame, truth: DataFrame, on: Sequence[str]) -> DataFrame:

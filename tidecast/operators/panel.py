@@ -34,9 +34,9 @@ def null_covariates(series: DataFrame) -> DataFrame:
 
 def spine(series: DataFrame, keys: Sequence[str], time: str = TIME_DIM, step: str = "1") -> DataFrame:
     """Every key with every step from the first to the last time of all, `step` apart."""
-    ends = series.agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-    steps = ends.select(F.explode(F.expr(f"sequence(lo, hi, {step})")).alias(time))
-    return series.select(*keys).distinct().crossJoin(F.broadcast(steps))
+    ends = F.broadcast(series.agg(F.min(time).alias("_lo"), F.max(time).alias("_hi")))
+    # one row of ends meets the keys, whose steps explode where they are
+    return series.select(*keys).distinct().crossJoin(ends).select(*keys, F.explode(F.expr(f"sequence(_lo, _hi, {step})")).alias(time))
 
 
 def densify(series: DataFrame, keys: Sequence[str], time: str, value: str, step: str, fill: float | None = 0.0) -> DataFrame:
@@ -50,15 +50,16 @@ def densify(series: DataFrame, keys: Sequence[str], time: str, value: str, step:
     return full.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(float(fill))))
 
 
-def alignment_violations(data: DataFrame, covariates: DataFrame, time: str = TIME_DIM) -> DataFrame:
-    """The positions whose time the covariates lack or hold otherwise."""
-    other = covariates.select(F.col(POS), F.col(time).alias("_other"))
-    return data.select(POS, time).join(other, POS, "left").filter(~F.col(time).eqNullSafe(F.col("_other"))).select(POS, time, F.col("_other").alias("covariate_time"))
+def alignment_violations(data: DataFrame, covariates: DataFrame, time: str = TIME_DIM, keys: Sequence[str] = ()) -> DataFrame:
+    """The positions (of each key) whose time the covariates lack or hold otherwise; covariates may be without keys."""
+    on = [*(k for k in keys if k in covariates.columns), POS]
+    other = covariates.select(*on, F.col(time).alias("_other"))
+    return data.select(*keys, POS, time).join(other, on, "left").filter(~F.col(time).eqNullSafe(F.col("_other"))).select(*keys, POS, time, F.col("_other").alias("covariate_time"))
 
 
-def validate_alignment(data: DataFrame, covariates: DataFrame, time: str = TIME_DIM) -> None:
+def validate_alignment(data: DataFrame, covariates: DataFrame, time: str = TIME_DIM, keys: Sequence[str] = ()) -> None:
     """Raise unless the covariates cover the data and start with exactly its times."""
-    bad = alignment_violations(data, covariates, time).count()
+    bad = alignment_violations(data, covariates, time, keys).count()
     if bad:
         raise AlignmentError(f"{bad} of the observed steps have no equal covariate time")
 

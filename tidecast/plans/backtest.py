@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.names import POS
-from tidecast.operators.metrics import DEFAULT_METRICS, evaluate_forecast
+from tidecast.operators.metrics import DEFAULT_METRICS, Score, evaluate_forecast, named_metrics
 from tidecast.operators.windows import window_splits
 from tidecast.plans.forecaster import BaseForecaster
 
 SPLIT = ["t0", "t1", "t2"]
 Transform = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+PerWindow = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -34,13 +35,14 @@ def window_scales(cut: DataFrame, keys: Sequence[str], seasonality: int) -> Data
     return scale.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.raise_error(F.lit("a training window is too short or constant at this seasonality")).cast("double")))
 
 
-def backtest(data: DataFrame, make: Callable[[list[str]], BaseForecaster], keys: Sequence[str] = (), metrics: Sequence[str] = DEFAULT_METRICS, test: int = 1, num_samples: int = 100, covariates: DataFrame | None = None, transform: Transform | None = None, seasonality: int | None = None, in_sample: bool = False, **split: object) -> BacktestResult:
+def backtest(data: DataFrame, make: Callable[[list[str]], BaseForecaster], keys: Sequence[str] = (), metrics: Sequence[str | Score] | Mapping[str, str | Score] = DEFAULT_METRICS, test: int = 1, num_samples: int = 100, covariates: DataFrame | None = None, transform: Transform | None = None, seasonality: int | None = None, in_sample: bool = False, per_window: Mapping[str, PerWindow] | None = None, **split: object) -> BacktestResult:
     """Fit make(keys) on each window's training rows, forecast its test, score it.
 
     Windows become one more key, so all fits run as one job; a window holds its position in the series, and a fit sees
     nothing from t1 on.  covariates (keys or not, pos, columns) span the data.  transform takes predictions (column
     pred) and truth and returns what is scored.  seasonality adds mase, scaled by each window's own training rows;
-    in_sample adds train_ columns, the scores of observations resampled over the training rows.
+    in_sample adds train_ columns, the scores of observations resampled over the training rows.  per_window adds scores
+    of one's own, tables (t0, t1, t2, name) made of the windows' training rows, the predictions and the truth.
     """
     duration = data.agg(F.max(POS)).first()[0] + 1
     windows = window_splits(data.sparkSession, duration, test=test, **split)
@@ -51,25 +53,26 @@ def backtest(data: DataFrame, make: Callable[[list[str]], BaseForecaster], keys:
     steps = windows.withColumn(POS, F.explode(F.sequence(F.col("t1"), F.col("t2") - 1)))
     if fitted.had_covariates_:
         steps = steps.join(covariates, POS)
-    fitted.t_obs_ = 0
     draws = fitted.draw_posterior(num_samples)
     predictions = fitted.forecast(covariates=steps, posterior=draws)
     truth = data.select(*keys, POS, F.col("y").alias("truth"))
 
-    def score(samples: DataFrame, names: Sequence[str]) -> DataFrame:
+    def score(samples: DataFrame, names: Mapping[str, str | Score]) -> DataFrame:
         pair = (samples, truth)
         if transform is not None:
             pair = transform(*pair)
         return evaluate_forecast(*pair, [*keys, POS], by=SPLIT, metrics=names)
 
-    wanted = [*metrics, *(["mae"] if seasonality is not None and "mae" not in metrics else [])]
+    metrics = named_metrics(metrics)
+    wanted = {**metrics, **({"_mae": "mae"} if seasonality is not None else {})}
     scores = score(predictions.withColumnRenamed("forecast", "pred"), wanted)
     if seasonality is not None:
         scores = scores.join(window_scales(cut, keys, seasonality), SPLIT)
-        scores = scores.select(*SPLIT, *metrics, (F.col("mae") / F.col("scale")).alias("mase"))
+        scores = scores.select(*SPLIT, *metrics, (F.col("_mae") / F.col("scale")).alias("mase"))
+    for name, own in (per_window or {}).items():
+        scores = scores.join(own(cut, predictions.withColumnRenamed("forecast", "pred"), truth).select(*SPLIT, F.col(name)), SPLIT)
     if in_sample:
-        # paths count from the window's start
-        replayed = fitted.predict_in_sample(posterior=draws).withColumn(POS, F.col(POS) + F.col("t0")).withColumnRenamed("obs", "pred")
+        replayed = fitted.predict_in_sample(posterior=draws).withColumnRenamed("obs", "pred")
         trained = score(replayed, metrics)
         scores = scores.join(trained.select(*SPLIT, *(F.col(m).alias(f"train_{m}") for m in metrics)), SPLIT)
     return BacktestResult(scores, predictions)

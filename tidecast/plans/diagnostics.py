@@ -28,6 +28,18 @@ def elbo_convergence(losses: DataFrame, steps: int) -> DataFrame:
     return out.select((F.col("m") - F.col("l")).alias("fall"), "mad", (ok & (F.col("m") - F.col("l") > threshold)).alias("still_falling"), ok.alias("assessed"))
 
 
+def still_falling(losses: np.ndarray) -> bool | None:
+    """elbo_convergence()'s rule on one fit's losses; None where windows overlap or a loss isn't finite."""
+    steps = len(losses)
+    n = max(steps // 10, 10)
+    mid = steps // 2 - n // 2
+    late, middle = losses[-n:], losses[mid : mid + n]
+    if mid < 0 or mid + n > steps - n or not (np.isfinite(late).all() and np.isfinite(middle).all()):
+        return None
+    mad = np.median(np.abs(late - np.median(late)))
+    return bool(np.median(middle) - np.median(late) > max(mad, 2 * 1.858 * mad * np.sqrt(2 / n)))
+
+
 def split_rhat(chains: np.ndarray) -> float:
     """Split R-hat of draws (chain, draw)."""
     half = chains.shape[1] // 2

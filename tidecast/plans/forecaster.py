@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -10,17 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidecast.errors import AlignmentError, HorizonError, MethodResolutionError, NotFittedError
+from tidecast.errors import AlignmentError, ConvergenceWarning, HorizonError, MethodResolutionError, NotFittedError
 from tidecast.functions.features import fourier_features
 from tidecast.functions.rng import key_of, normal, student, uniforms
 from tidecast.names import POS, TIME_DIM
 from tidecast.operators import index as time_index
 from tidecast.operators.draws import thin_draws
 from tidecast.operators.panel import validate_finite
-from tidecast.plans import kernels
+from tidecast.plans import diagnostics, kernels
+from tidecast.plans.models import UserModel
 from tidecast.plans.spec import Compiled, ModelSpec
 
-DRAWS = "chain int, draw long, beta array<double>, sigma double, level_sd double, level double, mu_path array<double>"
+#: t_first and t_obs: a series' first step and the one after its last, each its own.  still_falling: see convergence().
+DRAWS = "chain int, draw long, beta array<double>, sigma double, level_sd double, level double, mu_path array<double>, state array<double>, t_first long, t_obs long, still_falling boolean"
 
 
 def local_trend_spec() -> ModelSpec:
@@ -52,7 +55,7 @@ def poisson_from(u: pd.Series, rate: pd.Series) -> pd.Series:
 class BaseForecaster:
     """spec: the model.  keys: columns that tell series apart; each is a task's work of its own.  seed: of all draws."""
 
-    def __init__(self, spec: ModelSpec, keys: Sequence[str] = (), seed: int = 0, num_draws: int = 200, chains: int = 1) -> None:
+    def __init__(self, spec: ModelSpec | UserModel, keys: Sequence[str] = (), seed: int = 0, num_draws: int = 200, chains: int = 1) -> None:
         self.spec, self.keys, self.seed, self.num_draws, self.chains = spec, list(keys), seed, num_draws, chains
         self.posterior_: DataFrame | None = None
         self.data_: DataFrame | None = None
@@ -87,19 +90,20 @@ class BaseForecaster:
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(POS)
-            model = Compiled(spec, frame["y"].to_numpy(float), frame[POS].to_numpy(), frame[names].to_numpy(float))
+            model = spec.compile(frame["y"].to_numpy(float), frame[POS].to_numpy(), frame[names].to_numpy(float))
+            held = {"t_first": int(frame[POS].iloc[0]), "t_obs": int(frame[POS].iloc[-1]) + 1}
             key = [frame[k].iloc[0] for k in keys]
             word = int.from_bytes(__import__("hashlib").md5(repr((seed, [str(k) for k in key])).encode()).digest()[:8], "little")
             out = []
             for chain in range(chains):
                 for d, v in enumerate(sample(model, np.random.default_rng([word, chain]))):
-                    out.append({**dict(zip(keys, key)), "chain": chain, "draw": d, **model.draw(v)})
+                    out.append({**dict(zip(keys, key)), "chain": chain, "draw": d, **model.draw(v), **held, "still_falling": getattr(model, "still_falling", None)})
             return pd.DataFrame(out)
 
         schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + DRAWS
         grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit("all"))
         self.posterior_ = grouped.applyInPandas(run, schema).persist()
-        self.data_, self.t_obs_ = data, data.agg(F.max(POS)).first()[0] + 1
+        self.data_ = data
         self.had_covariates_ = bool(names)
         return self
 
@@ -130,7 +134,8 @@ class BaseForecaster:
         """(keys, chain, draw, pos, mu_future, forecast) over the horizon: exactly one of the first four says which.
 
         covariates span data and horizon, future_covariates the horizon alone (pos from 0), future_index its labels.
-        Draws are replayed by key; noise is a function of seed, draw, series and step, so partitions don't matter.
+        Draws are replayed by key; noise is a function of seed, draw, series and step, so partitions don't matter.  Each
+        series is forecast from its own last step on.
         """
         self._require_fitted()
         if sum(x is not None for x in (horizon, covariates, future_covariates, future_index)) != 1:
@@ -138,25 +143,38 @@ class BaseForecaster:
         if self.had_covariates_ and (horizon is not None or future_index is not None):
             raise HorizonError("a model with covariates needs theirs over the horizon")
         spark = self.posterior_.sparkSession
-        t = self.t_obs_
+        # steps after each series' own end, but for covariates, whose steps count from the start
+        whole = covariates is not None
         if horizon is not None:
             if horizon < 1:
                 raise HorizonError("the horizon must be 1 step or more")
-            steps = spark.range(t, t + horizon).toDF(POS)
-        elif covariates is not None:
-            steps = covariates.filter(F.col(POS) >= t)
+            steps = spark.range(horizon).toDF(POS)
+        elif whole:
+            steps = covariates
         else:
             given = future_covariates if future_covariates is not None else future_index
             if TIME_DIM in given.columns and TIME_DIM in self.data_.columns:
                 time_index.concat_time_index(self.data_.select(TIME_DIM, POS).distinct(), given.select(TIME_DIM, POS).distinct())
-            steps = given.withColumn(POS, F.col(POS) + t)
-        if steps.isEmpty():
+            steps = given
+        on = [k for k in self.keys if k in steps.columns]
+        if whole:
+            ends = self.data_.groupBy(*on).agg((F.max(POS) + 1).alias("_end"))
+            ahead = steps.join(ends, on) if on else steps.crossJoin(F.broadcast(ends))
+            if ahead.filter(F.col(POS) >= F.col("_end")).isEmpty():
+                raise HorizonError("nothing lies beyond the data")
+        elif steps.isEmpty():
             raise HorizonError("nothing lies beyond the data")
         seed = self.seed if seed is None else seed
         draws = self._resolve(posterior, num_samples)
-        on = [k for k in self.keys if k in steps.columns]
-        # steps of all series may be many, a horizon alone is short
-        grid = draws.join(steps, on) if on else draws.crossJoin(F.broadcast(steps))
+        # a horizon alone is short; steps of all series may be many, and the planner sees how large they are
+        grid = draws.join(steps, on) if on else draws.crossJoin(F.broadcast(steps) if horizon is not None else steps)
+        grid = grid.filter(F.col(POS) >= F.col("t_obs")) if whole else grid.withColumn(POS, F.col(POS) + F.col("t_obs"))
+        return self._simulate(grid, seed)
+
+    def _simulate(self, grid: DataFrame, seed: int) -> DataFrame:
+        """The forecast of draws beside the steps of their horizon."""
+        if isinstance(self.spec, UserModel):
+            return self.spec.simulate(grid, self.keys, seed)
         linear = F.aggregate(F.zip_with(F.col("beta"), self._features(), lambda b, x: b * x), F.lit(0.0), lambda a, v: a + v)
         out = grid.withColumn("_linear", linear)
         if self.spec.level:
@@ -172,7 +190,8 @@ class BaseForecaster:
     def predict_in_sample(self, posterior: DataFrame | None = None, num_samples: int | None = None, seed: int | None = None) -> DataFrame:
         """(keys, chain, draw, pos, mu, obs): observations resampled given the replayed latents."""
         self._require_fitted()
-        rows = self._resolve(posterior, num_samples).select(*self.keys, "chain", "draw", "sigma", F.posexplode("mu_path").alias(POS, "mu"))
+        rows = self._resolve(posterior, num_samples).select(*self.keys, "chain", "draw", "sigma", "t_first", F.posexplode("mu_path").alias("_at", "mu"))
+        rows = rows.withColumn(POS, F.col("t_first") + F.col("_at"))
         return self._noisy(rows, "mu", "obs", self.seed if seed is None else seed).select(*self.keys, "chain", "draw", POS, "mu", "obs")
 
 
@@ -181,12 +200,7 @@ class PriorForecaster(BaseForecaster):
     observed window, forecast() that of the horizon."""
 
     def _sample(self, model: Compiled, rng: np.random.Generator) -> Iterable[np.ndarray]:
-        out = rng.standard_normal((self.num_draws, model.dim))
-        out[:, model.beta] *= model.sd
-        for at, name, scale in ((model.noise, "sigma", 1.0), (model.step, "level", 0.5)):
-            if at is not None:
-                out[:, at] = np.log(np.abs(out[:, at]) * self.spec.prior(name, scale) + 1e-12)
-        return out
+        return model.prior_draws(rng, self.num_draws)
 
 
 class Forecaster(BaseForecaster):
@@ -201,9 +215,26 @@ class Forecaster(BaseForecaster):
         self.method, self.num_steps, self.rate = method, num_steps, float(optimizer or 0.01)
 
     def _sample(self, model: Compiled, rng: np.random.Generator) -> Iterable[np.ndarray]:
-        draw, _ = kernels.advi(model.target, model.dim, rng, self.num_steps, self.rate, self.method == "fullrank_advi", model.start())
+        draw, losses = kernels.advi(model.target, model.dim, rng, self.num_steps, self.rate, self.method == "fullrank_advi", model.start())
+        model.still_falling = diagnostics.still_falling(losses)
         return draw(self.num_draws)
 
+    def fit(self, data: DataFrame, covariates: DataFrame | None = None) -> BaseForecaster:
+        """As BaseForecaster.fit(), and a warning where the loss of some series still falls or can't be assessed."""
+        super().fit(data, covariates)
+        if self.num_steps // 2 + max(self.num_steps // 10, 10) < self.num_steps:
+            state = self.convergence().agg(F.count(F.lit(1)).alias("n"), F.count_if("still_falling").alias("falling"), F.count_if(F.col("still_falling").isNull()).alias("unknown")).first()
+            if state["falling"]:
+                warnings.warn(f"the loss still falls in {state['falling']} of {state['n']} fits; raise num_steps", ConvergenceWarning, stacklevel=2)
+            if state["unknown"]:
+                warnings.warn(f"the loss of {state['unknown']} of {state['n']} fits could not be assessed", ConvergenceWarning, stacklevel=2)
+        return self
+
+    def convergence(self) -> DataFrame:
+        """(keys, chain, still_falling): whether the loss still fell by the rule of diagnostics; null where it isn't finite."""
+        self._require_fitted()
+        return self.posterior_.filter("draw = 0").select(*self.keys, "chain", "still_falling")
+
 
 class HMCForecaster(BaseForecaster):
     """The no-U-turn sampler: num_draws after tune steps in each of `chains`."""
@@ -239,7 +270,7 @@ class LevelModel(Compiled):
 
     def logp(self, v: np.ndarray) -> float:
         sd = np.exp(v[self.k :])
-        return self.filtered(v)[0] - 0.5 * ((v[: self.k] / self.sd) ** 2).sum() - 0.5 * (sd[0] ** 2 + (sd[1] / 0.5) ** 2) + v[self.k :].sum()
+        return self.filtered(v)[0] + self.beta_prior(v[: self.k])[0] + float(self.sigma_prior.density(sd[0])[0] + self.level_prior.density(sd[1])[0]) + v[self.k :].sum()
 
     def path(self, v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """The vector of the plain model: coefficients, log sigma, log step, and innovations of one smoothed path."""
@@ -252,8 +283,8 @@ class StatespaceForecaster(BaseForecaster):
     """Local level with regression, trend and Fourier terms: the level is marginalised, deviations are sampled by NUTS."""
 
     def __init__(self, spec: ModelSpec, keys: Sequence[str] = (), num_draws: int = 300, tune: int = 300, chains: int = 1, **settings: object) -> None:
-        if spec.family != "normal":
-            raise MethodResolutionError("state-space models are normal")
+        if not isinstance(spec, ModelSpec) or spec.family != "normal":
+            raise MethodResolutionError("state-space models are normal model specifications")
         super().__init__(ModelSpec(**{**spec.__dict__, "level": True}), keys, num_draws=num_draws, chains=chains, **settings)
         self.tune = tune
 
@@ -266,6 +297,36 @@ class StatespaceForecaster(BaseForecaster):
         return [inner.path(v, rng) for v in found]
 
 
+class SeasonalNaiveForecaster(BaseForecaster):
+    """No model: draw d of a step is what was seen d + 1 periods before it, from each series' own last step on."""
+
+    def __init__(self, keys: Sequence[str] = (), period: int = 1, num_draws: int = 1, seed: int = 0) -> None:
+        super().__init__(ModelSpec(), keys, seed, num_draws)
+        self.period = period
+
+    def fit(self, data: DataFrame, covariates: DataFrame | None = None) -> BaseForecaster:
+        validate_finite(data, "y")
+        ends = data.groupBy(*self.keys).agg(F.min(POS).alias("t_first"), (F.max(POS) + 1).alias("t_obs"))
+        draws = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.num_draws - 1).cast("long")))
+        self.posterior_ = ends.select(*self.keys, F.lit(0).alias("chain"), draws.alias("draw"), "t_first", "t_obs")
+        self.data_, self.had_covariates_ = data, False
+        return self
+
+    def draw_posterior(self, num_samples: int = 100, seed: int | None = None) -> DataFrame:
+        """The first num_samples draws; there are no others."""
+        self._require_fitted()
+        return self.posterior_.filter(F.col("draw") < num_samples)
+
+    def _simulate(self, grid: DataFrame, seed: int) -> DataFrame:
+        back = (F.col("draw") + 1) * self.period
+        asked = grid.filter(F.col("t_obs") - back >= F.col("t_first")).withColumn("_from", F.col(POS) - back)
+        seen = self.data_.select(*self.keys, F.col(POS).alias("_from"), F.col("y").cast("double").alias("mu_future"))
+        return asked.join(seen, [*self.keys, "_from"]).select(*self.keys, "chain", "draw", POS, "mu_future", F.col("mu_future").alias("forecast"))
+
+    def predict_in_sample(self, *args: object, **settings: object) -> DataFrame:
+        raise NotImplementedError("a seasonal-naive forecast has no latents to replay")
+
+
 METHODS = {
     "advi": Forecaster,
     "fullrank_advi": lambda spec, **k: Forecaster(spec, method="fullrank_advi", **k),

@@ -8,20 +8,59 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 
 from tidecast.errors import MethodResolutionError
+from tidecast.plans.distributions import KNOWN
 
 FAMILIES = ("normal", "poisson", "studentt")
 
 
 @dataclass(frozen=True)
 class Prior:
-    """A named distribution with its parameters; a parameter may be a Prior in turn, and is then drawn once."""
+    """A named distribution with its parameters: one of distributions.KNOWN, whatever its case.
+
+    A parameter may be a Prior in turn.  Such a hyperprior isn't sampled: its mean, over draws of a fixed seed, stands in.
+    """
 
     dist: str
     params: Mapping[str, object] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        known = KNOWN.get(self.name)
+        if known is None:
+            raise MethodResolutionError(f"no distribution {self.dist!r}; there are {', '.join(sorted(KNOWN))}")
+        if wrong := set(self.params) - set(known.defaults):
+            raise MethodResolutionError(f"{self.dist} has no {', '.join(sorted(wrong))}")
+
+    @property
+    def name(self) -> str:
+        return self.dist.lower().replace("_", "")
+
+    @property
+    def positive(self) -> bool:
+        return KNOWN[self.name].positive
+
+    def numbers(self) -> dict[str, float]:
+        given = {k: v.mean() if isinstance(v, Prior) else float(v) for k, v in self.params.items()}
+        return {**KNOWN[self.name].defaults, **given}
+
+    def mean(self) -> float:
+        return float(self.draw(np.random.default_rng(0), 20_000).mean())
+
     def scale(self) -> float:
-        value = self.params.get("sigma", 1.0)
-        return value.scale() if isinstance(value, Prior) else float(value)
+        return self.numbers().get("sigma", 1.0)
+
+    def density(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return KNOWN[self.name].density(np.asarray(x, float), self.numbers())
+
+    def draw(self, rng: np.random.Generator, n: int) -> np.ndarray:
+        return KNOWN[self.name].draw(rng, n, self.numbers())
+
+
+def create_normal(mu: float = 0.0, sigma: float = 1.0) -> Prior:
+    return Prior("normal", {"mu": mu, "sigma": sigma})
+
+
+def create_half_normal(sigma: float = 1.0) -> Prior:
+    return Prior("halfnormal", {"sigma": sigma})
 
 
 class PriorConfig:
@@ -62,9 +101,20 @@ class ModelSpec:
     def __post_init__(self) -> None:
         if self.family not in FAMILIES:
             raise MethodResolutionError(f"unknown family {self.family!r}")
+        for name, prior in self.priors.items():
+            if name not in (*self.names, "sigma", "level"):
+                raise MethodResolutionError(f"a prior for {name!r}, which the model lacks")
+            if (name in ("sigma", "level")) != prior.positive:
+                raise MethodResolutionError(f"{prior.dist} is no prior for {name!r}")
+
+    def prior(self, name: str) -> Prior:
+        """The prior of a coefficient, of "sigma" or of "level" (the step of the random walk), on the scaled values."""
+        if name in ("sigma", "level"):
+            return self.priors.get(name) or create_half_normal(1.0 if name == "sigma" else 0.5)
+        return self.priors.get(name) or create_normal(0.0, 2.0 if name == "intercept" else 1.0)
 
-    def prior(self, name: str, scale: float) -> float:
-        return self.priors[name].scale() if name in self.priors else scale
+    def compile(self, y: np.ndarray, pos: np.ndarray, covariates: np.ndarray) -> Compiled:
+        return Compiled(self, y, pos, covariates)
 
     def with_priors(self, **priors: Prior) -> ModelSpec:
         return replace(self, priors={**self.priors, **priors})
@@ -101,7 +151,10 @@ class Compiled:
         self.shift[0], self.span = 0.0, np.where(self.span > 0, self.span, 1.0)
         self.x = (raw - self.shift) / self.span
         k = self.x.shape[1]
-        self.sd = np.array([spec.prior(name, 2.0 if name == "intercept" else 1.0) for name in spec.names])
+        self.priors = [spec.prior(name) for name in spec.names]
+        self.sigma_prior, self.level_prior = spec.prior("sigma"), spec.prior("level")
+        numbers = [p.numbers() for p in self.priors]
+        self.normal = (np.array([p["mu"] for p in numbers]), np.array([p["sigma"] for p in numbers])) if all(p.name == "normal" for p in self.priors) else None
         self.beta = slice(0, k)
         self.noise = None if plain else k
         at = k + (not plain)
@@ -118,6 +171,14 @@ class Compiled:
             out[self.step] = -2.0
         return out
 
+    def beta_prior(self, beta: np.ndarray) -> tuple[float, np.ndarray]:
+        if self.normal is not None:
+            mu, sd = self.normal
+            z = (beta - mu) / sd
+            return float(-0.5 * (z @ z)), -z / sd
+        found = [prior.density(b) for prior, b in zip(self.priors, beta)]
+        return float(sum(lp for lp, _ in found)), np.array([slope for _, slope in found], float)
+
     def parts(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mu, level) on the scaled values."""
         level = np.cumsum(np.exp(v[self.step]) * v[self.eps]) if self.step is not None else np.zeros(self.n)
@@ -127,8 +188,7 @@ class Compiled:
         g = np.zeros(self.dim)
         mu, _ = self.parts(v)
         beta = v[self.beta]
-        logp = -0.5 * ((beta / self.sd) ** 2).sum()
-        g[self.beta] = -beta / self.sd**2
+        logp, g[self.beta] = self.beta_prior(beta)
         if self.spec.family == "poisson":
             rate = np.exp(np.clip(mu, -30, 30))
             logp += (self.y * mu - rate).sum()
@@ -144,18 +204,18 @@ class Compiled:
                 w = (nu + 1) / (nu + z * z)
                 logp += -0.5 * (nu + 1) * np.log1p(z * z / nu).sum() - self.n * v[self.noise]
                 d, into = w * z / sigma, (w * z * z).sum() - self.n
-            # half-normal scale, with the logarithm's volume
-            s = self.spec.prior("sigma", 1.0)
-            logp += -0.5 * (sigma / s) ** 2 + v[self.noise]
-            g[self.noise] = into - (sigma / s) ** 2 + 1
+            # the scale's prior, with the logarithm's volume
+            lp, slope = self.sigma_prior.density(sigma)
+            logp += float(lp) + v[self.noise]
+            g[self.noise] = into + sigma * slope + 1
         g[self.beta] += self.x.T @ d
         if self.step is not None:
             tau, e = np.exp(v[self.step]), v[self.eps]
             back = np.cumsum(d[::-1])[::-1]
-            s = self.spec.prior("level", 0.5)
-            logp += -0.5 * (e @ e) - 0.5 * (tau / s) ** 2 + v[self.step]
+            lp, slope = self.level_prior.density(tau)
+            logp += -0.5 * (e @ e) + float(lp) + v[self.step]
             g[self.eps] = tau * back - e
-            g[self.step] = tau * (back @ e) - (tau / s) ** 2 + 1
+            g[self.step] = tau * (back @ e) + tau * slope + 1
         return float(logp), g
 
     def draw(self, v: np.ndarray) -> dict[str, object]:
@@ -171,4 +231,14 @@ class Compiled:
             "level_sd": float(np.exp(v[self.step]) * self.unit) if self.step is not None else 0.0,
             "level": float(level[-1] * self.unit),
             "mu_path": (mu * self.unit + self.centre).tolist(),
+            "state": [],
         }
+
+    def prior_draws(self, rng: np.random.Generator, n: int) -> np.ndarray:
+        """n vectors of the priors alone."""
+        out = rng.standard_normal((n, self.dim))
+        out[:, self.beta] = np.column_stack([prior.draw(rng, n) for prior in self.priors])
+        for at, prior in ((self.noise, self.sigma_prior), (self.step, self.level_prior)):
+            if at is not None:
+                out[:, at] = np.log(prior.draw(rng, n) + 1e-12)
+        return out

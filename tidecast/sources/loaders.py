@@ -12,33 +12,33 @@ from tidecast.names import POS
 WEEK = 168
 
 
-def od_counts(shards: Sequence[DataFrame]) -> DataFrame:
-    """(time, pos, origin, destination, rides) of shards that follow each other in time."""
+def od_counts(shards: Sequence[DataFrame], hours: int = 1) -> DataFrame:
+    """(time, pos, origin, destination, rides) of shards that follow each other in time; a position is `hours` long."""
     whole = shards[0]
     for s in shards[1:]:
         whole = whole.unionByName(s)
     start = F.broadcast(whole.agg(F.min("time").alias("_t0")))
-    hours = (F.unix_timestamp(F.col("time").cast("timestamp")) - F.unix_timestamp(F.col("_t0").cast("timestamp"))) / 3600
-    return whole.crossJoin(start).withColumn(POS, F.floor(hours).cast("long")).drop("_t0")
+    since = (F.unix_timestamp(F.col("time").cast("timestamp")) - F.unix_timestamp(F.col("_t0").cast("timestamp"))) / (3600 * hours)
+    return whole.crossJoin(start).withColumn(POS, F.floor(since).cast("long")).drop("_t0")
 
 
-def _blocks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """rides of each whole block of 168 positions; a partial one at the end is dropped."""
+def _blocks(counts: DataFrame, keys: Sequence[str], week: int) -> DataFrame:
+    """rides of each whole block of `week` positions; a partial one at the end is dropped."""
     n = F.broadcast(counts.agg((F.max(POS) + 1).alias("_n")))
-    rows = counts.crossJoin(n).withColumn("block", F.floor(F.col(POS) / WEEK).cast("long")).filter(F.col("block") < F.floor(F.col("_n") / WEEK))
+    rows = counts.crossJoin(n).withColumn("block", F.floor(F.col(POS) / week).cast("long")).filter(F.col("block") < F.floor(F.col("_n") / week))
     return rows.groupBy(*keys, "block").agg(F.sum("rides").alias("rides"))
 
 
-def weekly_total(counts: DataFrame) -> DataFrame:
+def weekly_total(counts: DataFrame, week: int = WEEK) -> DataFrame:
     """(block, y): the logarithm of all rides of each week."""
-    return _blocks(counts, []).select("block", F.ln("rides").alias("y"))
+    return _blocks(counts, [], week).select("block", F.ln("rides").alias("y"))
 
 
-def weekly_by_origin(counts: DataFrame, num_series: int | None = 8) -> DataFrame:
+def weekly_by_origin(counts: DataFrame, num_series: int | None = 8, week: int = WEEK) -> DataFrame:
     """(origin, block, y): log1p of each week's rides from the num_series largest origins; ties go to the first by name."""
     if num_series is not None and num_series < 1:
         raise ValueError("num_series must be 1 or more")
-    weeks = _blocks(counts, ["origin"])
+    weeks = _blocks(counts, ["origin"], week)
     if num_series is not None:
         top = weeks.groupBy("origin").agg(F.sum("rides").alias("n")).orderBy(F.desc("n"), "origin").limit(num_series)
         weeks = weeks.join(F.broadcast(top.select("origin")), "origin", "left_semi")

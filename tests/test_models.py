@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidecast.errors import AlignmentError, ConvergenceWarning, MethodResolutionError
 from tidecast.functions import features
-from tidecast.operators import folds, index, metrics, panel
+from tidecast.operators import folds, index, metrics, panel, results
 from tidecast.plans import diagnostics
 from tidecast.plans.backtest import backtest
 from tidecast.plans.distributions import KNOWN, zero_sum
@@ -205,3 +205,65 @@ def test_seasonal_naive_draws(spark):
     for t_obs, horizon, period in ((23, 7, 7), (10, 3, 4), (30, 10, 7), (5, 3, 4)):
         want = {(k, t_obs + j, float(t_obs - k * period + j)) for k in range(1, t_obs // period + 1) for j in range(horizon) if t_obs - k * period + horizon <= t_obs}
         assert {tuple(r) for r in features.seasonal_naive(data, [], t_obs, horizon, period).collect()} == want
+
+
+def test_hyperpriors_are_parameters_drawn_once(spark):
+    model = UserModel({"drift": Prior("Normal", {"mu": Prior("Normal", {"mu": 2.0, "sigma": 0.5}), "sigma": 0.01})}, emit=lambda s, p, t, x: p["drift"] * t)
+    assert model.names == ["drift_mu", "drift"]
+    drawn = PriorForecaster(model, ["series"], num_draws=400).fit(line(spark))
+    beta = np.array([r.beta for r in drawn.posterior_.collect()])
+    assert abs(beta[:, 0].mean() - 2) < 0.1 and np.abs(beta[:, 0] - beta[:, 1]).max() < 0.1 and beta[:, 0].std() > 0.3
+    fit = Forecaster(model, ["series"], num_steps=4000, optimizer=0.02).fit(line(spark, slope=1.0))
+    assert np.abs(np.array([r.beta for r in fit.posterior_.collect()]) - 1).max() < 0.3
+
+
+def test_filters_have_their_slopes():
+    from tidecast.plans import kernels
+    from tidecast.plans.forecaster import LevelModel
+
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=25).cumsum()
+    total, by_y, d_obs, d_level = kernels.kalman_score(y, 0.7, 0.2, 0.0, 1e-6)
+    ll = lambda y, h, q: kernels.kalman_loglik(y, h, q, 0.0, 1e-6)[0]
+    assert abs(total - ll(y, 0.7, 0.2)) < 1e-9
+    e = 1e-6
+    assert np.allclose(by_y, [(ll(y + u, 0.7, 0.2) - ll(y - u, 0.7, 0.2)) / (2 * e) for u in np.eye(25) * e], atol=1e-5)
+    assert abs(d_obs - (ll(y, 0.7 + e, 0.2) - ll(y, 0.7 - e, 0.2)) / (2 * e)) < 1e-4 and abs(d_level - (ll(y, 0.7, 0.2 + e) - ll(y, 0.7, 0.2 - e)) / (2 * e)) < 1e-4
+    model = LevelModel(ModelSpec(period=7.0, terms=1, level=True), y, np.arange(25), np.zeros((25, 0)))
+    v = model.start() + 0.1
+    value, g = model.target(v)
+    assert abs(value - model.logp(v)) < 1e-9 and np.allclose(g, kernels.numeric(model.logp)(v)[1], atol=1e-4)
+
+
+def test_results_come_out_of_what_holds_them(spark):
+    fit = PathfinderForecaster(ModelSpec(), ["series"]).fit(line(spark))
+    drawn = fit.forecast(horizon=2, num_samples=5, var_names=["forecast"])
+    assert drawn.columns == ["series", "chain", "draw", "pos", "forecast"]
+    with pytest.raises(ValueError):
+        fit.forecast(horizon=2, var_names=["other"])
+    assert results.prediction_samples({"predictions": drawn}) is drawn and results.prediction_samples(drawn) is drawn
+    assert results.posterior_table(fit).count() == 200
+    for bad in (3, {"other": drawn}, spark.range(2)):
+        with pytest.raises(TypeError):
+            results.prediction_samples(bad)
+    both = results.by_model({"a": drawn, "b": drawn})
+    assert {(r.model, r["count"]) for r in both.groupBy("model").count().collect()} == {("a", 10), ("b", 10)}
+    scale = spark.createDataFrame([("a", 2.0)], "series string, scale double")
+    shifted = drawn.withColumn("forecast", F.col("draw") - F.lit(2.0))
+    assert sorted({r.forecast for r in results.back_transform(shifted, scale, ["series"], ["forecast"]).collect()}) == [0.0, 2.0, 4.0]
+    with pytest.raises(Exception, match="no scale"):
+        results.back_transform(drawn, scale.limit(0), ["series"], ["forecast"]).collect()
+
+
+def test_calendar_columns(spark):
+    df = spark.createDataFrame([("2024-01-01 05:00:00", 1.0), ("2024-01-07 23:00:00", None)], "t string, x double").withColumn("t", F.col("t").cast("timestamp"))
+    got = [tuple(r) for r in df.select(*features.calendar_parts(F.col("t")), features.step_flag(F.col("t"), "2024-01-03")).collect()]
+    assert got == [(0, 5, 1, 1, 0.0), (6, 23, 7, 1, 1.0)]
+    assert features.design_matrix(df, ["t"], {"hour": F.hour("t")}).columns == ["t", "hour"]
+    with pytest.raises(Exception, match="x holds null"):
+        features.design_matrix(df, ["t"], {"x": F.col("x")}).collect()
+
+
+def test_backtests_tell_what_fitting_took(spark):
+    got = backtest(line(spark), lambda keys: PathfinderForecaster(ModelSpec(), keys), ["series"], min_train=20, test=3, stride=8, num_samples=20).table.collect()
+    assert len(got) == 2 and all(r.train_walltime > 0 and r.num_samples == 20 for r in got)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import features, rng
 from tidecast.names import POS
-from tidecast.operators import draws, folds, index, metrics, panel, windows
+from tidecast.operators import draws, folds, index, metrics, panel, results, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -539,6 +539,48 @@ def streaming_daily_counts(spark, d):
     return daily_counts(spark, f"{d}/events.parquet").select("event_type", "day", "n", rounded("total", 4).alias("total"))
 
 
+@query("""SELECT event_id, (isodow(ts) - 1)::INTEGER AS weekday, hour(ts)::INTEGER AS hour, day(ts)::INTEGER AS day_of_month, month(ts)::INTEGER AS month,
+CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS late FROM events""")
+def event_calendar(spark, d):
+    at = F.col("ts").cast("timestamp")
+    return read(spark, d, "events").select("event_id", *features.calendar_parts(at), features.step_flag(at, "2024-01-15").alias("late"))
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT series, avg(y) AS scale FROM daily WHERE pos < {T_OBS} GROUP BY 1), m AS (SELECT series, pos, y / scale - 1 AS x, scale FROM daily JOIN s USING (series))
+SELECT 'raw' AS model, series, pos, round(x, 6) + 0.0 AS x FROM m UNION ALL SELECT 'scaled', series, pos, round(greatest(x * scale, 0), 6) + 0.0 FROM m""")
+def back_transformed(spark, d):
+    """Scaled values beside the same on the data's own scale, not below 0."""
+    scaled = panel.scale_by_train_mean(daily(spark, d), ["series"], T_OBS).withColumn("x", F.col("scaled") - 1)
+    raw = scaled.select("series", POS, "x")
+    lifted = results.back_transform(raw, scaled.select("series", "scale").distinct(), ["series"], ["x"])
+    return results.by_model({"raw": raw, "scaled": lifted}).select("model", "series", POS, rounded("x").alias("x"))
+
+
+def _own_model(name: str):
+    def run(spark, d):
+        from tidecast.plans import forecaster as fc
+        from tidecast.plans.models import UserModel, time_series
+        from tidecast.plans.spec import Prior
+
+        series = daily(spark, d).select("series", POS, "y").withColumn("x", F.sin(F.lit(2 * math.pi / PERIOD) * F.col(POS)))
+        wide = Prior("normal", {"mu": 0.0, "sigma": 100.0})
+        model = {
+            "user_model_forecast": UserModel({"base": wide, "swing": wide}, emit=lambda s, p, t, x: p["base"] + p["swing"] * x["x"], covariates=("x",)),
+            "markov_model_forecast": time_series(Prior("normal", {"sigma": 1.0}), Prior("halfnormal", {"sigma": 5.0})),
+        }[name]
+        covariates = series.select("series", POS, "x")
+        made = fc.PathfinderForecaster(model, ["series"]).fit(series.filter(F.col(POS) < T_OBS), covariates if model.covariates else None)
+        ahead = made.forecast(covariates=covariates, num_samples=50) if model.covariates else made.forecast(horizon=HORIZON, num_samples=50)
+        return ahead.groupBy("series", POS).agg(F.avg("forecast").alias("mean"), F.stddev("forecast").alias("sd"))
+
+    run.__name__ = name
+    query(None)(run)
+
+
+for _name in ("user_model_forecast", "markov_model_forecast"):
+    _own_model(_name)
+
+
 def _fit(method: str):
     def run(spark, d):
         from tidecast.plans import forecaster as fc

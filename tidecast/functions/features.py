@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,3 +51,19 @@ def seasonal_naive(history: DataFrame, keys: Sequence[str], t_obs: int, horizon:
     last = F.least(F.floor((back + (horizon - 1)) / period), F.lit(t_obs // period).cast("long"))
     rows = history.filter(F.col(POS) < t_obs).select(*keys, POS, value, F.explode(F.when(first <= last, F.sequence(first, last))).alias("draw"))
     return rows.select(*keys, "draw", (F.col(POS) + F.col("draw") * period).cast("long").alias(POS), F.col(value).cast("double").alias("pred"))
+
+
+def calendar_parts(time: Column) -> list[Column]:
+    """weekday (Monday is 0), hour, day_of_month and month of a date or timestamp."""
+    return [F.weekday(time).alias("weekday"), F.hour(time).alias("hour"), F.dayofmonth(time).alias("day_of_month"), F.month(time).alias("month")]
+
+
+def step_flag(time: Column, since: str) -> Column:
+    """1.0 from a date or timestamp on, 0.0 before."""
+    return (time >= F.lit(since).cast("timestamp")).cast("double")
+
+
+def design_matrix(df: DataFrame, keep: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """keep and named covariate columns; null or NaN in one of these raises when the table is read."""
+    checked = {name: F.when(c.isNull() | F.isnan(c.cast("double")), F.raise_error(F.lit(f"{name} holds null or NaN")).cast("double")).otherwise(c.cast("double")) for name, c in columns.items()}
+    return df.select(*keep, *(c.alias(name) for name, c in checked.items()))

@@ -42,7 +42,8 @@ def backtest(data: DataFrame, make: Callable[[list[str]], BaseForecaster], keys:
     nothing from t1 on.  covariates (keys or not, pos, columns) span the data.  transform takes predictions (column
     pred) and truth and returns what is scored.  seasonality adds mase, scaled by each window's own training rows;
     in_sample adds train_ columns, the scores of observations resampled over the training rows.  per_window adds scores
-    of one's own, tables (t0, t1, t2, name) made of the windows' training rows, the predictions and the truth.
+    of one's own, tables (t0, t1, t2, name) made of the windows' training rows, the predictions and the truth.  All
+    windows are fitted by one job, so train_walltime is the sum of the seconds that a window's fits took in their tasks.
     """
     duration = data.agg(F.max(POS)).first()[0] + 1
     windows = window_splits(data.sparkSession, duration, test=test, **split)
@@ -75,6 +76,10 @@ def backtest(data: DataFrame, make: Callable[[list[str]], BaseForecaster], keys:
         replayed = fitted.predict_in_sample(posterior=draws).withColumnRenamed("obs", "pred")
         trained = score(replayed, metrics)
         scores = scores.join(trained.select(*SPLIT, *(F.col(m).alias(f"train_{m}") for m in metrics)), SPLIT)
+    scores = scores.withColumn("num_samples", F.lit(num_samples))
+    if "fit_seconds" in fitted.posterior_.columns:
+        took = fitted.posterior_.filter("chain = 0 and draw = 0").groupBy(*SPLIT).agg(F.sum("fit_seconds").alias("train_walltime"))
+        scores = scores.join(took, SPLIT, "left")
     return BacktestResult(scores, predictions)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -85,3 +86,22 @@ def zero_sum(rng: np.random.Generator, n: int, size: int, sigma: float = 1.0) ->
     """n normal vectors of `size` entries that sum to 0: a normal vector less its mean."""
     x = rng.normal(0, sigma, (n, size))
     return x - x.mean(1, keepdims=True)
+
+
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def log_constant(name: str, p: Mapping[str, float | np.ndarray]) -> float | np.ndarray:
+    """What a density leaves out as long as its parameters are fixed, up to a number."""
+    return {
+        "normal": lambda: -np.log(p["sigma"]),
+        "studentt": lambda: -np.log(p["sigma"]) + _log_gamma((np.asarray(p["nu"]) + 1) / 2) - _log_gamma(np.asarray(p["nu"]) / 2) - 0.5 * np.log(p["nu"]),
+        "laplace": lambda: -np.log(p["b"]),
+        "halfnormal": lambda: -np.log(p["sigma"]),
+        "halfcauchy": lambda: -np.log(p["beta"]),
+        "exponential": lambda: np.log(p["lam"]),
+        "gamma": lambda: p["alpha"] * np.log(p["beta"]) - _log_gamma(p["alpha"]),
+        "inversegamma": lambda: p["alpha"] * np.log(p["beta"]) - _log_gamma(p["alpha"]),
+        "lognormal": lambda: -np.log(p["sigma"]),
+        "beta": lambda: _log_gamma(np.asarray(p["alpha"]) + p["beta"]) - _log_gamma(p["alpha"]) - _log_gamma(p["beta"]),
+    }[name]()

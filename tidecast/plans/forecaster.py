@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import warnings
 from collections.abc import Iterable, Sequence
 
@@ -23,7 +24,8 @@ from tidecast.plans.models import UserModel
 from tidecast.plans.spec import Compiled, ModelSpec
 
 #: t_first and t_obs: a series' first step and the one after its last, each its own.  still_falling: see convergence().
-DRAWS = "chain int, draw long, beta array<double>, sigma double, level_sd double, level double, mu_path array<double>, state array<double>, t_first long, t_obs long, still_falling boolean"
+#: fit_seconds: what all chains of the series took in their task.
+DRAWS = "chain int, draw long, beta array<double>, sigma double, level_sd double, level double, mu_path array<double>, state array<double>, t_first long, t_obs long, still_falling boolean, fit_seconds double"
 
 
 def local_trend_spec() -> ModelSpec:
@@ -89,6 +91,7 @@ class BaseForecaster:
         kinds = {f.name: f.dataType.simpleString() for f in data.schema.fields}
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
+            began = time.perf_counter()
             frame = frame.sort_values(POS)
             model = spec.compile(frame["y"].to_numpy(float), frame[POS].to_numpy(), frame[names].to_numpy(float))
             held = {"t_first": int(frame[POS].iloc[0]), "t_obs": int(frame[POS].iloc[-1]) + 1}
@@ -98,7 +101,7 @@ class BaseForecaster:
             for chain in range(chains):
                 for d, v in enumerate(sample(model, np.random.default_rng([word, chain]))):
                     out.append({**dict(zip(keys, key)), "chain": chain, "draw": d, **model.draw(v), **held, "still_falling": getattr(model, "still_falling", None)})
-            return pd.DataFrame(out)
+            return pd.DataFrame(out).assign(fit_seconds=time.perf_counter() - began)
 
         schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + DRAWS
         grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit("all"))
@@ -130,8 +133,8 @@ class BaseForecaster:
         noise = student(key, self.spec.degrees) if self.spec.family == "studentt" else normal(key)
         return rows.withColumn(name, F.col(mu) + F.col("sigma") * noise)
 
-    def forecast(self, horizon: int | None = None, covariates: DataFrame | None = None, future_covariates: DataFrame | None = None, future_index: DataFrame | None = None, posterior: DataFrame | None = None, num_samples: int | None = None, seed: int | None = None) -> DataFrame:
-        """(keys, chain, draw, pos, mu_future, forecast) over the horizon: exactly one of the first four says which.
+    def forecast(self, horizon: int | None = None, covariates: DataFrame | None = None, future_covariates: DataFrame | None = None, future_index: DataFrame | None = None, posterior: DataFrame | None = None, num_samples: int | None = None, seed: int | None = None, var_names: Sequence[str] | None = None) -> DataFrame:
+        """(keys, chain, draw, pos, mu_future, forecast), or var_names of the last two, over the horizon: exactly one of the first four says which.
 
         covariates span data and horizon, future_covariates the horizon alone (pos from 0), future_index its labels.
         Draws are replayed by key; noise is a function of seed, draw, series and step, so partitions don't matter.  Each
@@ -169,7 +172,12 @@ class BaseForecaster:
         # a horizon alone is short; steps of all series may be many, and the planner sees how large they are
         grid = draws.join(steps, on) if on else draws.crossJoin(F.broadcast(steps) if horizon is not None else steps)
         grid = grid.filter(F.col(POS) >= F.col("t_obs")) if whole else grid.withColumn(POS, F.col(POS) + F.col("t_obs"))
-        return self._simulate(grid, seed)
+        return self._named(self._simulate(grid, seed), ("mu_future", "forecast"), var_names)
+
+    def _named(self, drawn: DataFrame, known: Sequence[str], var_names: Sequence[str] | None) -> DataFrame:
+        if unknown := set(var_names or ()) - set(known):
+            raise ValueError(f"no variable {', '.join(sorted(unknown))}; there are {', '.join(known)}")
+        return drawn.select(*self.keys, "chain", "draw", POS, *(known if var_names is None else var_names))
 
     def _simulate(self, grid: DataFrame, seed: int) -> DataFrame:
         """The forecast of draws beside the steps of their horizon."""
@@ -187,12 +195,12 @@ class BaseForecaster:
             out = out.withColumn("mu_future", F.col("_linear"))
         return self._noisy(out, "mu_future", "forecast", seed).select(*self.keys, "chain", "draw", POS, "mu_future", "forecast")
 
-    def predict_in_sample(self, posterior: DataFrame | None = None, num_samples: int | None = None, seed: int | None = None) -> DataFrame:
+    def predict_in_sample(self, posterior: DataFrame | None = None, num_samples: int | None = None, seed: int | None = None, var_names: Sequence[str] | None = None) -> DataFrame:
         """(keys, chain, draw, pos, mu, obs): observations resampled given the replayed latents."""
         self._require_fitted()
         rows = self._resolve(posterior, num_samples).select(*self.keys, "chain", "draw", "sigma", "t_first", F.posexplode("mu_path").alias("_at", "mu"))
         rows = rows.withColumn(POS, F.col("t_first") + F.col("_at"))
-        return self._noisy(rows, "mu", "obs", self.seed if seed is None else seed).select(*self.keys, "chain", "draw", POS, "mu", "obs")
+        return self._noisy(rows, "mu", "obs", self.seed if seed is None else seed).transform(self._named, ("mu", "obs"), var_names)
 
 
 class PriorForecaster(BaseForecaster):
@@ -272,6 +280,17 @@ class LevelModel(Compiled):
         sd = np.exp(v[self.k :])
         return self.filtered(v)[0] + self.beta_prior(v[: self.k])[0] + float(self.sigma_prior.density(sd[0])[0] + self.level_prior.density(sd[1])[0]) + v[self.k :].sum()
 
+    def target(self, v: np.ndarray) -> tuple[float, np.ndarray]:
+        """logp() and its gradient."""
+        sd = np.exp(v[self.k :])
+        if not np.isfinite(sd).all():
+            return -np.inf, np.zeros(len(v))
+        fit, by_y, d_obs, d_level = kernels.kalman_score(self.y - self.x @ v[: self.k], sd[0] ** 2, sd[1] ** 2, 0.0, 1e-6)
+        beta, slope = self.beta_prior(v[: self.k])
+        priors = [prior.density(s) for prior, s in zip((self.sigma_prior, self.level_prior), sd)]
+        g = np.concatenate([slope - self.x.T @ by_y, 2 * sd**2 * np.array([d_obs, d_level]) + sd * np.array([p[1] for p in priors], float) + 1])
+        return float(fit + beta + sum(p[0] for p in priors) + v[self.k :].sum()), g
+
     def path(self, v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """The vector of the plain model: coefficients, log sigma, log step, and innovations of one smoothed path."""
         _, ms, ps = self.filtered(v)
@@ -293,7 +312,7 @@ class StatespaceForecaster(BaseForecaster):
         inner.__dict__.update(model.__dict__)
         inner.k = model.x.shape[1]
         start = np.concatenate([Compiled.start(model)[: inner.k], [-1.0, -2.0]])
-        found = kernels.nuts(kernels.numeric(inner.logp), start, rng, self.num_draws, self.tune, depth=5)
+        found = kernels.nuts(inner.target, start, rng, self.num_draws, self.tune, depth=5)
         return [inner.path(v, rng) for v in found]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -232,6 +233,31 @@ def kalman_loglik(y: np.ndarray, obs_var: float, level_var: float, mean0: float,
     return total, ms, ps
 
 
+def kalman_score(y: np.ndarray, obs_var: float, level_var: float, mean0: float, var0: float) -> tuple[float, np.ndarray, float, float]:
+    """The log likelihood of a local level and its derivatives by y, by obs_var and by level_var, in two passes."""
+    m, p, total = mean0, var0, 0.0
+    seen = []
+    for v in y.tolist():
+        prior = p + level_var
+        f = prior + obs_var
+        err, gain = v - m, prior / f
+        total -= 0.5 * (math.log(2 * math.pi * f) + err * err / f)
+        m, p = m + gain * err, prior * obs_var / f
+        seen.append((prior, f, err, gain))
+    d_m = d_p = d_obs = d_level = 0.0
+    by_y = np.empty(len(y))
+    for t in range(len(seen) - 1, -1, -1):
+        prior, f, err, gain = seen[t]
+        d_gain, d_err = d_m * err, d_m * gain - err / f
+        d_f = -0.5 / f + 0.5 * err * err / (f * f) - (d_p * prior * obs_var + d_gain * prior) / (f * f)
+        d_prior = (d_p * obs_var + d_gain) / f + d_f
+        d_obs += d_p * prior / f + d_f
+        by_y[t] = d_err
+        d_level += d_prior
+        d_m, d_p = d_m - d_err, d_prior
+    return total, by_y, d_obs, d_level
+
+
 def smooth_level(ms: np.ndarray, ps: np.ndarray, level_var: float, rng: np.random.Generator) -> np.ndarray:
     """One draw of the level's path given all observations, backwards from the filter."""
     out = np.empty(len(ms))

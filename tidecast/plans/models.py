@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from tidecast.errors import MethodResolutionError
 from tidecast.names import POS
+from tidecast.plans.distributions import KNOWN, log_constant
 from tidecast.plans.spec import FAMILIES, Prior, create_half_normal
 
 Theta = Mapping[str, np.ndarray]
@@ -28,6 +29,9 @@ class UserModel:
     All functions must work elementwise on numpy arrays, as each is called for many vectors of parameters at once: for
     the gradient's, when fitting, and for all draws when forecasting.  In sample, innovations are latent; over the
     horizon the state goes on from each draw's last one with fresh innovations.
+
+    A parameter of a prior may be a Prior itself: it becomes a parameter of the model, named after both ("drift_mu"),
+    is drawn once, and is replayed with the others.
     """
 
     params: Mapping[str, Prior]
@@ -46,9 +50,26 @@ class UserModel:
         if (self.step is None) != (self.init is None):
             raise MethodResolutionError("a step needs a first state, and a first state a step")
 
+    @property
+    def flat(self) -> dict[str, Prior]:
+        """All parameters by name, hyperpriors before those that they shape."""
+        out: dict[str, Prior] = {}
+
+        def add(name: str, prior: Prior) -> None:
+            for part, value in prior.params.items():
+                if isinstance(value, Prior):
+                    add(f"{name}_{part}", value)
+            if name in out:
+                raise MethodResolutionError(f"two parameters are named {name!r}")
+            out[name] = prior
+
+        for name, prior in self.params.items():
+            add(name, prior)
+        return out
+
     @property
     def names(self) -> list[str]:
-        return list(self.params)
+        return list(self.flat)
 
     def compile(self, y: np.ndarray, pos: np.ndarray, covariates: np.ndarray) -> UserCompiled:
         return UserCompiled(self, y, pos, covariates)
@@ -81,7 +102,7 @@ class UserModel:
             steps = len(frame) // rows
             heads = frame.iloc[::steps]
             values = np.stack(heads["beta"].to_list()) if model.params else np.zeros((rows, 0))
-            theta = {name: values[:, k] for k, name in enumerate(model.params)}
+            theta = {name: values[:, k] for k, name in enumerate(model.names)}
             state = np.stack(heads["state"].to_list()).T if model.step is not None else None
             word = int.from_bytes(hashlib.md5(repr((seed, [str(frame[k].iloc[0]) for k in keys])).encode()).digest()[:8], "little")
             rng = np.random.default_rng(word)
@@ -109,7 +130,8 @@ class UserCompiled:
     def __init__(self, spec: UserModel, y: np.ndarray, pos: np.ndarray, covariates: np.ndarray) -> None:
         self.spec, self.y, self.pos, self.n = spec, y, pos.astype(float), len(y)
         self.x = {c: covariates[:, k].astype(float) for k, c in enumerate(spec.covariates)}
-        self.priors = list(spec.params.values())
+        self.flat = spec.flat
+        self.priors = list(self.flat.values())
         self.k = len(self.priors)
         self.noisy = spec.family != "poisson"
         self.sigma_prior = spec.sigma or create_half_normal(float(np.std(y)) or 1.0)
@@ -128,11 +150,16 @@ class UserCompiled:
     def unpack(self, v: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """(theta, sigma, eps) of the rows of v."""
         with np.errstate(over="ignore"):
-            theta = {name: np.exp(v[:, k]) if prior.positive else v[:, k] for k, (name, prior) in enumerate(self.spec.params.items())}
+            theta = {name: np.exp(v[:, k]) if prior.positive else v[:, k] for k, (name, prior) in enumerate(self.flat.items())}
             sigma = np.exp(v[:, self.k]) if self.noisy else np.zeros(len(v))
         eps = v[:, self.dim - self.latent :].reshape(len(v), self.spec.innovations, -1).transpose(1, 0, 2) if self.latent else np.zeros((self.spec.innovations, len(v), self.n))
         return theta, sigma, eps
 
+    def numbers(self, name: str, theta: Theta) -> dict[str, float | np.ndarray]:
+        """The parameters of a prior, those with a prior of their own as they were drawn."""
+        prior = self.flat[name]
+        return {**KNOWN[prior.name].defaults, **{part: theta[f"{name}_{part}"] if isinstance(value, Prior) else float(value) for part, value in prior.params.items()}}
+
     def mean(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         theta, _, eps = self.unpack(v)
         return self.spec.run(theta, self.spec.first(theta, len(v)), eps, self.pos, {c: x[None, :] for c, x in self.x.items()})
@@ -140,8 +167,11 @@ class UserCompiled:
     def logp(self, v: np.ndarray) -> np.ndarray:
         theta, sigma, _ = self.unpack(v)
         out = -0.5 * (v[:, self.dim - self.latent :] ** 2).sum(1) if self.latent else np.zeros(len(v))
-        for k, prior in enumerate(self.priors):
-            out = out + prior.density(theta[self.spec.names[k]])[0] + (v[:, k] if prior.positive else 0)
+        for k, (name, prior) in enumerate(self.flat.items()):
+            value, numbers = theta[name], self.numbers(name, theta)
+            out = out + KNOWN[prior.name].density(value, numbers)[0] + (v[:, k] if prior.positive else 0)
+            if any(isinstance(p, Prior) for p in prior.params.values()):
+                out = out + log_constant(prior.name, numbers)
         mu, _ = self.mean(v)
         if not self.noisy:
             return out + (self.y * mu - np.exp(np.clip(mu, -30, 30))).sum(1)
@@ -158,9 +188,12 @@ class UserCompiled:
 
     def prior_draws(self, rng: np.random.Generator, n: int) -> np.ndarray:
         out = rng.standard_normal((n, self.dim))
-        for k, prior in enumerate([*self.priors, *([self.sigma_prior] if self.noisy else [])]):
-            drawn = prior.draw(rng, n)
-            out[:, k] = np.log(drawn + 1e-12) if prior.positive else drawn
+        theta: dict[str, np.ndarray] = {}
+        for k, (name, prior) in enumerate(self.flat.items()):
+            theta[name] = KNOWN[prior.name].draw(rng, n, self.numbers(name, theta))
+            out[:, k] = np.log(theta[name] + 1e-12) if prior.positive else theta[name]
+        if self.noisy:
+            out[:, self.k] = np.log(self.sigma_prior.draw(rng, n) + 1e-12)
         return out
 
     def draw(self, v: np.ndarray) -> dict[str, object]:

@@ -586,8 +586,8 @@ def _fit(method: str):
         from tidecast.plans import forecaster as fc
 
         series = daily(spark, d).select("series", POS, "time", "y")
-        made = fc.METHODS[method](fc.local_trend_spec(), keys=["series"], **fc.SETTINGS[method]).fit(series.filter(F.col(POS) < T_OBS))
-        return made.forecast(horizon=HORIZON, num_samples=50).groupBy("series", POS).agg(F.avg("forecast").alias("mean"), F.stddev("forecast").alias("sd"))
+        made = fc.METHODS[method](fc.local_trend_spec(), keys=["series"]).fit(series.filter(F.col(POS) < T_OBS))
+        return made.forecast(horizon=HORIZON).groupBy("series", POS).agg(F.avg("forecast").alias("mean"), F.stddev("forecast").alias("sd"))
 
     run.__name__ = f"{method}_forecast"
     query(None)(run)

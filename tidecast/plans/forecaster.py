@@ -104,7 +104,9 @@ class BaseForecaster:
             return pd.DataFrame(out).assign(fit_seconds=time.perf_counter() - began)
 
         schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + DRAWS
-        grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit("all"))
+        # a stated number of partitions, as the rows of many series are few bytes that adaptive execution would put in one task
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        grouped = rows.repartition(parts, *keys).groupBy(*keys) if keys else rows.groupBy(F.lit("all"))
         self.posterior_ = grouped.applyInPandas(run, schema).persist()
         self.data_ = data
         self.had_covariates_ = bool(names)
@@ -353,11 +355,3 @@ METHODS = {
     "pathfinder": PathfinderForecaster,
     "statespace": StatespaceForecaster,
 }
-#: Settings of the registered queries, of a size for short series.
-SETTINGS: dict[str, dict] = {
-    "advi": {"num_steps": 3000, "optimizer": 0.02},
-    "fullrank_advi": {"num_steps": 3000, "optimizer": 0.02},
-    "nuts": {"num_draws": 200, "tune": 200, "chains": 2},
-    "pathfinder": {},
-    "statespace": {"num_draws": 100, "tune": 100},
-}

@@ -10,6 +10,8 @@ from tidecast.llm.common import BLANK, SALTS, ascii_lower, cut
 LEAST_CHARS = 10
 #: Occurrences that one slice of a key has at most, about, where one key holds all lines.
 SLICE_ROWS = 1_000_000
+#: Hashed bits that tell which documents may have a bitmap: 2 MB of words to broadcast at most.  Full, they let all through.
+SIEVE_BITS = 1 << 23
 
 
 def lines_of(text: Column) -> Column:
@@ -75,7 +77,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashes = sliced(cut(line_hashes(docs, id_col, text_col, least).filter("doc_id is not null"), "lines"))
     lost = hashes.join(first_occurrences(hashes), ["h1", "h2", "slice"]).filter("doc_id != owner")
     words = lost.groupBy("doc_id", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    return cut(words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped")), "bitmaps", narrow=True)
 
 
 def _dense(dropped: Column, lines: Column) -> Column:
@@ -84,22 +86,40 @@ def _dense(dropped: Column, lines: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 64).cast("int")), lambda w: F.coalesce(F.element_at(by_word, w), F.lit(0).cast("long")))
 
 
+def marked(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", bits: int = SIEVE_BITS) -> DataFrame:
+    """docs with _may: false for rows that certainly have no bitmap.
+
+    A hashed bit for each id of `bitmaps`, in words of 64 that are broadcast: bits / 64 rows at most, whatever the table.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = bitmaps.select(place(F.col("doc_id")).alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_bits"))
+    at = docs.withColumn("_place", place(F.col(id_col).cast("long"))).withColumn("_word", F.floor(F.col("_place") / 64).cast("int"))
+    met = at.join(F.broadcast(words), "_word", "left")
+    bit = F.expr("shiftrightunsigned(_bits, cast(_place % 64 as int)) & 1L")
+    return met.withColumn("_may", F.coalesce(bit == 1, F.lit(False))).select(*docs.columns, "_may")
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines of `bitmaps` taken out of text_col, and _n_lines, _n_dropped; the text is moved once, by id.
+    """docs with the lines of `bitmaps`, a stored table, taken out of text_col, and _n_lines, _n_dropped.
 
-    A text of which nothing is lost stays as it is, null too; one that loses every line becomes empty.
+    Rows without a bitmap stay where they are; the others' texts are moved once, by id.  A text of which nothing is lost
+    stays as it is, null too; one that loses every line becomes empty.
     """
+    told = marked(docs, bitmaps, id_col)
+    still = told.filter(~F.col("_may")).drop("_may").withColumn("_n_lines", F.size(lines_of(F.col(text_col))).cast("long")).withColumn("_n_dropped", F.lit(0).cast("long"))
+    docs = told.filter("_may").drop("_may")
     joined = docs.join(bitmaps.withColumnRenamed("doc_id", "_bitmap_of").withColumnRenamed("dropped", "_dropped"), F.col(id_col).cast("long") == F.col("_bitmap_of"), "left")
     parts = joined.withColumn("_lines", lines_of(F.col(text_col))).withColumn("_words", F.when(F.col("_dropped").isNotNull(), _dense(F.col("_dropped"), F.col("_lines"))))
     bit = lambda i: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.element_at(F.col("_words"), (F.floor(i / 64) + 1).cast("int")), F.pmod(i, F.lit(64)).cast("int")))
     kept = F.filter(F.col("_lines"), lambda _, i: bit(i) == 0)
     out = parts.withColumn("_kept", F.when(F.col("_words").isNotNull(), kept))
-    return (
+    moved = (
         out.withColumn("_n_lines", F.size("_lines").cast("long"))
         .withColumn("_n_dropped", F.when(F.col("_kept").isNull(), F.lit(0).cast("long")).otherwise((F.size("_lines") - F.size("_kept")).cast("long")))
         .withColumn(text_col, F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")))
         .drop("_bitmap_of", "_dropped", "_lines", "_words", "_kept")
     )
+    return still.unionByName(moved)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

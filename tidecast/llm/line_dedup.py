@@ -108,7 +108,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     told = marked(docs, bitmaps, id_col)
     still = told.filter(~F.col("_may")).drop("_may").withColumn("_n_lines", F.size(lines_of(F.col(text_col))).cast("long")).withColumn("_n_dropped", F.lit(0).cast("long"))
     docs = told.filter("_may").drop("_may")
-    joined = docs.join(bitmaps.withColumnRenamed("doc_id", "_bitmap_of").withColumnRenamed("dropped", "_dropped"), F.col(id_col).cast("long") == F.col("_bitmap_of"), "left")
+    # bitmaps grow with the table: they are never broadcast, at no size
+    joined = docs.join(bitmaps.withColumnRenamed("doc_id", "_bitmap_of").withColumnRenamed("dropped", "_dropped").hint("merge"), F.col(id_col).cast("long") == F.col("_bitmap_of"), "left")
     parts = joined.withColumn("_lines", lines_of(F.col(text_col))).withColumn("_words", F.when(F.col("_dropped").isNotNull(), _dense(F.col("_dropped"), F.col("_lines"))))
     bit = lambda i: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.element_at(F.col("_words"), (F.floor(i / 64) + 1).cast("int")), F.pmod(i, F.lit(64)).cast("int")))
     kept = F.filter(F.col("_lines"), lambda _, i: bit(i) == 0)

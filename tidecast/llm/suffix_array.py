@@ -61,7 +61,8 @@ def late_windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
         prior = np.concatenate([np.zeros(len(fresh), np.int64), common])
         if len(fresh) and len(order):
             prior[len(fresh)] = 0
-        key = group[before] * 256 + data[at[before] + column]
+        transform = data[at[before] + column]
+        key = group[before] * 256 + transform
         new = np.argsort(key, kind="stable")
         sorted_key = key[new]
         same = np.zeros(len(new), bool)

@@ -50,3 +50,12 @@ def test_near_copies_go_and_their_first_stays(spark):
             rows.append((10 * k + copy, " ".join(changed), "en", "s1", 1))
     out = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), None)
     assert {r.doc_id for r in out.collect()} == kept
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ALL_ROWS", 60)
+    monkeypatch.setattr(language_id, "ALL_LANDMARKS", 9)
+    rng = random.Random(4)
+    rows = [(i, prose(rng, g, 30), g, "s", 1) for i, g in enumerate(sorted(SOUNDS) * 60)]
+    model = language_id.train(spark.createDataFrame(rows, SCHEMA))
+    assert model.langs == tuple(sorted(SOUNDS)) and len(model.marks) == 9

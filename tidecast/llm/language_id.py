@@ -14,8 +14,9 @@ from tidecast.llm.arrow_text import flat, steps
 
 #: Hashed n-grams of 1, 2 and 3 bytes; the presence vector's width.
 WIDTH = 4096
-#: Training rows and landmarks a language at most: the bound of the labelled sample.
+#: Training rows and landmarks a language at most, and of all languages: the bounds of the labelled sample.
 PER_LANG, LANDMARKS = 500, 24
+ALL_ROWS, ALL_LANDMARKS = 50_000, 2400
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -91,10 +92,13 @@ def lowest(rows: DataFrame, per_lang: int) -> DataFrame:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Model | None:
     """Fit on at most per_lang rows of each language, first by hash of id, of documents that aren't held out.
 
-    Whole texts become presence rows on the executors; 512 bytes of each sampled row come to the driver.  Rows of null
-    language or text aren't used.  None where there is no row to learn from.
+    Many languages share ALL_ROWS rows and ALL_LANDMARKS landmarks, one each at least.  Whole texts become presence rows
+    on the executors; 512 bytes of each sampled row come to the driver.  Rows of null language or text aren't used.
+    None where there is no row to learn from.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    languages = max(1, docs.select(lang_col).distinct().count())
+    per_lang, landmarks = max(1, min(per_lang, ALL_ROWS // languages)), max(1, min(landmarks, ALL_LANDMARKS // languages))
     # ids alone are ranked; the chosen, per_lang a language, then pick their texts where these are
     chosen = lowest(rows, per_lang).filter("doc_id is not null").groupBy("lang", "doc_id").agg(F.min("r").alias("r"))
     sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "r", _packed("text").alias("p")).collect()

@@ -5,11 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidecast.llm import fm_index, suffix_array, superminhash
 from tidecast.llm.arrow_text import STEP
-from tidecast.llm.rolling import shingles
+from tidecast.llm.rolling import digests, shingles
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string"
@@ -108,3 +109,13 @@ def test_shingles_are_told_apart_by_their_words(size):
         w = tuple(word[ends[t] - n : ends[t]])
         want = {w[k : k + size] for k in range(n - size + 1)} or ({w} if n else set())
         assert len(got.get(t, [])) == len(want) and set(got.get(t, [])) == want
+
+
+def test_names_of_words_differ():
+    rng = random.Random(3)
+    values = sorted({bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 24))) for _ in range(20_000)})
+    lanes = digests(pa.array(values, pa.binary()).slice(1))
+    assert len({tuple(x) for x in lanes.tolist()}) == len(values) - 1
+    assert len(np.unique(lanes[:, 0])) == len(values) - 1
+    again = digests(pa.array(values[::-1], pa.binary()))[::-1]
+    assert (again[1:] == lanes).all() and digests(pa.array([], pa.binary())).shape == (0, 2)

@@ -20,11 +20,11 @@ IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
-#: Word digests that a Python worker remembers, of words up to so many bytes.
-REMEMBERED, SHORT = 200_000, 64
+#: Bytes of a word that two 64-bit numbers hold beside their count, and the keys of the rounds that mix these.
+SHORT = 15
+ROUNDS = np.array([0x8CB92BA72F3D8DD7, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9, 0xF1357AEA2E62A9C5], np.uint64)
 
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-_digests: dict[bytes, bytes] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,18 +102,31 @@ def numbered(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 
 def digests(values: pa.Array) -> np.ndarray:
-    """Two 64-bit columns: 128 bits of BLAKE2 of each value."""
-    if len(_digests) > REMEMBERED:
-        _digests.clear()
-    out = []
-    for value in values.to_pylist():
-        known = _digests.get(value)
-        if known is None:
-            known = blake2b(value, digest_size=16).digest()
-            if len(value) <= SHORT:
-                _digests[value] = known
-        out.append(known)
-    return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+    """Two 64-bit columns that name each value.
+
+    Up to SHORT bytes, the bytes and their number themselves, mixed by a bijection, so that different values have
+    different names; longer values by 128 bits of BLAKE2.
+    """
+    n = len(values)
+    out = np.zeros((n, SHORT + 1), np.uint8)
+    if not n:
+        return out.view(np.uint64)
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[values.offset : values.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    size = np.diff(offsets)
+    short = size <= SHORT
+    out[:, SHORT] = np.where(short, size, 0)
+    inside = np.repeat(short, size)
+    place = np.repeat(np.arange(n) * (SHORT + 1) - offsets[:-1] + offsets[0], size) + np.arange(len(data))
+    out.reshape(-1)[place[inside]] = data[inside]
+    lanes = out.view(np.uint64)
+    for k in np.flatnonzero(~short).tolist():
+        lanes[k] = np.frombuffer(blake2b(data[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]], digest_size=16).digest(), np.uint64)
+    left, right = lanes[:, 0].copy(), lanes[:, 1].copy()
+    for key in ROUNDS:
+        left, right = right, left ^ mix(right + key)
+    return np.stack([left, right], axis=1)
 
 
 def joined(x: np.ndarray, bound_x: int, y: np.ndarray, bound_y: int) -> tuple[np.ndarray, int]:

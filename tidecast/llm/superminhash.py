@@ -43,7 +43,7 @@ def hashed_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[list[
     hashed = np.full((len(at), 2), np.uint64(size))
     for k in range(size):
         hashed = mix(hashed * np.uint64(0xD6E8FEB86659FD93) + lanes[np.where(at + k < last, number[at + k], len(values))])
-    hashed = hashed[np.lexsort((hashed[:, 1], hashed[:, 0], doc))]
+    hashed = hashed[np.lexsort((hashed[:, 0], doc))]
     ends = np.searchsorted(doc, np.arange(texts + 1))
     first = np.ascontiguousarray(hashed[:, 0])
     return [first[a:b] for a, b in zip(ends[:-1], ends[1:])], [blake2b(hashed[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:])]

@@ -23,6 +23,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """name, or name with a number after it that no column has; Spark's names differ by more than case."""
+    low = {c.lower() for c in taken}
+    return next(n for n in (name, *(f"{name}{i}" for i in range(len(low) + 1))) if n.lower() not in low)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other code point as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import exact_dedup, fm_index, language_id, line_dedup, mixing, multi_index, packing, secrets, suffix_array, superminhash
+from tidecast.llm import exact_dedup, fm_index, language_id, line_dedup, mixing, multi_index, packing, secrets, suffix_array, superminhash, winnowing
 from tidecast.llm.common import read
 
 #: Weights of the mixture; nodes that aren't named weigh 1.
@@ -56,8 +56,12 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op4_suffix_array, op5_superminhash, op6_multi_index, op7_fm_index, op8_language_id, op9_line_dedup, op10_best_fit)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op4_suffix_array, op5_superminhash, op6_multi_index, op7_fm_index, op8_language_id, op9_line_dedup, op10_best_fit, op11_winnowing)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -119,5 +123,20 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
 """
 
 
+WINNOWING_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, least(len(w), 10) AS m, w, unnest(range(len(w) - least(len(w), 10) + 1)) AS s FROM b WHERE len(w) > 0),
+bt AS (SELECT DISTINCT item_id, m, array_to_string(w[s + 1 : s + m], ' ') AS t FROM bw),
+dl AS (SELECT r, w, m FROM d CROSS JOIN (SELECT DISTINCT m FROM bt) WHERE len(w) >= m),
+dw AS (SELECT r, w, m, unnest(range(len(w) - m + 1)) AS s FROM dl),
+hit AS (SELECT r, s, dt.m, t FROM (SELECT r, s, m, array_to_string(w[s + 1 : s + m], ' ') AS t FROM dw) dt SEMI JOIN bt USING (t)),
+n AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + m)) AS p FROM hit) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit JOIN bt USING (t) WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": MIX_SQL, "op2_exact_dedup": EXACT_SQL, "op9_line_dedup": LINE_SQL}
+    return {"op1_mix_sources": MIX_SQL, "op2_exact_dedup": EXACT_SQL, "op9_line_dedup": LINE_SQL, "op11_winnowing": WINNOWING_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import exact_dedup, fm_index, language_id, line_dedup, mixing, multi_index, packing, secrets, suffix_array, superminhash, winnowing
+from tidecast.llm import exact_dedup, fm_index, heap_lloyd, language_id, line_dedup, mixing, multi_index, packing, secrets, suffix_array, superminhash, winnowing
 from tidecast.llm.common import read
 
 #: Weights of the mixture; nodes that aren't named weigh 1.
@@ -60,8 +60,12 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_lloyd.digest(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op4_suffix_array, op5_superminhash, op6_multi_index, op7_fm_index, op8_language_id, op9_line_dedup, op10_best_fit, op11_winnowing)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op4_suffix_array, op5_superminhash, op6_multi_index, op7_fm_index, op8_language_id, op9_line_dedup, op10_best_fit, op11_winnowing, op13_heap_lloyd)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -138,5 +142,26 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
 """
 
 
+def _lloyd_round(r: int) -> str:
+    return f"""
+a{r} AS MATERIALIZED (SELECT r, x.p, any_value(x.x) AS x, arg_min(j, g * 16 + j) AS j, min(g) AS g FROM
+   (SELECT x.r, x.p, x.x, c.j, list_sum(list_transform(range(1, len(x.x) + 1), lambda i: (x.x[i] - c.c[i]) * (x.x[i] - c.c[i])))::HUGEINT AS g FROM x JOIN c{r} c USING (p)) x GROUP BY r, x.p),
+m{r} AS (SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT p, j, i, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS n
+   FROM (SELECT p, j, unnest(x) AS e, unnest(range(len(x))) AS i FROM a{r}) GROUP BY ALL) GROUP BY p, j),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.j, coalesce(list_transform(m{r}.c, lambda e: e::BIGINT), c.c) AS c FROM c{r} c LEFT JOIN m{r} ON c.p = m{r}.p AND c.j = m{r}.j)"""
+
+
+LLOYD_SQL = f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda e: floor(e::DOUBLE * 4096)::BIGINT) AS v
+   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (SELECT r, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS x FROM (SELECT r, v, unnest(range(8)) AS p FROM kept)),
+c0 AS MATERIALIZED (SELECT p, r AS j, x AS c FROM x WHERE r < 16),
+{",".join(_lloyd_round(r) for r in range(heap_lloyd.ROUNDS + 1))},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS h FROM c{heap_lloyd.ROUNDS}),
+e AS (SELECT r, sum(g)::BIGINT AS error, string_agg(printf('%02x', j), '' ORDER BY p) AS code FROM a{heap_lloyd.ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN e USING (r) CROSS JOIN h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": MIX_SQL, "op2_exact_dedup": EXACT_SQL, "op9_line_dedup": LINE_SQL, "op11_winnowing": WINNOWING_SQL}
+    return {"op1_mix_sources": MIX_SQL, "op2_exact_dedup": EXACT_SQL, "op9_line_dedup": LINE_SQL, "op11_winnowing": WINNOWING_SQL, "op13_heap_lloyd": LLOYD_SQL}

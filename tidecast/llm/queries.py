@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import exact_dedup, fm_index, heap_lloyd, language_id, line_dedup, mixing, multi_index, packing, secrets, suffix_array, superminhash, winnowing
+from tidecast.llm import exact_dedup, fm_index, heap_lloyd, language_id, line_dedup, mixing, multi_index, packing, prefix_trie, secrets, suffix_array, superminhash, winnowing
 from tidecast.llm.common import read
 
 #: Weights of the mixture; nodes that aren't named weigh 1.
@@ -60,12 +60,16 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(read(spark, sf_dir, "conversations"))
+
+
 def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap_lloyd.digest(read(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op4_suffix_array, op5_superminhash, op6_multi_index, op7_fm_index, op8_language_id, op9_line_dedup, op10_best_fit, op11_winnowing, op13_heap_lloyd)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op4_suffix_array, op5_superminhash, op6_multi_index, op7_fm_index, op8_language_id, op9_line_dedup, op10_best_fit, op11_winnowing, op12_prefix_trie, op13_heap_lloyd)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -163,5 +167,25 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
+TRIE_SQL = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+   FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) AS v FROM range(256) g(i))),
+v AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(c::VARCHAR) + 1), lambda k: ascii(substr(c::VARCHAR, k, 1))::BIGINT)),
+   lambda a, b: xor(a >> 8, crc[xor(a & 255, b) + 1])), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM t) CROSS JOIN crc),
+o AS (SELECT v.c, i AS o, r, x FROM v JOIN t ON t.c = v.base AND i < h UNION ALL SELECT t.c, i + 5, r, x FROM t JOIN v USING (c) WHERE i >= h),
+q AS (SELECT c, row_number() OVER w AS d, list({'r': r, 'x': x}) OVER w AS p, length(x) AS n FROM o WINDOW w AS (PARTITION BY c ORDER BY o)),
+a AS (SELECT c, 0 AS d, [] AS p, 0 AS n FROM v UNION ALL SELECT c, d, p, n FROM q),
+m AS MATERIALIZED (SELECT c, d, n, min(c) OVER (PARTITION BY d, p) AS id, d = max(d) OVER (PARTITION BY c) AS is_end FROM a),
+node AS (SELECT d, id, count(*) AS k, any_value(n) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end), '') AS ends FROM m GROUP BY d, id),
+up AS (SELECT node.d, node.id, m.id AS parent FROM node JOIN m ON m.c = node.id AND m.d = node.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS id, count(*) AS kids FROM up GROUP BY ALL),
+f AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids USING (d, id)),
+s AS (SELECT m.d, m.id, sum((f.k - 1) * f.n) AS saved, count(*) FILTER (f.kids = 0) AS leaves FROM f JOIN m ON m.c = f.id AND m.d <= f.d GROUP BY ALL)
+SELECT id AS conv_id, d AS depth, parent AS parent_conv_id, k AS n_convs, kids AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM f JOIN s USING (d, id) LEFT JOIN up USING (d, id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": MIX_SQL, "op2_exact_dedup": EXACT_SQL, "op9_line_dedup": LINE_SQL, "op11_winnowing": WINNOWING_SQL, "op13_heap_lloyd": LLOYD_SQL}
+    return {"op1_mix_sources": MIX_SQL, "op2_exact_dedup": EXACT_SQL, "op9_line_dedup": LINE_SQL, "op11_winnowing": WINNOWING_SQL, "op12_prefix_trie": TRIE_SQL, "op13_heap_lloyd": LLOYD_SQL}

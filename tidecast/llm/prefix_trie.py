@@ -196,7 +196,7 @@ def trie(turns: DataFrame, held: int = HELD, fan: int = FAN) -> DataFrame:
     out = nodes.join(sums, "key").join(ends, "key", "left").withColumn("parent", F.get("jumps", F.lit(0)))
     out = attach(out, parents, ["parent"], ["key"])
     sha = F.coalesce("all_ends", "ends", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256")
-    return out.select("key", "depth", "parent", "conv_id", "parent_conv_id", F.col("n").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), sha)
+    return out.select("key", "parent", "conv_id", "depth", "parent_conv_id", F.col("n").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), sha)
 
 
 def digest(conversations: DataFrame, **how) -> DataFrame:

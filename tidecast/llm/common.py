@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,15 @@ def free_name(name: str, taken: Sequence[str]) -> str:
     return next(n for n in (name, *(f"{name}{i}" for i in range(len(low) + 1))) if n.lower() not in low)
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the caller's columns that begin with _ under names that no operator uses, and what turns a table of
+    these columns back.  `used` keep their names."""
+    put = {c: free_name(f"held of the caller: {c}", docs.columns) for c in docs.columns if c.startswith("_") and c not in used}
+    if not put:
+        return docs, lambda out: out
+    return docs.withColumnsRenamed(put), lambda out: out.withColumnsRenamed({v: k for k, v in put.items()})
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other code point as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.llm.arrow_text import flat, steps
+from tidecast.llm.common import free_name
 
 #: Hashed n-grams of 1, 2 and 3 bytes; the presence vector's width.
 WIDTH = 4096
@@ -97,7 +98,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     None where there is no row to learn from.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    languages = max(1, docs.select(lang_col).distinct().count())
+    languages = max(1, rows.select("lang").distinct().count())
     per_lang, landmarks = max(1, min(per_lang, ALL_ROWS // languages)), max(1, min(landmarks, ALL_LANDMARKS // languages))
     # ids alone are ranked; the chosen, per_lang a language, then pick their texts where these are
     chosen = lowest(rows, per_lang).filter("doc_id is not null").groupBy("lang", "doc_id").agg(F.min("r").alias("r"))
@@ -161,4 +162,6 @@ def accepted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", la
     if model is None:
         return docs.filter(lettered(F.col(text_col)))
     kind = docs.schema[lang_col].dataType
-    return docs.withColumn("_p", predicted(model, F.col(text_col))).filter(F.col("_p.lang") != UNKNOWN).withColumn(lang_col, F.col("_p.lang").cast(kind)).drop("_p")
+    told = free_name("_told", docs.columns)
+    got = docs.withColumn(told, predicted(model, F.col(text_col))).filter(F.col(f"{told}.lang") != UNKNOWN)
+    return got.withColumn(lang_col, F.col(f"{told}.lang").cast(kind)).select(docs.columns)

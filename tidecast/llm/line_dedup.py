@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import BLANK, SALTS, ascii_lower, cut
+from tidecast.llm.common import BLANK, SALTS, ascii_lower, aside, cut
 
 LEAST_CHARS = 10
 #: Occurrences that one slice of a key has at most, about, where one key holds all lines.
@@ -125,7 +125,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, every column as it was, without the lines that another document owns (see drop_bitmaps)."""
-    return apply_bitmaps(docs, drop_bitmaps(docs, id_col, text_col), id_col, text_col).drop("_n_lines", "_n_dropped")
+    docs, back = aside(docs, id_col, text_col)
+    return back(apply_bitmaps(docs, drop_bitmaps(docs, id_col, text_col), id_col, text_col).drop("_n_lines", "_n_dropped"))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

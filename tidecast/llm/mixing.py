@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import BLANK, SALTS, WORD, cut
+from tidecast.llm.common import BLANK, SALTS, WORD, cut, free_name
 
 #: The tree: a document's domain holds its language, which holds its source.
 LEVELS = ("domain", "lang", "source")
@@ -16,6 +16,9 @@ BROADCAST_LEAVES = 50_000
 #: Rows among which a leaf's budget ends that one task sorts at most.
 SORTED_ROWS = 100_000
 ABSENT = "(none)"
+#: What mix() adds to the caller's columns, and what it uses on the way.
+OUT = ("domain", "epoch", "tokens", "take_tokens")
+BETWEEN = ("lang", "source", "q", "rest", "cut_key", "cut_take", "salt", "key", "copies")
 
 
 def default_domain(source: Column) -> Column:
@@ -48,6 +51,15 @@ def weight_of(level: str, name: Column, weights: Mapping[str, Mapping[str, int]]
     return out
 
 
+def names(columns: Sequence[str]) -> dict[str, str]:
+    """The columns that mix() adds to a table with these: _domain, _epoch, _tokens and _take_tokens, with a number after
+    a name that the table has itself."""
+    out: dict[str, str] = {}
+    for name in (*OUT, *BETWEEN):
+        out[name] = free_name(f"_{name}", [*columns, *out.values()])
+    return out
+
+
 def share(nodes: DataFrame, parent: Sequence[str], name: str, weights: Mapping[str, Mapping[str, int]]) -> DataFrame:
     """Give each parent's `budget` to its children by weight, none above its `cap`; what one can't take goes to its siblings.
 
@@ -105,7 +117,8 @@ def mix(
     lang_col: str = "lang",
     source_col: str = "source",
 ) -> DataFrame:
-    """docs' rows as often as the mixture takes them, with _domain, _epoch, _tokens and _take_tokens.
+    """docs' rows as often as the mixture takes them, with _domain, _epoch, _tokens and _take_tokens (see names: every
+    column of docs stays, whatever it is called).
 
     The budget is fraction of all tokens (words).  A leaf whose budget is q whole epochs and a rest takes each of its
     documents q times, and in epoch q the prefix of its seeded order that fills the rest; of the document that crosses
@@ -120,22 +133,19 @@ def mix(
     Null source, language or domain: the child "(none)".  Documents without words fill no budget: they are taken where
     their leaf's prefix passes their place.  A node of weight 0 takes nothing.  Empty table: no rows.
     """
-    words = word_count(F.col(text_col))
+    put = names(docs.columns)
     place = domain if domain is not None else default_domain(F.col(source_col))
     tagged = docs.withColumns(
         {
-            "_domain": F.coalesce(place, F.lit(ABSENT)),
-            "_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(ABSENT)),
-            "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(ABSENT)),
-            "_tokens": words,
+            put["domain"]: F.coalesce(place, F.lit(ABSENT)),
+            put["lang"]: F.coalesce(F.col(lang_col).cast("string"), F.lit(ABSENT)),
+            put["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit(ABSENT)),
+            put["tokens"]: word_count(F.col(text_col)),
         }
     )
     ids, text = F.col(id_col), F.col(text_col)
     narrow = cut(
-        tagged.select(
-            F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("n"),
-            *(order_key(seed, F.lit(e), ids, text).alias(f"k{e}") for e in range(max_epochs)),
-        ),
+        tagged.select(*(F.col(put[c]).alias(c) for c in LEVELS), F.col(put["tokens"]).alias("n"), *(order_key(seed, F.lit(e), ids, text).alias(f"k{e}") for e in range(max_epochs))),
         "leaves",
     )
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
@@ -149,19 +159,21 @@ def mix(
     small = given.count() <= BROADCAST_LEAVES
     hint = F.broadcast if small else (lambda t: t)
     crossing = cut(boundaries(narrow, given, hint, max_epochs), "crossing")
-    cuts = given.join(crossing, list(LEVELS), "left").select(F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "q", "rest", "cut_key", "cut_take")
-    keys = F.array(*(order_key(seed, F.lit(e), ids, text) for e in range(max_epochs)))
-    leaf = ["_domain", "_lang", "_source"]
+    cuts = given.join(crossing, list(LEVELS), "left").select(*(F.col(c).alias(put[c]) for c in (*LEVELS, "q", "rest", "cut_key", "cut_take")))
+    leaf = [put[c] for c in LEVELS]
     if small:
         met = tagged.join(F.broadcast(cuts), leaf)
     else:
         salt = F.pmod(F.xxhash64(ids, text), F.lit(SALTS)).cast("int")
-        met = tagged.withColumn("_salt", salt).join(cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*leaf, "_salt"]).drop("_salt")
-    last = F.when((F.col("rest") > 0) & (F.col("q") < max_epochs), F.get(keys, F.col("q")))
-    met = met.withColumn("_key", last).withColumn("_partial", F.coalesce(F.col("_key") <= F.coalesce("cut_key", F.lit("g")), F.lit(False)))
-    met = met.withColumn("_copies", F.col("q") + F.col("_partial").cast("int")).filter("_copies > 0")
-    out = met.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    return out.withColumn("_take_tokens", F.when((F.col("_epoch") == F.col("q")) & (F.col("_key") == F.col("cut_key")), F.least("_tokens", "cut_take")).otherwise(F.col("_tokens"))).drop("q", "rest", "cut_key", "cut_take", "_key", "_partial", "_copies", "_lang", "_source")
+        met = tagged.withColumn(put["salt"], salt).join(cuts.withColumn(put["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*leaf, put["salt"]])
+    at = {name: F.col(column) for name, column in put.items()}
+    met = met.withColumn(put["key"], F.when((at["rest"] > 0) & (at["q"] < max_epochs), order_key(seed, at["q"], ids, text)))
+    partial = F.coalesce(at["key"] <= F.coalesce(at["cut_key"], F.lit("g")), F.lit(False))
+    met = met.withColumn(put["copies"], at["q"] + partial.cast("int")).filter(at["copies"] > 0)
+    out = met.withColumn(put["epoch"], F.explode(F.sequence(F.lit(0), at["copies"] - 1)))
+    ends = (at["epoch"] == at["q"]) & (at["key"] == at["cut_key"])
+    out = out.withColumn(put["take_tokens"], F.when(ends, F.least(at["tokens"], at["cut_take"])).otherwise(at["tokens"]))
+    return out.select(*docs.columns, *(put[c] for c in OUT))
 
 
 def budgets_of(leaves: DataFrame, whole: DataFrame, weights: Mapping[str, Mapping[str, int]], max_epochs: int) -> DataFrame:

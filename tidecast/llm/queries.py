@@ -16,8 +16,11 @@ MIX_FRACTION, MIX_EPOCHS, MIX_SEED = (1, 2), 2, 17
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED)
-    return mixed.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_take_tokens").alias("take_tokens"))
+    docs = read(spark, sf_dir, "documents")
+    put = mixing.names(docs.columns)
+    mixed = mixing.mix(docs, MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED)
+    added = (F.col(put[name]).alias(alias) for name, alias in (("domain", "domain"), ("epoch", "epoch"), ("tokens", "n_tokens"), ("take_tokens", "take_tokens")))
+    return mixed.select("doc_id", "lang", "source", *added)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

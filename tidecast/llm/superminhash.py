@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.arrow_text import STEP, flat, steps
-from tidecast.llm.common import attach, cut, discard
+from tidecast.llm.common import aside, attach, cut, discard
 from tidecast.llm.components import components
 from tidecast.llm.repeats import sieved
 from tidecast.llm.rolling import digests, mix, numbered, shingles, words
@@ -325,6 +325,7 @@ def representatives(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
     """docs, columns as they were, without the rows of documents that another of their group stands for."""
     lost = cut(group(docs, size, id_col=id_col, text_col=text_col).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "lost")
     # texts of ids that are certainly kept stay where they are
+    docs, back = aside(docs, id_col, text_col)
     marked = sieved(docs, lost, id_col)
     moved = marked.filter("_may").join(lost.select(F.col("doc_id").alias("_lost")), F.col(id_col).cast("long") == F.col("_lost"), "left_anti")
-    return marked.filter(~F.col("_may")).union(moved).drop("_may")
+    return back(marked.filter(~F.col("_may")).union(moved).drop("_may"))

@@ -32,8 +32,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights take them; the copy that crosses a leaf's budget ends at the last word
     that fits, and its n_chars follows."""
     mixed = mixing.mix(docs, WEIGHTS, FRACTION, EPOCHS, SEED)
-    crossing = F.col("_take_tokens") < F.col("_tokens")
-    mixed = mixed.withColumn("text", F.when(crossing, mixing.first_words(F.col("text"), F.col("_take_tokens"))).otherwise(F.col("text")))
+    put = mixing.names(docs.columns)
+    tokens, take = F.col(put["tokens"]), F.col(put["take_tokens"])
+    crossing = take < tokens
+    mixed = mixed.withColumn("text", F.when(crossing, mixing.first_words(F.col("text"), take)).otherwise(F.col("text")))
     return mixed.withColumn("n_chars", F.when(crossing, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -600,3 +600,6 @@ for _method in ("advi", "fullrank_advi", "nuts", "pathfinder", "statespace"):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts, dense, split, forecast by the seasonal-naive ensemble and scored by series."""
     return evaluate_all_metrics(spark, d)
+
+
+from tidecast import catalog_regression  # noqa: E402, F401  (registers its queries here)

@@ -144,7 +144,7 @@ def conjugate_forecast(spark, d):
 
 @query(f"""WITH {CONJUGATE}, {", ".join(solve_sql(f'u{k}', f'(SELECT series, n, yy, shape, rate, {", ".join(f"a{i}_{j}" for i in range(k) for j in range(k))}, {", ".join(f"r{i}" for i in range(k))} FROM t JOIN (SELECT series, shape, rate FROM ck) USING (series))', "series, n, yy, " + ", ".join(f"r{i}" for i in range(k)) + ", " + ", ".join(f"a{i}_{i}" for i in range(k)), k) for k in (2,))},
 e2 AS (SELECT series, '2' AS model, n, {RATE} + 0.5 * (yy - (r0 * (i0_0 * r0 + i0_1 * r1) + r1 * (i1_0 * r0 + i1_1 * r1))) AS rate, -ln(i0_0 * i1_1 - i0_1 * i1_0) AS logdet, {sum(math.log(x) for x in PRECISION[:2])}::DOUBLE AS prior FROM u2),
-e4 AS (SELECT series, '4' AS model, n, rate, ln(v_0.m0_0) + ln(v_1.m1_1) + ln(v_2.m2_2) + ln(v_3.m3_3) AS logdet, {sum(math.log(x) for x in PRECISION)}::DOUBLE AS prior FROM ck JOIN v_0 USING (series) JOIN v_1 USING (series) JOIN v_2 USING (series) JOIN v_3 USING (series)),
+e4 AS (SELECT series, '4' AS model, ck.n, ck.rate, ln(v_0.m0_0) + ln(v_1.m1_1) + ln(v_2.m2_2) + ln(v_3.m3_3) AS logdet, {sum(math.log(x) for x in PRECISION)}::DOUBLE AS prior FROM ck JOIN v_0 USING (series) JOIN v_1 USING (series) JOIN v_2 USING (series) JOIN v_3 USING (series)),
 le AS (SELECT series, model, {SHAPE * math.log(RATE) - math.lgamma(SHAPE)}::DOUBLE + 0.5 * prior + lgamma({SHAPE} + n / 2.0::DOUBLE) - ({SHAPE} + n / 2.0::DOUBLE) * ln(rate) - 0.5 * logdet - n / 2.0::DOUBLE * ln(2 * pi()) AS x FROM (SELECT series, model, n, rate, logdet, prior FROM e2 UNION ALL SELECT series, model, n, rate, logdet, prior FROM e4))
 SELECT series, model, round(x, 6) + 0.0 AS log_evidence FROM le""")
 def conjugate_evidence(spark, d):

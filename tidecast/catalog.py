@@ -602,4 +602,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return evaluate_all_metrics(spark, d)
 
 
-from tidecast import catalog_regression  # noqa: E402, F401  (registers its queries here)
+from tidecast import catalog_regression, catalog_states  # noqa: E402, F401  (they register their queries here)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ BLANK = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slices that a hot key is dealt over in salted joins.
 SALTS = 16
+#: Rows of an Arrow batch at most in the jobs that write tables on the way.
+BATCH_ROWS = 1_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +62,19 @@ def shared_folder(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows while a job is planned and run: the JVM and a Python worker each hold a
+    batch of whole texts, and by default that is 10000 of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: a later loss of executors recomputes nothing before this.
 
@@ -69,7 +85,8 @@ def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.coalesce(spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark)}/tidecast-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     where, system = _located(spark, path)
     system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)

@@ -240,14 +240,23 @@ def train_window_topk_panel(spark, d):
     return out.groupBy("nation", F.concat_ws("::", F.col("nation").cast("string"), F.col("o_custkey").cast("string")).alias("series")).agg(F.count(F.lit(1)).alias("orders_all"), rounded(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT 0::BIGINT AS t0, k::BIGINT AS t1, least(k + 2, 10)::BIGINT AS t2 FROM generate_series(6, 9, 2) g(k)")
+def event_days(spark, d) -> int:
+    """Days from the first event to the last."""
+    day = F.col("ts").cast("date")
+    return read(spark, d, "events").agg((F.datediff(F.max(day), F.min(day)) + 1).alias("n")).first()["n"]
+
+
+DURATION = "n AS (SELECT date_diff('day', min(ts::DATE), max(ts::DATE)) + 1 AS n FROM events)"
+
+
+@query(f"WITH {DURATION} SELECT 0::BIGINT AS t0, k::BIGINT AS t1, least(k + 2, n)::BIGINT AS t2 FROM n, unnest(generate_series(6, n - 1, 2)) g(k)")
 def backtest_windows_expanding(spark, d):
-    return windows.window_splits(spark, 10, min_train=6, test=2, stride=2)
+    return windows.window_splits(spark, event_days(spark, d), min_train=6, test=2, stride=2)
 
 
-@query("SELECT (k - 5)::BIGINT AS t0, k::BIGINT AS t1, least(k + 2, 10)::BIGINT AS t2 FROM generate_series(5, 9, 2) g(k)")
+@query(f"WITH {DURATION} SELECT (k - 5)::BIGINT AS t0, k::BIGINT AS t1, least(k + 2, n)::BIGINT AS t2 FROM n, unnest(generate_series(5, n - 1, 2)) g(k)")
 def backtest_windows_rolling(spark, d):
-    return windows.window_splits(spark, 10, train=5, test=2, stride=2)
+    return windows.window_splits(spark, event_days(spark, d), train=5, test=2, stride=2)
 
 
 NAIVE = f"""naive AS (SELECT series, k::BIGINT AS draw, {T_OBS} + pos - ({T_OBS} - {PERIOD} * k) AS pos, y AS pred FROM daily CROSS JOIN generate_series(1, {T_OBS // PERIOD}) g(k)
@@ -338,14 +347,13 @@ def backtest_seasonal_naive(spark, d):
     return found.table.select("t0", "t1", "t2", rounded("mae").alias("mae"), rounded("crps").alias("crps"))
 
 
-@query("""WITH t AS (SELECT DISTINCT date_trunc('hour', ts) AS time FROM events WHERE ts < (SELECT min(ts) + INTERVAL 3 DAY FROM events)),
+@query("""WITH t AS (SELECT DISTINCT date_trunc('hour', ts) AS time FROM events),
 h AS (SELECT unnest(generate_series((SELECT min(time) FROM t), (SELECT max(time) FROM t), INTERVAL 1 HOUR)) AS time), i AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS pos FROM h)
 SELECT time, pos FROM i UNION ALL SELECT (SELECT max(time) FROM i) + to_hours(k::INTEGER), (SELECT max(pos) FROM i) + k FROM generate_series(1, 30) g(k)""")
 def extend_index_hourly(spark, d):
-    """Hourly labels of three days and 30 steps more, the step found from the data."""
+    """The hourly labels of all events and 30 steps more, the step found from the data."""
     ts = read(spark, d, "events").select("ts")
-    first = ts.crossJoin(F.broadcast(ts.agg((F.min("ts") + F.expr("interval 3 days")).alias("end")))).filter("ts < end")
-    hours = first.agg(F.min(F.date_trunc("hour", "ts")).alias("lo"), F.max(F.date_trunc("hour", "ts")).alias("hi")).select(F.posexplode(F.expr("sequence(lo, hi, interval 1 hour)")).alias(POS, "time"))
+    hours = ts.agg(F.min(F.date_trunc("hour", "ts")).alias("lo"), F.max(F.date_trunc("hour", "ts")).alias("hi")).select(F.posexplode(F.expr("sequence(lo, hi, interval 1 hour)")).alias(POS, "time"))
     kind = dict(ts.dtypes)["ts"]
     return index.extend_time_index(hours.select(F.col("time").cast(kind).alias("time"), F.col(POS).cast("long").alias(POS)), 30)
 
@@ -395,17 +403,20 @@ def loader_weekly_by_origin(spark, d):
     return loaders.weekly_by_origin(loaders.od_counts(shards(spark, d), hours=24), 8, 7).select("origin", "block", rounded("y").alias("y"))
 
 
-def fixed_posterior(spark, n: int = 200) -> DataFrame:
-    """A stated posterior: chain, draw, intercept, slope, level, drift, sigma, obs_sigma."""
-    i = F.col("id")
-    return spark.range(n).select(
-        (i % 2).cast("int").alias("chain"), F.floor(i / 2).cast("long").alias("draw"), (F.lit(10.0) + (i % 7) * 0.5).alias("intercept"), (F.lit(0.1) + (i % 5) * 0.02).alias("slope"),
-        (F.lit(5.0) + (i % 11) * 0.1).alias("level"), (F.lit(0.05) + (i % 3) * 0.01).alias("drift"), F.lit(0.2).alias("sigma"), F.lit(0.1).alias("obs_sigma"),
+def posterior_draws(spark, d) -> DataFrame:
+    """A posterior told by the customers, a draw for each nation and market segment: chain, draw, intercept, slope,
+    level, drift, sigma, obs_sigma.  125 draws at most."""
+    g = F.col("c_nationkey") * 5 + F.instr(F.lit("ABFHM"), F.substring("c_mktsegment", 1, 1)) - 1
+    held = read(spark, d, "customer").groupBy(g.cast("long").alias("g")).agg(F.avg("c_acctbal").alias("a"), F.count(F.lit(1)).alias("n"))
+    return held.select(
+        (F.col("g") % 2).cast("int").alias("chain"), F.floor(F.col("g") / 2).cast("long").alias("draw"), (F.lit(10.0) + F.col("a") / 2000).alias("intercept"), (F.lit(0.1) + (F.col("n") % 5) * 0.02).alias("slope"),
+        (F.lit(5.0) + F.col("a") / 5000).alias("level"), (F.lit(0.05) + (F.col("n") % 3) * 0.01).alias("drift"), F.lit(0.2).alias("sigma"), F.lit(0.1).alias("obs_sigma"),
     )
 
 
-POST = """post AS (SELECT (i % 2)::INTEGER AS chain, (i // 2)::BIGINT AS draw, 10.0::DOUBLE + (i % 7) * 0.5::DOUBLE AS intercept, 0.1::DOUBLE + (i % 5) * 0.02::DOUBLE AS slope,
-5.0::DOUBLE + (i % 11) * 0.1::DOUBLE AS level, 0.05::DOUBLE + (i % 3) * 0.01::DOUBLE AS drift, 0.2::DOUBLE AS sigma, 0.1::DOUBLE AS obs_sigma FROM generate_series(0, 199) g(i))"""
+POST = """post AS MATERIALIZED (SELECT (g % 2)::INTEGER AS chain, (g // 2)::BIGINT AS draw, 10.0::DOUBLE + a / 2000 AS intercept, 0.1::DOUBLE + (n % 5) * 0.02::DOUBLE AS slope,
+5.0::DOUBLE + a / 5000 AS level, 0.05::DOUBLE + (n % 3) * 0.01::DOUBLE AS drift, 0.2::DOUBLE AS sigma, 0.1::DOUBLE AS obs_sigma
+FROM (SELECT c_nationkey * 5 + instr('ABFHM', substr(c_mktsegment, 1, 1)) - 1 AS g, avg(c_acctbal) AS a, count(*) AS n FROM customer GROUP BY 1))"""
 
 
 def _normal_sql(key: str) -> str:
@@ -416,7 +427,7 @@ def _normal_sql(key: str) -> str:
 @query(f"""WITH {POST}, r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '3', 'thin', chain::VARCHAR, draw::VARCHAR)), chain, draw) - 1 AS n FROM post)
 SELECT 0 AS chain, n AS draw, round(level, 6) + 0.0 AS level FROM r WHERE n < 40""")
 def thin_draws(spark, d):
-    return draws.thin_draws(fixed_posterior(spark), 40, 3).select("chain", "draw", rounded("level").alias("level"))
+    return draws.thin_draws(posterior_draws(spark, d), 40, 3).select("chain", "draw", rounded("level").alias("level"))
 
 
 @query(f"SELECT event_id, round({_normal_sql("concat_ws('|', '1', 'eps', event_id::VARCHAR)")}, 9) + 0.0 AS z FROM events")
@@ -428,14 +439,14 @@ def rng_normal(spark, d):
 m AS (SELECT *, level + sum(drift + sigma * {_normal_sql("concat_ws('|', '7', 'level', chain::VARCHAR, draw::VARCHAR, pos::VARCHAR)")}) OVER (PARTITION BY chain, draw ORDER BY pos) AS mu FROM g)
 SELECT chain, draw, pos, round(mu, 6) + 0.0 AS mu_future, round(mu + obs_sigma * {_normal_sql("concat_ws('|', '7', 'obs', chain::VARCHAR, draw::VARCHAR, pos::VARCHAR)")}, 6) + 0.0 AS forecast FROM m""")
 def random_walk_replay(spark, d):
-    out = draws.random_walk_replay(fixed_posterior(spark), spark.range(40, 45).toDF(POS), [], 7)
+    out = draws.random_walk_replay(posterior_draws(spark, d), spark.range(40, 45).toDF(POS), [], 7)
     return out.select("chain", "draw", POS, rounded("mu_future").alias("mu_future"), rounded("forecast").alias("forecast"))
 
 
 @query(f"WITH {DAILY}, {POST} SELECT chain, draw, series, pos, round(intercept + slope * pos, 6) + 0.0 AS mu FROM daily, post WHERE pos < {T_OBS}")
 def in_sample_mu_coherent(spark, d):
     steps = daily(spark, d).filter(F.col(POS) < T_OBS).withColumn("x", F.col(POS).cast("double"))
-    return draws.linear_predictor(F.broadcast(fixed_posterior(spark)), steps, {"slope": "x"}).select("chain", "draw", "series", POS, rounded("mu").alias("mu"))
+    return draws.linear_predictor(F.broadcast(posterior_draws(spark, d)), steps, {"slope": "x"}).select("chain", "draw", "series", POS, rounded("mu").alias("mu"))
 
 
 @query(f"""WITH RECURSIVE {POST}, p AS (SELECT chain, draw, level FROM post), f AS (SELECT chain, draw, -1 AS k, level AS x FROM p UNION ALL
@@ -443,7 +454,7 @@ SELECT chain, draw, k + 1, 0.8 * x + 0.2 * {_normal_sql("concat_ws('|', '9', 'ar
 SELECT chain, draw, k::BIGINT AS pos, round(x, 6) + 0.0 AS x FROM f WHERE k >= 0""")
 def markov_ar1_forecast(spark, d):
     eps = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: rng.normal(rng.key_of(9, "ar", F.col("chain"), F.col("draw"), k)))
-    out = fixed_posterior(spark).select("chain", "draw", F.posexplode(folds.ar1(eps, F.col("level"), 0.8, 0.2)).alias(POS, "x"))
+    out = posterior_draws(spark, d).select("chain", "draw", F.posexplode(folds.ar1(eps, F.col("level"), 0.8, 0.2)).alias(POS, "x"))
     return out.select("chain", "draw", F.col(POS).cast("long").alias(POS), rounded("x").alias("x"))
 
 
@@ -503,7 +514,7 @@ SELECT series, round(avg(alt / base - 1), 6) + 0.0 AS uplift, round(quantile_con
 def counterfactual_uplift(spark, d):
     """The same draws over the horizon as it is and with the covariate raised by a fifth: draws pair by key."""
     steps = daily(spark, d).filter(F.col(POS) >= T_OBS).select("series", POS, F.col("y").alias("x"))
-    both = draws.linear_predictor(F.broadcast(fixed_posterior(spark)), steps.withColumn("x2", F.col("x") * 1.2), {"slope": "x"}).withColumn("mu2", F.col("intercept") + F.col("slope") * F.col("x2"))
+    both = draws.linear_predictor(F.broadcast(posterior_draws(spark, d)), steps.withColumn("x2", F.col("x") * 1.2), {"slope": "x"}).withColumn("mu2", F.col("intercept") + F.col("slope") * F.col("x2"))
     ratio = both.groupBy("series", "chain", "draw").agg((F.sum("mu2") / F.sum("mu") - 1).alias("u"))
     return ratio.groupBy("series").agg(rounded(F.avg("u")).alias("uplift"), rounded(F.percentile("u", 0.05)).alias("lo"), rounded(F.percentile("u", 0.95)).alias("hi"))
 
@@ -511,24 +522,31 @@ def counterfactual_uplift(spark, d):
 @query(f"WITH {POST} SELECT (g / 4.0)::DOUBLE AS x, round(quantile_cont(intercept + slope * g / 4.0, 0.1), 6) + 0.0 AS lo, round(median(intercept + slope * g / 4.0), 6) + 0.0 AS mid, round(quantile_cont(intercept + slope * g / 4.0, 0.9), 6) + 0.0 AS hi FROM post, generate_series(0, 40) q(g) GROUP BY 1")
 def posterior_quantile_curve(spark, d):
     grid = spark.range(41).select((F.col("id") / 4.0).cast("double").alias("x"))
-    mu = draws.linear_predictor(fixed_posterior(spark), F.broadcast(grid), {"slope": "x"})
+    mu = draws.linear_predictor(posterior_draws(spark, d), F.broadcast(grid), {"slope": "x"})
     return mu.groupBy("x").agg(*(rounded(F.percentile("mu", q)).alias(n) for n, q in (("lo", 0.1), ("mid", 0.5), ("hi", 0.9))))
 
 
-@query("""WITH l AS (SELECT k AS step, 1000.0 - 0.45 * k + sin(k) AS loss FROM generate_series(0, 1999) g(k)), w AS (SELECT median(loss) FILTER (step >= 1800) AS late, median(loss) FILTER (step >= 900 AND step < 1100) AS mid FROM l),
-m AS (SELECT median(abs(loss - late)) AS mad, any_value(mid) AS mid, any_value(late) AS late FROM l, w WHERE step >= 1800)
-SELECT round(mid - late, 6) + 0.0 AS fall, round(mad, 6) + 0.0 AS mad, mid - late > greatest(mad, 2 * 1.858 * mad * sqrt(2 / 200.0)) AS still_falling, true AS assessed FROM m""")
+@query("""WITH e AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS step, value FROM events),
+l AS (SELECT series, step, 40 * exp(-(step + 1) / 25.0) + 3 * CASE WHEN series = 'error' THEN exp(-(step + 1) / 2000.0) ELSE 0 END * 40 + value / 10 AS loss FROM e),
+n AS (SELECT series, count(*) AS steps, greatest(count(*) // 10, 10) AS n FROM l GROUP BY 1),
+w AS (SELECT series, any_value(steps // 2 + n <= steps - n) AS assessed, median(loss) FILTER (step >= steps - n) AS late, median(loss) FILTER (step >= steps // 2 AND step < steps // 2 + n) AS mid, any_value(n) AS n, any_value(steps) AS steps FROM l JOIN n USING (series) GROUP BY 1),
+m AS (SELECT series, median(abs(loss - late)) AS mad, any_value(mid) AS mid, any_value(late) AS late, any_value(w.n) AS n, any_value(assessed) AS assessed FROM l JOIN w USING (series) WHERE step >= steps - n GROUP BY 1)
+SELECT series, round(mid - late, 6) + 0.0 AS fall, round(mad, 6) + 0.0 AS mad, CASE WHEN assessed THEN mid - late > greatest(mad, 2 * 1.858 * mad * sqrt(2.0 / n)) ELSE false END AS still_falling, assessed FROM m""")
 def elbo_convergence(spark, d):
+    """The rule over a history of losses for each event type, which fall fast and, for errors, slowly too."""
     from tidecast.plans.diagnostics import elbo_convergence as check
 
-    losses = spark.range(2000).select(F.col("id").alias("step"), (F.lit(1000.0) - 0.45 * F.col("id") + F.sin("id")).alias("loss"))
-    return check(losses, 2000).select(rounded("fall").alias("fall"), rounded("mad").alias("mad"), "still_falling", "assessed")
+    step = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).cast("long") - 1
+    rows = read(spark, d, "events").select(F.col("event_type").alias("series"), step.alias("step"), "value")
+    slow = F.when(F.col("series") == "error", F.exp(-(F.col("step") + 1) / 2000.0)).otherwise(0.0)
+    losses = rows.select("series", "step", (40 * F.exp(-(F.col("step") + 1) / 25.0) + 3 * slow * 40 + F.col("value") / 10).alias("loss"))
+    return check(losses, by=["series"]).select("series", rounded("fall").alias("fall"), rounded("mad").alias("mad"), "still_falling", "assessed")
 
 
 @query(f"WITH {DAILY}, {POST} SELECT series, pos, round(avg(exp(slope * ln(1 + y))), 6) + 0.0 AS rate FROM daily, post GROUP BY ALL")
 def poisson_glm_mu(spark, d):
     steps = daily(spark, d).select("series", POS, F.log1p("y").alias("x"))
-    mu = draws.linear_predictor(F.broadcast(fixed_posterior(spark)).withColumn("zero", F.lit(0.0)), steps, {"slope": "x"}, "zero")
+    mu = draws.linear_predictor(F.broadcast(posterior_draws(spark, d)).withColumn("zero", F.lit(0.0)), steps, {"slope": "x"}, "zero")
     return mu.groupBy("series", POS).agg(rounded(F.avg(F.exp("mu"))).alias("rate"))
 
 

@@ -39,7 +39,8 @@ def backtest(data: DataFrame, make: Callable[[list[str]], BaseForecaster], keys:
     """Fit make(keys) on each window's training rows, forecast its test, score it.
 
     Windows become one more key, so all fits run as one job; a window holds its position in the series, and a fit sees
-    nothing from t1 on.  covariates (keys or not, pos, columns) span the data.  transform takes predictions (column
+    nothing from t1 on.  Series that end early take part in the windows that end before them, and are scored on the
+    steps that they have.  covariates (keys or not, pos, columns) span the data.  transform takes predictions (column
     pred) and truth and returns what is scored.  seasonality adds mase, scaled by each window's own training rows;
     in_sample adds train_ columns, the scores of observations resampled over the training rows.  per_window adds scores
     of one's own, tables (t0, t1, t2, name) made of the windows' training rows, the predictions and the truth.  All
@@ -47,13 +48,17 @@ def backtest(data: DataFrame, make: Callable[[list[str]], BaseForecaster], keys:
     """
     duration = data.agg(F.max(POS)).first()[0] + 1
     windows = window_splits(data.sparkSession, duration, test=test, **split)
+    # a series takes part in the windows that end before it does, on the steps that it has
+    ends = data.groupBy(*keys).agg((F.max(POS) + 1).alias("_end"))
     cut = data.crossJoin(F.broadcast(windows)).filter((F.col(POS) >= F.col("t0")) & (F.col(POS) < F.col("t1")))
+    cut = cut.join(ends, list(keys)) if keys else cut.crossJoin(F.broadcast(ends))
+    cut = cut.filter("_end > t1").drop("_end")
     whole = [*SPLIT, *keys]
     fitted = make(whole).fit(cut.select(*whole, POS, "y"), covariates)
     # each window's horizon starts where its training ends
-    steps = windows.withColumn(POS, F.explode(F.sequence(F.col("t1"), F.col("t2") - 1)))
+    steps = ends.crossJoin(F.broadcast(windows)).filter("_end > t1").withColumn(POS, F.explode(F.sequence(F.col("t1"), F.least("t2", "_end") - 1))).drop("_end")
     if fitted.had_covariates_:
-        steps = steps.join(covariates, POS)
+        steps = steps.join(covariates, [*(k for k in keys if k in covariates.columns), POS])
     draws = fitted.draw_posterior(num_samples)
     predictions = fitted.forecast(covariates=steps, posterior=draws)
     truth = data.select(*keys, POS, F.col("y").alias("truth"))

@@ -10,32 +10,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def elbo_convergence(losses: DataFrame, steps: int) -> DataFrame:
-    """One row: fall (median of a middle window less that of the last), mad, still_falling, assessed.
+def elbo_convergence(losses: DataFrame, steps: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, fall, mad, still_falling, assessed) of each history (by, step from 0, loss): fall is the median of the window
+    that begins at the midpoint less that of the last one.
 
     The windows hold a tenth of the steps, 10 at least; a loss falls still when it fell by more than the last window's
     median absolute deviation and twice the standard error of a difference of medians.  Overlapping windows, or a loss
-    that isn't finite, can't be assessed.
+    anywhere that isn't finite, can't be assessed.  steps: their number, where it isn't each history's own.
     """
-    n = max(steps // 10, 10)
-    mid = steps // 2 - n // 2
-    late = F.col("step") >= steps - n
-    window = losses.withColumn("_late", late).withColumn("_mid", (F.col("step") >= mid) & (F.col("step") < mid + n)).filter("_late or _mid")
-    middle = window.agg(F.median(F.when(F.col("_late"), F.col("loss"))).alias("l"), F.median(F.when(F.col("_mid"), F.col("loss"))).alias("m"), F.count_if(F.col("loss").isNull() | F.isnan("loss") | (F.abs("loss") == float("inf"))).alias("bad"))
-    out = window.filter("_late").crossJoin(F.broadcast(middle)).agg(F.median(F.abs(F.col("loss") - F.col("l"))).alias("mad"), F.first("l").alias("l"), F.first("m").alias("m"), F.first("bad").alias("bad"))
-    ok = (F.col("bad") == 0) & F.lit(mid + n <= steps - n)
-    threshold = F.greatest(F.col("mad"), F.lit(2 * 1.858) * F.col("mad") * F.sqrt(F.lit(2.0 / n)))
-    return out.select((F.col("m") - F.col("l")).alias("fall"), "mad", (ok & (F.col("m") - F.col("l") > threshold)).alias("still_falling"), ok.alias("assessed"))
+    by = list(by)
+    bad = F.col("loss").isNull() | F.isnan("loss") | (F.abs("loss") == float("inf"))
+    whole = losses.groupBy(*by).agg((F.count(F.lit(1)) if steps is None else F.lit(steps)).cast("long").alias("_steps"), F.count_if(bad).alias("_bad"))
+    whole = whole.withColumn("_n", F.greatest(F.floor(F.col("_steps") / 10), F.lit(10)).cast("long")).withColumn("_mid", F.floor(F.col("_steps") / 2).cast("long"))
+    beside = lambda rows, one: rows.join(one, by) if by else rows.crossJoin(F.broadcast(one))
+    late = F.col("step") >= F.col("_steps") - F.col("_n")
+    window = beside(losses, whole).withColumn("_late", late).withColumn("_middle", (F.col("step") >= F.col("_mid")) & (F.col("step") < F.col("_mid") + F.col("_n"))).filter("_late or _middle")
+    medians = window.groupBy(*by).agg(F.median(F.when(F.col("_late"), F.col("loss"))).alias("_l"), F.median(F.when(F.col("_middle"), F.col("loss"))).alias("_m"))
+    out = beside(window.filter("_late"), medians).groupBy(*by).agg(F.median(F.abs(F.col("loss") - F.col("_l"))).alias("mad"), *(F.first(c).alias(c) for c in ("_l", "_m", "_n", "_mid", "_steps", "_bad")))
+    ok = (F.col("_bad") == 0) & (F.col("_mid") + F.col("_n") <= F.col("_steps") - F.col("_n"))
+    threshold = F.greatest(F.col("mad"), F.lit(2 * 1.858) * F.col("mad") * F.sqrt(F.lit(2.0) / F.col("_n")))
+    fall = F.col("_m") - F.col("_l")
+    return out.select(*by, fall.alias("fall"), "mad", F.coalesce(ok & (fall > threshold), F.lit(False)).alias("still_falling"), ok.alias("assessed"))
 
 
 def still_falling(losses: np.ndarray) -> bool | None:
     """elbo_convergence()'s rule on one fit's losses; None where windows overlap or a loss isn't finite."""
     steps = len(losses)
     n = max(steps // 10, 10)
-    mid = steps // 2 - n // 2
-    late, middle = losses[-n:], losses[mid : mid + n]
-    if mid < 0 or mid + n > steps - n or not (np.isfinite(late).all() and np.isfinite(middle).all()):
+    mid = steps // 2
+    if mid + n > steps - n or not np.isfinite(losses).all():
         return None
+    late, middle = losses[-n:], losses[mid : mid + n]
     mad = np.median(np.abs(late - np.median(late)))
     return bool(np.median(middle) - np.median(late) > max(mad, 2 * 1.858 * mad * np.sqrt(2 / n)))
 

@@ -15,13 +15,15 @@ from pyspark.sql.types import DoubleType
 from tidecast.errors import AlignmentError, ConvergenceWarning, HorizonError, MethodResolutionError, NotFittedError
 from tidecast.functions.features import fourier_features
 from tidecast.functions.rng import key_of, normal, student, uniforms
-from tidecast.names import POS, TIME_DIM
+from tidecast.names import FUTURE_DIM, POS, TIME_DIM
 from tidecast.operators import index as time_index
 from tidecast.operators.draws import thin_draws
 from tidecast.operators.panel import validate_finite
+from tidecast.operators.results import with_future_time
 from tidecast.plans import diagnostics, kernels
 from tidecast.plans.models import UserModel
 from tidecast.plans.spec import Compiled, ModelSpec
+from tidecast.scratch import stored
 
 #: t_first and t_obs: a series' first step and the one after its last, each its own.  still_falling: see convergence().
 #: fit_seconds: what all chains of the series took in their task.
@@ -34,7 +36,8 @@ def local_trend_spec() -> ModelSpec:
 
 @F.pandas_udf(DoubleType())
 def poisson_from(u: pd.Series, rate: pd.Series) -> pd.Series:
-    """Poisson counts by inversion of uniforms; a normal quantile where the rate is large."""
+    """Poisson counts by inversion of uniforms; from a rate of 700 on, where exp(-rate) leaves the doubles' range, the
+    rounded normal quantile of the same mean and variance, and rates above 1e12 count as that."""
     rate_, u_ = np.clip(rate.to_numpy(float), 0, 1e12), u.to_numpy(float)
     out, p = np.zeros(len(u_)), np.exp(-np.minimum(rate_, 700))
     total, live = p.copy(), (u_ > p) & (rate_ < 700)
@@ -76,7 +79,8 @@ class BaseForecaster:
     def fit(self, data: DataFrame, covariates: DataFrame | None = None) -> BaseForecaster:
         """Fit every series of data (keys, pos, y), covariates (keys or not, pos, columns) beside it; fitting again is fine.
 
-        Covariates past the data aren't used.  A series is one group of one task: its length bounds the task.
+        Covariates past the data aren't used.  A series is one group of one task: its length bounds the task.  The draws
+        are written to the shared folder, so an executor that is lost later costs no fit.
         """
         names = list(self.spec.covariates)
         if names and covariates is None:
@@ -87,6 +91,8 @@ class BaseForecaster:
         if names:
             rows = rows.join(covariates.select(*on, *names), on, "left")
             validate_finite(rows, *names)
+        # tasks get this forecaster, which must not hold tables then
+        self.posterior_ = self.data_ = None
         keys, spec, seed, chains, sample = self.keys, self.spec, self.seed, self.chains, self._sample
         kinds = {f.name: f.dataType.simpleString() for f in data.schema.fields}
 
@@ -107,7 +113,7 @@ class BaseForecaster:
         # a stated number of partitions, as the rows of many series are few bytes that adaptive execution would put in one task
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         grouped = rows.repartition(parts, *keys).groupBy(*keys) if keys else rows.groupBy(F.lit("all"))
-        self.posterior_ = grouped.applyInPandas(run, schema).persist()
+        self.posterior_ = stored(grouped.applyInPandas(run, schema), "posterior")
         self.data_ = data
         self.had_covariates_ = bool(names)
         return self
@@ -129,6 +135,7 @@ class BaseForecaster:
         return F.array(*out, *(F.col(c).cast("double") for c in self.spec.covariates))
 
     def _noisy(self, rows: DataFrame, mu: str, name: str, seed: int) -> DataFrame:
+        """rows with `name`, drawn about mu; a Poisson rate is exp(mu), and at most e**27, about 5e11."""
         key = key_of(seed, name, F.col("chain"), F.col("draw"), *(F.col(k) for k in self.keys), F.col(POS))
         if self.spec.family == "poisson":
             return rows.withColumn(name, poisson_from(uniforms(key)[0], F.exp(F.least(F.col(mu), F.lit(27.0)))))
@@ -138,7 +145,9 @@ class BaseForecaster:
     def forecast(self, horizon: int | None = None, covariates: DataFrame | None = None, future_covariates: DataFrame | None = None, future_index: DataFrame | None = None, posterior: DataFrame | None = None, num_samples: int | None = None, seed: int | None = None, var_names: Sequence[str] | None = None) -> DataFrame:
         """(keys, chain, draw, pos, mu_future, forecast), or var_names of the last two, over the horizon: exactly one of the first four says which.
 
-        covariates span data and horizon, future_covariates the horizon alone (pos from 0), future_index its labels.
+        covariates span data and horizon, future_covariates the horizon alone (pos from 0), future_index its labels; keys
+        among their columns give each series its own.  Where these have a time column, or a horizon follows data with
+        one that is the same for all series and evenly spaced, time_future labels each step.
         Draws are replayed by key; noise is a function of seed, draw, series and step, so partitions don't matter.  Each
         series is forecast from its own last step on.
         """
@@ -147,19 +156,21 @@ class BaseForecaster:
             raise HorizonError("state exactly one of horizon, covariates, future_covariates and future_index")
         if self.had_covariates_ and (horizon is not None or future_index is not None):
             raise HorizonError("a model with covariates needs theirs over the horizon")
-        spark = self.posterior_.sparkSession
+        spark, labels = self.posterior_.sparkSession, None
         # steps after each series' own end, but for covariates, whose steps count from the start
         whole = covariates is not None
         if horizon is not None:
             if horizon < 1:
                 raise HorizonError("the horizon must be 1 step or more")
             steps = spark.range(horizon).toDF(POS)
+            labels = self._labels(horizon)
         elif whole:
             steps = covariates
         else:
             given = future_covariates if future_covariates is not None else future_index
             if TIME_DIM in given.columns and TIME_DIM in self.data_.columns:
-                time_index.concat_time_index(self.data_.select(TIME_DIM, POS).distinct(), given.select(TIME_DIM, POS).distinct())
+                own = [k for k in self.keys if k in given.columns]
+                time_index.concat_time_index(self.data_.select(*own, TIME_DIM, POS).distinct(), given.select(*own, TIME_DIM, POS).distinct(), keys=own)
             steps = given
         on = [k for k in self.keys if k in steps.columns]
         if whole:
@@ -174,17 +185,37 @@ class BaseForecaster:
         # a horizon alone is short; steps of all series may be many, and the planner sees how large they are
         grid = draws.join(steps, on) if on else draws.crossJoin(F.broadcast(steps) if horizon is not None else steps)
         grid = grid.filter(F.col(POS) >= F.col("t_obs")) if whole else grid.withColumn(POS, F.col(POS) + F.col("t_obs"))
-        return self._named(self._simulate(grid, seed), ("mu_future", "forecast"), var_names)
+        if labels is not None:
+            grid = grid.join(F.broadcast(labels), POS, "left")
+        return self._named(self._simulate(with_future_time(grid), seed), ("mu_future", "forecast"), var_names)
+
+    def _labels(self, horizon: int) -> DataFrame | None:
+        """(time, pos) of the data and `horizon` steps more, one row a step; None where the data have no labels, series
+        have different ones, or the step can't be told."""
+        if self.data_ is None or TIME_DIM not in self.data_.columns:
+            return None
+        known = self.data_.select(TIME_DIM, POS).distinct()
+        n = known.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(POS).alias("steps"), (F.max(POS) - F.min(POS) + 1).alias("span")).first()
+        if n["rows"] != n["steps"] or n["rows"] != n["span"]:
+            return None
+        try:
+            return time_index.extend_time_index(known, horizon)
+        except AlignmentError:
+            return None
 
     def _named(self, drawn: DataFrame, known: Sequence[str], var_names: Sequence[str] | None) -> DataFrame:
         if unknown := set(var_names or ()) - set(known):
             raise ValueError(f"no variable {', '.join(sorted(unknown))}; there are {', '.join(known)}")
-        return drawn.select(*self.keys, "chain", "draw", POS, *(known if var_names is None else var_names))
+        return drawn.select(*self.keys, "chain", "draw", POS, *self._label(drawn), *(known if var_names is None else var_names))
+
+    @staticmethod
+    def _label(table: DataFrame) -> list[str]:
+        return [FUTURE_DIM] if FUTURE_DIM in table.columns else []
 
     def _simulate(self, grid: DataFrame, seed: int) -> DataFrame:
         """The forecast of draws beside the steps of their horizon."""
         if isinstance(self.spec, UserModel):
-            return self.spec.simulate(grid, self.keys, seed)
+            return self._noisy(self.spec.simulate(grid, self.keys, seed), "mu_future", "forecast", seed)
         linear = F.aggregate(F.zip_with(F.col("beta"), self._features(), lambda b, x: b * x), F.lit(0.0), lambda a, v: a + v)
         out = grid.withColumn("_linear", linear)
         if self.spec.level:
@@ -195,7 +226,7 @@ class BaseForecaster:
             out = out.withColumn("mu_future", F.col("_linear") + F.col("level") + walk)
         else:
             out = out.withColumn("mu_future", F.col("_linear"))
-        return self._noisy(out, "mu_future", "forecast", seed).select(*self.keys, "chain", "draw", POS, "mu_future", "forecast")
+        return self._noisy(out, "mu_future", "forecast", seed).select(*self.keys, "chain", "draw", POS, *self._label(grid), "mu_future", "forecast")
 
     def predict_in_sample(self, posterior: DataFrame | None = None, num_samples: int | None = None, seed: int | None = None, var_names: Sequence[str] | None = None) -> DataFrame:
         """(keys, chain, draw, pos, mu, obs): observations resampled given the replayed latents."""
@@ -342,7 +373,7 @@ class SeasonalNaiveForecaster(BaseForecaster):
         back = (F.col("draw") + 1) * self.period
         asked = grid.filter(F.col("t_obs") - back >= F.col("t_first")).withColumn("_from", F.col(POS) - back)
         seen = self.data_.select(*self.keys, F.col(POS).alias("_from"), F.col("y").cast("double").alias("mu_future"))
-        return asked.join(seen, [*self.keys, "_from"]).select(*self.keys, "chain", "draw", POS, "mu_future", F.col("mu_future").alias("forecast"))
+        return asked.join(seen, [*self.keys, "_from"]).select(*self.keys, "chain", "draw", POS, *self._label(grid), "mu_future", F.col("mu_future").alias("forecast"))
 
     def predict_in_sample(self, *args: object, **settings: object) -> DataFrame:
         raise NotImplementedError("a seasonal-naive forecast has no latents to replay")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidecast.errors import MethodResolutionError
-from tidecast.names import POS
+from tidecast.functions.rng import key_of, normal
+from tidecast.names import FUTURE_DIM, POS
 from tidecast.plans.distributions import KNOWN, log_constant
 from tidecast.plans.spec import FAMILIES, Prior, create_half_normal
 
@@ -93,8 +94,14 @@ class UserModel:
         return np.broadcast_to(start, (start.shape[0], rows)).copy()
 
     def simulate(self, grid: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-        """(keys, chain, draw, pos, mu_future, forecast): each series' draws step through the horizon side by side."""
+        """(keys, chain, draw, pos, sigma, mu_future): each series' draws step through the horizon side by side.
+
+        Innovations come with the rows, each a function of seed, draw, series, step and its own number: neither the
+        horizon's length nor the number of draws changes one.
+        """
         model, keys = self, list(keys)
+        label = [FUTURE_DIM] if FUTURE_DIM in grid.columns else []
+        fresh = F.array(*(normal(key_of(seed, f"state{i}", F.col("chain"), F.col("draw"), *(F.col(k) for k in keys), F.col(POS))) for i in range(self.innovations)))
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["chain", "draw", POS])
@@ -104,20 +111,14 @@ class UserModel:
             values = np.stack(heads["beta"].to_list()) if model.params else np.zeros((rows, 0))
             theta = {name: values[:, k] for k, name in enumerate(model.names)}
             state = np.stack(heads["state"].to_list()).T if model.step is not None else None
-            word = int.from_bytes(hashlib.md5(repr((seed, [str(frame[k].iloc[0]) for k in keys])).encode()).digest()[:8], "little")
-            rng = np.random.default_rng(word)
             x = {c: frame[c].to_numpy(float).reshape(rows, steps) for c in model.covariates}
-            mu, _ = model.run(theta, state, rng.standard_normal((model.innovations, rows, steps)), frame[POS].to_numpy()[:steps].astype(float), x)
-            sigma = heads["sigma"].to_numpy(float)[:, None]
-            if model.family == "poisson":
-                seen = rng.poisson(np.exp(np.minimum(mu, 27.0))).astype(float)
-            else:
-                seen = mu + sigma * (rng.standard_t(model.degrees, mu.shape) if model.family == "studentt" else rng.standard_normal(mu.shape))
-            return frame[[*keys, "chain", "draw", POS]].assign(mu_future=mu.ravel(), forecast=seen.ravel())
+            eps = np.stack(frame["_eps"].to_list()).reshape(rows, steps, model.innovations).transpose(2, 0, 1)
+            mu, _ = model.run(theta, state, eps, frame[POS].to_numpy()[:steps].astype(float), x)
+            return frame[[*keys, "chain", "draw", POS, "sigma", *label]].assign(mu_future=mu.ravel())
 
         kinds = {f.name: f.dataType.simpleString() for f in grid.schema.fields}
-        schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"chain int, draw long, {POS} long, mu_future double, forecast double"
-        rows = grid.select(*keys, "chain", "draw", POS, "beta", "sigma", "state", *self.covariates)
+        schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"chain int, draw long, {POS} long, sigma double, " + "".join(f"{c} {kinds[c]}, " for c in label) + "mu_future double"
+        rows = grid.select(*keys, "chain", "draw", POS, "beta", "sigma", "state", *label, *self.covariates, fresh.alias("_eps"))
         return rows.groupBy(*keys).applyInPandas(run, schema)
 
 

@@ -11,16 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast import scratch
 from tidecast.functions import linalg
 from tidecast.functions.rng import key_of, normal
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, which ends its lineage."""
-    path = scratch.folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tidecast.scratch import stored
 
 
 def moments(rows: DataFrame, by: Sequence[str], columns: Sequence[Column], y: Column, weight: Column | None = None) -> DataFrame:
@@ -112,7 +105,7 @@ def poisson(rows: DataFrame, by: Sequence[str], columns: Sequence[Column], y: Co
             before = coef.select(*by, F.col("coef").alias("_before"))
             now = now.join(before, list(by)) if by else now.crossJoin(F.broadcast(before))
             now = now.withColumn("step", F.array_max(F.zip_with("coef", "_before", lambda a, b: F.abs(a - b)))).drop("_before")
-        coef = cut(now, f"poisson-{r}")
+        coef = stored(now, f"poisson-{r}")
     return coef
 
 
@@ -129,7 +122,7 @@ def pooled(rows: DataFrame, by: Sequence[str], columns: Sequence[Column], y: Col
     A series without whole rows isn't there.  rounds has to be 1 or more.
     """
     p = len(columns)
-    held = cut(moments(rows, by, columns, y), "pooled-moments")
+    held = stored(moments(rows, by, columns, y), "pooled-moments")
     one = [*pools] or ["_pool"]
     held = held if pools else held.withColumn("_pool", F.lit(0))
     add = lambda name: F.array(*(F.array(*(F.sum(linalg.at(F.col(name), i, j)) for j in range(p))) for i in range(p)))
@@ -138,7 +131,7 @@ def pooled(rows: DataFrame, by: Sequence[str], columns: Sequence[Column], y: Col
     whole = whole.withColumn("centre", linalg.times(linalg.inverse(linalg.plus(F.col("xx"), linalg.diagonal([1e-9] * p)), p)["x"], F.col("xy")))
     wide = F.transform("centre", lambda c, i: F.transform("centre", lambda e, j: F.when(i == j, 1 + c * e).otherwise(F.lit(0.0))))
     noise = (F.col("yy") - linalg.dot(F.col("centre"), F.col("xy"))) / F.col("n")
-    pool = cut(whole.select(*one, "centre", wide.alias("spread"), noise.alias("noise"), "series"), "pooled-0")
+    pool = stored(whole.select(*one, "centre", wide.alias("spread"), noise.alias("noise"), "series"), "pooled-0")
     for r in range(rounds):
         m = _series(held, pool, one, p)
         second = linalg.plus(F.col("cov"), linalg.outer(F.col("coef"), F.col("coef")))
@@ -146,7 +139,7 @@ def pooled(rows: DataFrame, by: Sequence[str], columns: Sequence[Column], y: Col
         sums = m.withColumn("second", second).withColumn("left", left).groupBy(*one).agg(each("coef").alias("c"), add("second").alias("s"), F.sum("left").alias("left"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("series"))
         centre = F.transform("c", lambda x: x / F.col("series"))
         spread = F.zip_with("s", "centre", lambda row, a: F.zip_with(row, "centre", lambda x, b: x / F.col("series") - a * b))
-        pool = cut(sums.withColumn("centre", centre).select(*one, "centre", spread.alias("spread"), (F.col("left") / F.col("n")).alias("noise"), "series"), f"pooled-{r + 1}")
+        pool = stored(sums.withColumn("centre", centre).select(*one, "centre", spread.alias("spread"), (F.col("left") / F.col("n")).alias("noise"), "series"), f"pooled-{r + 1}")
     out = _series(held, pool, one, p)
     return out.select(*by, "n", "coef", "cov"), pool.drop("_pool")
 

@@ -620,4 +620,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return evaluate_all_metrics(spark, d)
 
 
-from tidecast import catalog_regression, catalog_states  # noqa: E402, F401  (they register their queries here)
+from tidecast import catalog_checks, catalog_regression, catalog_states  # noqa: E402, F401  (they register their queries here)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.functions.linalg import dot, let
+
 
 def elbo_convergence(losses: DataFrame, steps: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by, fall, mad, still_falling, assessed) of each history (by, step from 0, loss): fall is the median of the window
@@ -71,6 +72,49 @@ def effective_size(chains: np.ndarray) -> float:
     return float(m * n / max(tau, 1e-12))
 
 
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
+def _variance(values: Column) -> Column:
+    return let(_mean(values), lambda m: F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (F.size(values) - 1))
+
+
+def split_rhat_of(chains: Column) -> Column:
+    """split_rhat() of an array of chains of equal length; NaN below 4 draws or where halves don't vary."""
+
+    def over(halves: Column) -> Column:
+        n = F.size(F.get(halves, F.lit(0)))
+        within = _mean(F.transform(halves, _variance))
+        between = n * _variance(F.transform(halves, _mean))
+        return let(F.struct(within.alias("w"), between.alias("b"), n.alias("n")), lambda v: F.when(v["w"] > 0, F.sqrt(((v["n"] - 1) / v["n"] * v["w"] + v["b"] / v["n"]) / v["w"])).otherwise(F.lit(float("nan"))))
+
+    half = F.floor(F.size(F.get(chains, F.lit(0))) / 2).cast("int")
+    halves = F.concat(F.transform(chains, lambda c: F.slice(c, F.lit(1), half)), F.transform(chains, lambda c: F.slice(c, half + 1, half)))
+    return F.when(F.size(F.get(chains, F.lit(0))) > 3, let(halves, over)).otherwise(F.lit(float("nan")))
+
+
+def effective_size_of(chains: Column) -> Column:
+    """effective_size() of an array of chains of equal length: lag products until Geyer's first negative pair, and no
+    further, as a fold over pairs of lags."""
+    n, m = F.size(F.get(chains, F.lit(0))), F.size(chains)
+    centred = F.transform(chains, lambda c: let(_mean(c), lambda mean: F.transform(c, lambda x: x - mean)))
+
+    def over(x: Column) -> Column:
+        lag = lambda k: F.aggregate(x, F.lit(0.0), lambda s, c: s + F.coalesce(dot(F.slice(c, F.lit(1), n - k), F.slice(c, k + 1, n - k)), F.lit(0.0))) / (n * m)
+        start = F.struct(F.lit(-1.0).alias("tau"), F.lit(True).alias("live"))
+
+        def pairs(zero: Column) -> Column:
+            step = lambda acc, k: F.when(acc["live"], let((lag(k) + lag(k + 1)) / zero, lambda pair: F.when(pair < 0, F.struct(acc["tau"].alias("tau"), F.lit(False).alias("live"))).otherwise(F.struct((acc["tau"] + 2 * pair).alias("tau"), F.lit(True).alias("live"))))).otherwise(acc)
+            lags = F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)), F.lit(2)), lambda k: k < n - 1)
+            tau = F.aggregate(lags, start, step, lambda acc: acc["tau"])
+            return F.when(zero > 0, n * m / F.greatest(tau, F.lit(1e-12))).otherwise((n * m).cast("double"))
+
+        return let(lag(F.lit(0)), pairs)
+
+    return let(centred, over)
+
+
 def hdi_of(ordered: Column, prob: float = 0.94) -> Column:
     """The shortest interval [low, high] that holds floor(prob * n) steps between an array's n values in rising order."""
     if not 0 < prob < 1:
@@ -84,19 +128,14 @@ def hdi_of(ordered: Column, prob: float = 0.94) -> Column:
 def summary(posterior: DataFrame, parameters: Sequence[str], keys: Sequence[str] = (), prob: float = 0.94) -> DataFrame:
     """(keys, parameter, mean, sd, hdi_low, hdi_high, ess, rhat) of scalar parameters over (chain, draw).
 
-    A group holds the draws of one parameter of one series; chains are cut to the shortest.
+    One row holds the draws of one parameter of one series; chains are cut to the shortest.
     """
     long = posterior.select(*keys, "chain", "draw", *(F.col(p).cast("double") for p in parameters)).unpivot([*keys, "chain", "draw"], list(parameters), "parameter", "value")
     by = [*keys, "parameter"]
     held = long.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev("value").alias("sd"), F.array_sort(F.collect_list("value")).alias("_v"))
     moments = held.withColumn("_h", hdi_of(F.col("_v"), prob)).select(*by, "mean", "sd", F.col("_h.low").alias("hdi_low"), F.col("_h.high").alias("hdi_high"))
 
-    def mixing(frame: pd.DataFrame) -> pd.DataFrame:
-        chains = [g.sort_values("draw")["value"].to_numpy(float) for _, g in frame.groupby("chain")]
-        n = min(map(len, chains))
-        x = np.array([c[:n] for c in chains])
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in by}, "ess": [effective_size(x)], "rhat": [split_rhat(x) if n > 3 else float("nan")]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in long.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", ess double, rhat double"
-    return moments.join(long.groupBy(*by).applyInPandas(mixing, schema), by)
+    chains = long.groupBy(*by, "chain").agg(F.array_sort(F.collect_list(F.struct("draw", "value"))).alias("c")).groupBy(*by).agg(F.collect_list(F.transform("c", lambda r: r["value"])).alias("c"))
+    cut = F.transform("c", lambda c: F.slice(c, 1, F.array_min(F.transform("c", F.size))))
+    mixing = chains.withColumn("c", cut).select(*by, effective_size_of(F.col("c")).alias("ess"), split_rhat_of(F.col("c")).alias("rhat"))
+    return moments.join(mixing, by)

@@ -72,3 +72,48 @@ def mixing_diagnostics(spark, d):
     rows = read(spark, d, "events").select(F.col("event_type").alias("series"), rank.alias("r"), "value")
     drawn = rows.select("series", (F.col("r") % CHAINS).alias("chain"), F.floor(F.col("r") / CHAINS).cast("long").alias("draw"), "value")
     return summary(drawn, ["value"], ["series"]).select("series", rounded("ess", 4).alias("ess"), rounded("rhat").alias("rhat"))
+
+
+def _u(key: str, at: int) -> str:
+    return f"((('0x' || substr(md5({key}), {at}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)"
+
+
+def _gamma_sql(name: str, source: str, key: str, shape: str, tries: int = 24) -> str:
+    """CTE `name` (the source's columns, g): Marsaglia's and Tsang's number from the stream of `key`."""
+    a = f"(CASE WHEN {shape} < 1 THEN {shape} + 1 ELSE {shape} END)"
+    stream = f"{key} || '|' || i::VARCHAR"
+    return f"""{name}_c AS (SELECT s.*, i, {a} - 1.0::DOUBLE / 3 AS d_, {_normal_sql(f"({stream})")} AS z_, {_u(f"({stream} || '|u')", 1)} AS u_ FROM {source} s, range({tries}) r(i)),
+{name}_v AS (SELECT *, (1 + z_ / sqrt(9 * d_)) ** 3 AS v_ FROM {name}_c),
+{name}_f AS (SELECT * FROM {name}_v WHERE CASE WHEN v_ > 0 THEN ln(u_) < 0.5 * z_ * z_ + d_ - d_ * v_ + d_ * ln(v_) ELSE false END),
+{name} AS (SELECT * EXCLUDE (i, d_, z_, u_, v_, rn_), d_ * v_ * CASE WHEN {shape} < 1 THEN {_u(f"({key} || '|boost')", 1)} ** (1 / {shape}) ELSE 1 END AS g FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS rn_ FROM {name}_f) WHERE rn_ = 1)"""
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS id, 0.2::DOUBLE + c_nationkey / 5.0::DOUBLE AS a, 0.5::DOUBLE + abs(c_acctbal) / 2000 AS b FROM customer),
+{_gamma_sql('ga', 's', "('3|gamma|' || id::VARCHAR)", 'a')}, {_gamma_sql('gx', 's', "('3|beta|' || id::VARCHAR || '|a')", 'a')}, {_gamma_sql('gy', 's', "('3|beta|' || id::VARCHAR || '|b')", 'b')}
+SELECT ga.id, round(ga.g, 6) + 0.0 AS gamma, round(gx.g / (gx.g + gy.g), 6) + 0.0 AS beta FROM ga JOIN gx USING (id) JOIN gy USING (id)""")
+def gamma_beta_draws(spark, d):
+    """A gamma and a beta number for each customer, of shapes told by its nation and balance."""
+    from tidecast.functions import samplers
+    from tidecast.functions.rng import key_of
+
+    a, b = F.lit(0.2) + F.col("c_nationkey") / 5.0, F.lit(0.5) + F.abs("c_acctbal") / 2000
+    out = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), a.alias("a"), b.alias("b"))
+    return out.select("id", rounded(samplers.gamma(key_of(3, "gamma", F.col("id")), F.col("a"))).alias("gamma"), rounded(samplers.beta(key_of(3, "beta", F.col("id")), F.col("a"), F.col("b"))).alias("beta"))
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS id, exp(c_nationkey / 3.0::DOUBLE - 1) AS lam FROM customer),
+small AS (SELECT id, lam, {_u("('3|poisson|' || id::VARCHAR)", 1)} AS u FROM s WHERE lam <= 10),
+terms AS (SELECT id, u, k, sum(exp(k * ln(lam) - lam - lgamma(k + 1))) OVER (PARTITION BY id ORDER BY k) AS cdf FROM small, range(65) g(k)),
+si AS (SELECT id, min(k)::DOUBLE AS n FROM terms WHERE u <= cdf GROUP BY 1),
+big AS (SELECT id, lam, i, {_u("('3|poisson|' || id::VARCHAR || '|' || i::VARCHAR)", 1)} - 0.5 AS u, {_u("('3|poisson|' || id::VARCHAR || '|' || i::VARCHAR)", 9)} AS v, 0.931 + 2.53 * sqrt(lam) AS b FROM s, range(24) r(i) WHERE lam > 10),
+bc AS (SELECT *, -0.059 + 0.02483 * b AS a, 1.1239 + 1.1328 / (b - 3.4) AS inv, 0.9277 - 3.6224 / (b - 2) AS top, 0.5 - abs(u) AS us FROM big),
+bn AS (SELECT *, floor((2 * a / us + b) * u + lam + 0.43) AS n FROM bc),
+bf AS (SELECT id, i, n FROM bn WHERE (us >= 0.07 AND v <= top) OR CASE WHEN n < 0 OR (us < 0.013 AND v > us) THEN false ELSE ln(v * inv / (a / (us * us) + b)) <= n * ln(lam) - lam - lgamma(n + 1) END)
+SELECT id, n FROM si UNION ALL SELECT id, arg_min(n, i) FROM bf GROUP BY id""")
+def poisson_draws(spark, d):
+    """A Poisson count for each customer, of rates from 0.4 to some thousand."""
+    from tidecast.functions import samplers
+    from tidecast.functions.rng import key_of
+
+    out = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.exp(F.col("c_nationkey") / 3.0 - 1).alias("lam"))
+    return out.select("id", samplers.poisson(key_of(3, "poisson", F.col("id")), F.col("lam")).alias("n"))

@@ -10,11 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tidecast.errors import AlignmentError, ConvergenceWarning, HorizonError, MethodResolutionError, NotFittedError
 from tidecast.functions.features import fourier_features
-from tidecast.functions.rng import key_of, normal, student, uniforms
+from tidecast.functions.rng import key_of, normal, student
+from tidecast.functions.samplers import poisson
 from tidecast.names import FUTURE_DIM, POS, TIME_DIM
 from tidecast.operators import index as time_index
 from tidecast.operators.draws import thin_draws
@@ -34,29 +34,6 @@ def local_trend_spec() -> ModelSpec:
     return ModelSpec(trend=True, period=7.0, terms=1)
 
 
-@F.pandas_udf(DoubleType())
-def poisson_from(u: pd.Series, rate: pd.Series) -> pd.Series:
-    """Poisson counts by inversion of uniforms; from a rate of 700 on, where exp(-rate) leaves the doubles' range, the
-    rounded normal quantile of the same mean and variance, and rates above 1e12 count as that."""
-    rate_, u_ = np.clip(rate.to_numpy(float), 0, 1e12), u.to_numpy(float)
-    out, p = np.zeros(len(u_)), np.exp(-np.minimum(rate_, 700))
-    total, live = p.copy(), (u_ > p) & (rate_ < 700)
-    k = 0
-    while live.any():
-        k += 1
-        p = p * rate_ / k
-        total = total + p
-        out[live] = k
-        live &= (u_ > total) & (k < 4000)
-    big = rate_ >= 700
-    if big.any():
-        from statistics import NormalDist
-
-        z = np.array([NormalDist().inv_cdf(x) for x in u_[big]])
-        out[big] = np.maximum(np.round(rate_[big] + np.sqrt(rate_[big]) * z), 0)
-    return pd.Series(out)
-
-
 class BaseForecaster:
     """spec: the model.  keys: columns that tell series apart; each is a task's work of its own.  seed: of all draws."""
 
@@ -138,7 +115,7 @@ class BaseForecaster:
         """rows with `name`, drawn about mu; a Poisson rate is exp(mu), and at most e**27, about 5e11."""
         key = key_of(seed, name, F.col("chain"), F.col("draw"), *(F.col(k) for k in self.keys), F.col(POS))
         if self.spec.family == "poisson":
-            return rows.withColumn(name, poisson_from(uniforms(key)[0], F.exp(F.least(F.col(mu), F.lit(27.0)))))
+            return rows.withColumn(name, poisson(key, F.exp(F.least(F.col(mu), F.lit(27.0)))))
         noise = student(key, self.spec.degrees) if self.spec.family == "studentt" else normal(key)
         return rows.withColumn(name, F.col(mu) + F.col("sigma") * noise)
 

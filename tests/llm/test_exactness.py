@@ -119,3 +119,15 @@ def test_names_of_words_differ():
     assert len(np.unique(lanes[:, 0])) == len(values) - 1
     again = digests(pa.array(values[::-1], pa.binary()))[::-1]
     assert (again[1:] == lanes).all() and digests(pa.array([], pa.binary())).shape == (0, 2)
+
+
+@pytest.mark.parametrize("slice_, wave", [(2, 1), (3, 2), (256, 256)])
+def test_a_hubs_text_reaches_every_slice_in_waves(spark, monkeypatch, slice_, wave):
+    monkeypatch.setattr(superminhash, "SLICE", slice_)
+    monkeypatch.setattr(superminhash, "WAVE", wave)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(30)] + [(100 + i, f"alone {i} " * 3) for i in range(5)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 30)] + [(100 + i, 0) for i in range(5)] + [(2, 1)], "a long, hub long")
+    got = {(r.a, r.b) for r in superminhash.verified(pairs, texts, 2, 80).collect()}
+    assert got == {(i, 0) for i in range(1, 30)} | {(2, 1)}

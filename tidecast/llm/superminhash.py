@@ -23,6 +23,8 @@ SHINGLE, SIMILARITY = 5, 80
 CHUNK = 1 << 14
 #: Members or hubs that meet at once, pairs that a task verifies about, and shared elements that a step counts at once.
 SLICE, MEETINGS, POSTINGS = 256, 2048, 1 << 21
+#: Copies of a hub's text that one task makes.
+WAVE = 256
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,8 +142,8 @@ def similar(texts: list[bytes], a: np.ndarray, b: np.ndarray, size: int, similar
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
     """The pairs (a, hub) of documents that are similar to `similarity` hundredths or more, compared by their real words.
 
-    A hub's members are dealt over slices of SLICE or so, and the hub's text goes once to each; slices share tasks of
-    about MEETINGS pairs.  So a hub of any number of members is no hot key, and a text moves once for each of its hubs.
+    A hub's members are dealt over slices of SLICE or so, and the hub's text goes once to each, in waves; slices share
+    tasks of about MEETINGS pairs.  So a hub of any number of members is no hot key, and a text moves once for each of its hubs.
     """
     count = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("_n"))
     hubs = cut(count.select("hub", F.ceil(F.col("_n") / SLICE).cast("int").alias("slices")), "slices", narrow=True)
@@ -149,7 +151,12 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) ->
     shard = F.pmod(F.xxhash64("hub", "slice"), F.lit(shards)).cast("int").alias("shard")
     sliced = attach(pairs, hubs.filter("slices > 1"), ["hub"], ["a"]).withColumn("slice", F.pmod(F.xxhash64("a"), F.coalesce("slices", F.lit(1))).cast("int"))
     members = sliced.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select(shard, "hub", "slice", "a", F.lit(False).alias("is_hub"), "text")
-    centres = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).join(texts.select(F.col("doc_id").alias("hub"), "text"), "hub")
+    # a hub's text fans out after it is met, WAVE copies a task: neither the join nor one task makes all of them
+    waves = F.sequence(F.lit(0), F.floor((F.col("slices") - 1) / WAVE).cast("int"))
+    centres = hubs.join(texts.select(F.col("doc_id").alias("hub"), "text"), "hub").select("hub", "slices", F.explode(waves).alias("wave"), "text")
+    few, many = centres.filter(F.col("slices") <= WAVE), centres.filter(F.col("slices") > WAVE).repartition("hub", "wave")
+    within = F.sequence(F.col("wave") * WAVE, F.least(F.col("slices"), (F.col("wave") + 1) * WAVE) - 1)
+    centres = few.unionByName(many).select("hub", F.explode(within).alias("slice"), "text")
     rows = members.union(centres.select(shard, "hub", "slice", F.col("hub").alias("a"), F.lit(True).alias("is_hub"), "text"))
 
     def meet(group: pa.Table) -> pa.Table:

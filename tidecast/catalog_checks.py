@@ -117,3 +117,17 @@ def poisson_draws(spark, d):
 
     out = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.exp(F.col("c_nationkey") / 3.0 - 1).alias("lam"))
     return out.select("id", samplers.poisson(key_of(3, "poisson", F.col("id")), F.col("lam")).alias("n"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT event_type AS series, ts::DATE AS day, count(*)::DOUBLE AS y FROM events GROUP BY ALL), w AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events),
+sp AS (SELECT series, unnest(generate_series(min(day), (SELECT max(day) FROM n), INTERVAL 1 DAY))::DATE AS day FROM n GROUP BY series),
+o AS MATERIALIZED (SELECT series, day, coalesce(y, 0.0)::DOUBLE AS y, row_number() OVER (PARTITION BY series ORDER BY day) AS k FROM sp LEFT JOIN n USING (series, day) WHERE day + INTERVAL 1 DAY <= (SELECT w FROM w)),
+f AS (SELECT DISTINCT series, 0::BIGINT AS k, NULL::DATE AS day, 0.0::DOUBLE AS y, 0.0::DOUBLE AS m, 1000000.0::DOUBLE AS p, 0.0::DOUBLE AS ll FROM o UNION ALL
+SELECT f.series, o.k, o.day, o.y, f.m + ((f.p + 4) / (f.p + 4 + 25)) * (o.y - f.m), (f.p + 4) * (1 - (f.p + 4) / (f.p + 4 + 25)), -0.5 * (ln(2 * pi() * (f.p + 29)) + (o.y - f.m) * (o.y - f.m) / (f.p + 29)) FROM f JOIN o ON o.series = f.series AND o.k = f.k + 1)
+SELECT series, day, y, round(m, 6) + 0.0 AS level, round(p, 6) + 0.0 AS variance, round(ll, 6) + 0.0 AS loglik FROM f WHERE k > 0""")
+def streaming_local_level(spark, d):
+    """Daily counts of each event type followed as a stream: the days that the watermark has closed."""
+    from tidecast.streaming.level import local_level
+
+    out = local_level(spark, f"{d}/events.parquet", 25.0, 4.0)
+    return out.select("series", "day", "y", rounded("level").alias("level"), rounded("variance").alias("variance"), rounded("loglik").alias("loglik"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecast.catalog import query, rounded
+from tidecast.catalog import DAILY, HORIZON, T_OBS, daily, query, rounded
 from tidecast.catalog_regression import MONTHS, nation_months
 from tidecast.names import POS
 from tidecast.operators import state_space
@@ -98,3 +98,40 @@ def state_space_forecast(spark, d):
     found = state_space.posterior(month_likelihoods(spark, d), ["nation"], ["level_0", "level_1", "obs"])
     out = state_space.forecast(month_paths(spark, d), ["nation"], MODEL, found)
     return out.select("nation", POS, rounded("mean", 5).alias("mean"), rounded("variance", 5).alias("variance"))
+
+
+KERNELS = [(v, c, o) for v in (20.0, 80.0, 320.0) for c in (0.5, 2.0, 8.0) for o in (10.0, 40.0, 160.0)]
+KERNEL = state_space.StateSpace([state_space.Decay()], var0="decay_var")
+_KEPT = "exp(-1 / decay_scale)"
+
+
+@query(f"""WITH RECURSIVE {DAILY}, mean AS (SELECT series, avg(y) AS m FROM daily WHERE pos < {T_OBS} GROUP BY 1),
+o AS MATERIALIZED (SELECT series, pos, CASE WHEN pos < {T_OBS} THEN y - m END AS y, m FROM daily JOIN mean USING (series)),
+grid AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)' for a, b, c in KERNELS)}) v(decay_var, decay_scale, obs)),
+f AS (SELECT DISTINCT series, decay_var, decay_scale, obs, -1::BIGINT AS pos, NULL::DOUBLE AS y, 0.0::DOUBLE AS m, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS f, 0.0::DOUBLE AS ll, 0.0::DOUBLE AS a, decay_var AS p FROM o, grid
+ UNION ALL SELECT series, decay_var, decay_scale, obs, pos, y, m, mean, q + obs, CASE WHEN y IS NULL THEN 0.0::DOUBLE ELSE -0.5 * (ln(2 * pi() * (q + obs)) + (y - mean) * (y - mean) / (q + obs)) END, CASE WHEN y IS NULL THEN mean ELSE mean + q / (q + obs) * (y - mean) END, CASE WHEN y IS NULL THEN q ELSE q - q * q / (q + obs) END
+ FROM (SELECT f.series, decay_var, decay_scale, obs, o.pos, o.y, o.m, {_KEPT} * f.a AS mean, {_KEPT} * {_KEPT} * f.p + decay_var * (1 - {_KEPT} * {_KEPT}) AS q FROM f JOIN o ON o.series = f.series AND o.pos = f.pos + 1)),
+lk AS (SELECT series, decay_var, decay_scale, obs, sum(ll) AS loglik FROM f GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY loglik DESC, decay_var, decay_scale, obs) AS r FROM lk) WHERE r = 1)
+SELECT series, decay_var, decay_scale, obs, round(loglik, 6) + 0.0 AS loglik, pos, round(m + mean, 6) + 0.0 AS mean, round(f, 6) + 0.0 AS variance FROM f JOIN b USING (series, decay_var, decay_scale, obs) WHERE f.pos >= {T_OBS}""")
+def kernel_learned(spark, d):
+    """Conditional normals of daily counts about their mean: the exponential kernel that makes each series likeliest."""
+    days = daily(spark, d)
+    seen = F.col(POS) < T_OBS
+    mean = days.filter(seen).groupBy("series").agg(F.avg("y").alias("m"))
+    paths = state_space.steps(days.join(mean, "series").withColumn("y", F.when(seen, F.col("y") - F.col("m"))), ["series"])
+    grid = spark.createDataFrame(KERNELS, "decay_var double, decay_scale double, obs double")
+    names = KERNEL.parameters()
+    best = state_space.most_likely(state_space.likelihoods(paths, ["series"], KERNEL, grid), ["series"], names)
+    ahead = state_space.filtered(paths.join(best, "series"), ["series", *names, "loglik"], KERNEL, {n: F.col(n) for n in names}).filter("y is null").join(mean, "series")
+    return ahead.select("series", *names, rounded("loglik").alias("loglik"), POS, rounded(F.col("m") + F.col("mean")).alias("mean"), rounded("f").alias("variance"))
+
+
+@query(None)
+def structural_forecast(spark, d):
+    """A level, a trend and a week's effects in the daily counts, their variances learned on a grid: what 200 paths say."""
+    from tidecast.plans import structural
+
+    space = state_space.StateSpace([state_space.LevelTrend(2), state_space.Seasonal(7)], var0=2500.0)
+    model = structural.Stated(space, {"level_0": [0.1, 1.0, 10.0], "level_1": [0.0001, 0.01], "season": [0.01, 1.0], "obs": [10.0, 40.0, 160.0]})
+    made = structural.StructuralForecaster(model, ["series"]).fit(daily(spark, d).filter(F.col(POS) < T_OBS).select("series", POS, "y"))
+    return made.forecast(horizon=HORIZON, num_samples=200).groupBy("series", POS).agg(F.avg("forecast").alias("mean"), F.stddev("forecast").alias("sd"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import linalg
 from tidecast.functions.rng import normal, uniforms
+from tidecast.functions.special import log_gamma
 
 FEW, MORE = 8, 128
 #: Up to this rate Poisson counts come by inversion.
@@ -64,8 +65,6 @@ def inverse_gamma(key: Column, shape: Column, rate: Column) -> Column:
 def poisson(key: Column, rate: Column) -> Column:
     """A Poisson count, as a double: by inversion up to SMALL_RATE, else by Hoermann's transformed rejection, which is
     exact at any rate.  Null for a rate below 0 or of no number."""
-    from tidecast.plans.regression import log_gamma
-
     rate = rate.cast("double")
 
     def inverted(lam: Column) -> Column:

@@ -164,13 +164,13 @@ class StateSpace:
     """Components side by side, seen through a measurement error of variance `measurement` (a parameter's name, or None).
 
     Parameters are variances by name, numbers or Columns of the series' row, so that each series or draw may have its
-    own.  States start at mean0 with variance var0 each, before the first step's move.
+    own.  States start at mean0 with variance var0 each, a number or a parameter's name, before the first step's move.
     """
 
     components: Sequence[LevelTrend | Seasonal | Regression | Decay]
     measurement: str | None = "obs"
     mean0: float = 0.0
-    var0: float = 1e4
+    var0: float | str = 1e4
 
     @property
     def size(self) -> int:
@@ -233,7 +233,8 @@ class StateSpace:
         n, m = range(self.size), self.size
         h = p[self.measurement] if self.measurement else 0.0
         zero = F.lit(0.0)
-        blank = {"mean": zero, "f": zero, "v": zero, "ll": zero, "a": _array([0.0] * m), "p": _array([0.0] * len(self._pairs())), "fa": _array([self.mean0] * m), "fp": _array([self.var0 if i == j else 0.0 for i, j in self._pairs()])}
+        start = p[self.var0] if isinstance(self.var0, str) else self.var0
+        blank = {"mean": zero, "f": zero, "v": zero, "ll": zero, "a": _array([0.0] * m), "p": _array([0.0] * len(self._pairs())), "fa": _array([self.mean0] * m), "fp": _array([start if i == j else 0.0 for i, j in self._pairs()])}
         pack = lambda fields: F.struct(*(c.alias(k) for k, c in fields.items()))
 
         def step(s: Column, o: Column) -> Column:

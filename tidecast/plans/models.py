@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -212,3 +212,30 @@ def time_series(loc: Prior, sigma: Prior) -> UserModel:
         step=lambda s, p, e, t, x: s + p["drift"] + p["step"] * e,
         init=lambda p: p["level"],
     )
+
+
+def prior_rv_factory(prior: Prior, name: str) -> UserModel:
+    """A latent with a value of its own at every step, drawn from a normal prior, over data and horizon alike.
+
+    Hyperpriors of the prior are drawn once, as {name}_mu and {name}_sigma, and shared by both.
+    """
+    if prior.name != "normal":
+        raise MethodResolutionError("a value a step is a normal prior's")
+    numbers = {**KNOWN["normal"].defaults, **prior.params}
+    own = {f"{name}_{part}": value for part, value in numbers.items() if isinstance(value, Prior)}
+    of = lambda p, part: p[f"{name}_{part}"] if f"{name}_{part}" in own else float(numbers[part])
+    return UserModel(own, emit=lambda s, p, t, x: s[0], step=lambda s, p, e, t, x: 0 * s + of(p, "mu") + of(p, "sigma") * e, init=lambda p: np.zeros(len(next(iter(p.values()))) if p else 1))
+
+
+def prior_obs_factory(prior: Prior, model: UserModel) -> UserModel:
+    """model with what is seen of it told by a prior: its family, its degrees of freedom, and the prior of its sigma.
+
+    The prior leaves mu unset, which is the model's own."""
+    if "mu" in prior.params:
+        raise ValueError("what is seen has the model's mean: leave mu unset")
+    if prior.name not in ("normal", "studentt"):
+        raise MethodResolutionError(f"{prior.dist} isn't a family of observations")
+    sigma = prior.params.get("sigma")
+    if sigma is not None and not isinstance(sigma, Prior):
+        raise MethodResolutionError("state a prior for sigma, which is learned")
+    return replace(model, family=prior.name, sigma=sigma, degrees=float(prior.params.get("nu", model.degrees)))

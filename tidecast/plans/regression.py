@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import linalg
 from tidecast.functions.rng import key_of, normal
+from tidecast.functions.special import log_gamma
 from tidecast.scratch import stored
 
 
+#: Rounds of a pooled fit that one job runs.
+TOGETHER = 5
+
+
 def moments(rows: DataFrame, by: Sequence[str], columns: Sequence[Column], y: Column, weight: Column | None = None) -> DataFrame:
     """(by, n, xx, xy, yy, sw): sums of weighted products of the design columns and y over rows where none is null."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
@@ -47,16 +52,6 @@ def conjugate(rows: DataFrame, by: Sequence[str], columns: Sequence[Column], y:
     return held.select(*by, "n", "coef", F.col("inv.x").alias("cov"), F.col("_shape").alias("shape"), F.col("_rate").alias("rate"), evidence.alias("log_evidence"))
 
 
-def log_gamma(x: Column) -> Column:
-    """ln of the gamma function above 0: Stirling's series at x + 8, stepped down; to some 1e-13."""
-    z = x + 8
-    series = (z - 0.5) * F.ln(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
-    product = x
-    for k in range(1, 8):
-        product = product * (x + k)
-    return series - F.ln(product)
-
-
 def predictive(posterior: DataFrame, steps: DataFrame, by: Sequence[str], columns: Sequence[Column]) -> DataFrame:
     """steps with mean, scale and df: Student's t of what is seen at each, a conjugate posterior at hand.
 
@@ -115,7 +110,7 @@ def pooled(rows: DataFrame, by: Sequence[str], columns: Sequence[Column], y: Col
     A series' coefficients are normal about its pool's mean with the pool's covariance, and its noise has the pool's
     variance; `pools` are some of the keys `by` (none: one pool).  Rows are read once, for moments by series.  Each
     round of EM is then one aggregation of the series' posteriors by pool: an exchange of a few numbers a task, however
-    many series there are; the parameters that it gives are written to the shared folder.
+    many series there are; every TOGETHER rounds the parameters are written to the shared folder.
 
     Series: by, n, coef, cov (posterior mean and covariance).  Pools: pools, centre, spread, noise, series.  It starts
     from least squares over all rows of a pool, with a covariance of the coefficients' squares plus 1 on the diagonal.
@@ -139,7 +134,10 @@ def pooled(rows: DataFrame, by: Sequence[str], columns: Sequence[Column], y: Col
         sums = m.withColumn("second", second).withColumn("left", left).groupBy(*one).agg(each("coef").alias("c"), add("second").alias("s"), F.sum("left").alias("left"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("series"))
         centre = F.transform("c", lambda x: x / F.col("series"))
         spread = F.zip_with("s", "centre", lambda row, a: F.zip_with(row, "centre", lambda x, b: x / F.col("series") - a * b))
-        pool = stored(sums.withColumn("centre", centre).select(*one, "centre", spread.alias("spread"), (F.col("left") / F.col("n")).alias("noise"), "series"), f"pooled-{r + 1}")
+        pool = sums.withColumn("centre", centre).select(*one, "centre", spread.alias("spread"), (F.col("left") / F.col("n")).alias("noise"), "series")
+        # a round uses the one before once, so a few make one plan
+        if (r + 1) % TOGETHER == 0 or r + 1 == rounds:
+            pool = stored(pool, f"pooled-{r + 1}")
     out = _series(held, pool, one, p)
     return out.select(*by, "n", "coef", "cov"), pool.drop("_pool")
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 
-from tidecast.errors import MethodResolutionError
+from tidecast.errors import HorizonError, MethodResolutionError
+from tidecast.names import FUTURE_DIM, TIME_DIM
 from tidecast.plans.distributions import KNOWN
 
 FAMILIES = ("normal", "poisson", "studentt")
@@ -17,13 +18,19 @@ FAMILIES = ("normal", "poisson", "studentt")
 class Prior:
     """A named distribution with its parameters: one of distributions.KNOWN, whatever its case.
 
-    A parameter may be a Prior in turn.  Such a hyperprior isn't sampled: its mean, over draws of a fixed seed, stands in.
+    A parameter may be a Prior in turn.  In a ModelSpec such a hyperprior isn't sampled: its mean, over draws of a fixed
+    seed, stands in.  dims may name "time", for a value a step; a hyperprior can't have that, as the horizon's steps
+    couldn't share it with the data's.
     """
 
     dist: str
     params: Mapping[str, object] = field(default_factory=dict)
+    dims: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
+        for name, value in self.params.items():
+            if isinstance(value, Prior) and {TIME_DIM, FUTURE_DIM} & set(value.dims):
+                raise HorizonError(f"the hyperprior {name!r} has a value a step, which data and horizon can't share")
         known = KNOWN.get(self.name)
         if known is None:
             raise MethodResolutionError(f"no distribution {self.dist!r}; there are {', '.join(sorted(KNOWN))}")

@@ -6,23 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidecast.catalog import DAILY, HORIZON, PERIOD, T_OBS, daily, query, read, rounded
+from tidecast.catalog import DAILY, MONTHS, PERIOD, T_OBS, daily, nation_months, query, rounded
 from tidecast.functions import linalg
 from tidecast.names import POS
 from tidecast.plans import regression
 
 ROUNDS, POISSON_ROUNDS = 20, 8
-MONTHS = """om AS (SELECT n_regionkey AS region, n_nationkey AS nation, (date_part('year', o_orderdate) - 1992) * 12 + date_part('month', o_orderdate) - 1 AS pos, count(*)::DOUBLE AS y
-   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
-
-
-def nation_months(spark, d):
-    """(region, nation, pos, y): orders a month since 1992 of each nation."""
-    of = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"))
-    pos = ((F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1).cast("long")
-    return read(spark, d, "orders").join(of, F.col("o_custkey") == F.col("c_custkey")).groupBy("region", "nation", pos.alias(POS)).agg(F.count(F.lit(1)).cast("double").alias("y"))
-
-
 def _em_round(r: int) -> str:
     return f"""
 d{r} AS (SELECT mo.*, c0, c1, nz, v11 / (v00 * v11 - v01 * v01) AS p00, -v01 / (v00 * v11 - v01 * v01) AS p01, v00 / (v00 * v11 - v01 * v01) AS p11 FROM mo JOIN q{r} USING (region)),

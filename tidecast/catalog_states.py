@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecast.catalog import DAILY, HORIZON, T_OBS, daily, query, rounded
-from tidecast.catalog_regression import MONTHS, nation_months
+from tidecast.catalog import DAILY, HORIZON, MONTHS, T_OBS, daily, nation_months, query, rounded
 from tidecast.names import POS
 from tidecast.operators import state_space
 

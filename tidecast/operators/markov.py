@@ -45,10 +45,10 @@ def paths(draws: DataFrame, steps: DataFrame, init: Mapping[str, Column], transi
         return F.struct(s["pos"].alias("pos"), *(now[n].cast("double").alias(n) for n in init))
 
     start = F.struct(F.lit(-1).cast("long").alias("pos"), *(c.cast("double").alias(n) for n, c in init.items()))
-    out = at.select(*everything, *SAMPLE_DIMS, F.explode(scan(fresh, start, step, lambda s: s)).alias("s"))
-    return out.select(*everything, *SAMPLE_DIMS, F.col("s.pos").alias(POS), *(F.col(f"s.{n}") for n in init))
+    out = at.select(*everything, *SAMPLE_DIMS, F.explode(scan(fresh, start, step, lambda s: s)).alias("_at"))
+    return out.select(*everything, *SAMPLE_DIMS, F.col("_at.pos").alias(POS), *(F.col(f"_at.{n}") for n in init))
 
 
 def last(found: DataFrame, state: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, chain, draw, state): where each path ended, which is what a horizon is seeded with."""
-    return found.groupBy(*keys, *SAMPLE_DIMS).agg(F.max_by(F.struct(*state), F.col(POS)).alias("s")).select(*keys, *SAMPLE_DIMS, "s.*")
+    return found.groupBy(*keys, *SAMPLE_DIMS).agg(F.max_by(F.struct(*state), F.col(POS)).alias("_last")).select(*keys, *SAMPLE_DIMS, "_last.*")

@@ -323,15 +323,15 @@ def steps(series: DataFrame, keys: Sequence[str], y: str = "y", covariates: Sequ
 
 def filtered(paths: DataFrame, keys: Sequence[str], model: StateSpace, p: Parameters) -> DataFrame:
     """(keys, pos, y, mean, f, v, ll, a, p, fa, fp): one row a step, see StateSpace.filter."""
-    held = paths.select(*keys, F.explode(F.arrays_zip(F.col("path"), model.filter(F.col("path"), p).alias("out"))).alias("e"))
-    return held.select(*keys, "e.path.pos", "e.path.y", "e.out.*")
+    held = paths.select(*keys, F.explode(F.arrays_zip(F.col("path"), model.filter(F.col("path"), p).alias("out"))).alias("_step"))
+    return held.select(*keys, "_step.path.pos", "_step.path.y", "_step.out.*")
 
 
 def smoothed(paths: DataFrame, keys: Sequence[str], model: StateSpace, p: Parameters) -> DataFrame:
     """(keys, pos, y, mean, variance, a, p): one row a step, see StateSpace.smooth."""
     both = let(model.filter(F.col("path"), p), lambda f: model.smooth(F.col("path"), f, p))
-    held = paths.select(*keys, F.explode(F.arrays_zip(F.col("path"), both.alias("out"))).alias("e"))
-    return held.select(*keys, "e.path.pos", "e.path.y", "e.out.*")
+    held = paths.select(*keys, F.explode(F.arrays_zip(F.col("path"), both.alias("out"))).alias("_step"))
+    return held.select(*keys, "_step.path.pos", "_step.path.y", "_step.out.*")
 
 
 def likelihoods(paths: DataFrame, keys: Sequence[str], model: StateSpace, grid: DataFrame, prior: Column | None = None) -> DataFrame:
@@ -344,8 +344,8 @@ def likelihoods(paths: DataFrame, keys: Sequence[str], model: StateSpace, grid:
 
 def most_likely(found: DataFrame, keys: Sequence[str], parameters: Sequence[str]) -> DataFrame:
     """The grid's best row for each series; ties to the smaller parameters."""
-    best = F.max(F.struct("loglik", *((-F.col(n)).alias(n) for n in parameters))).alias("b")
-    return found.groupBy(*keys).agg(best).select(*keys, *((-F.col(f"b.{n}")).alias(n) for n in parameters), "b.loglik")
+    best = F.max(F.struct("loglik", *((-F.col(n)).alias(n) for n in parameters))).alias("_best")
+    return found.groupBy(*keys).agg(best).select(*keys, *((-F.col(f"_best.{n}")).alias(n) for n in parameters), "_best.loglik")
 
 
 def posterior(found: DataFrame, keys: Sequence[str], parameters: Sequence[str]) -> DataFrame:

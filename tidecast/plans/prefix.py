@@ -22,24 +22,24 @@ def window_moments(data: DataFrame, keys: Sequence[str], columns: Sequence[Colum
     driver's size (window_splits).
     """
     p, keys = len(columns), list(keys)
-    bounds = windows.select(F.explode(F.array("t0", "t1")).alias("b")).distinct()
-    rank = F.row_number().over(Window.orderBy("b"))
-    bounds = bounds.select("b", (rank - 1).alias("stretch"))
-    ends = bounds.select(F.col("b").alias("lo"), F.lead("b").over(Window.orderBy("b")).alias("hi"), "stretch").filter("hi is not null")
-    place = ends.select("stretch", F.explode(F.sequence("lo", F.col("hi") - 1)).alias(POS))
+    bounds = windows.select(F.explode(F.array("t0", "t1")).alias("_b")).distinct()
+    rank = F.row_number().over(Window.orderBy("_b"))
+    bounds = bounds.select("_b", (rank - 1).alias("_stretch"))
+    ends = bounds.select(F.col("_b").alias("_low"), F.lead("_b").over(Window.orderBy("_b")).alias("_high"), "_stretch").filter("_high is not null")
+    place = ends.select("_stretch", F.explode(F.sequence("_low", F.col("_high") - 1)).alias(POS))
     named = {f"x{i}": c.cast("double") for i, c in enumerate(columns)}
     rows = data.select(*keys, F.col(POS), *(c.alias(f"_{n}") for n, c in named.items()), y.cast("double").alias("_y")).dropna().join(F.broadcast(place), POS)
     sums = {f"_{i}_{j}": F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(p) for j in range(i + 1)} | {f"_{i}": F.sum(F.col(f"_x{i}") * F.col("_y")) for i in range(p)}
     sums |= {"_n": F.count("_y").cast("double"), "_yy": F.sum(F.col("_y") * F.col("_y"))}
-    held = rows.groupBy(*keys, "stretch").agg(*(s.alias(n) for n, s in sums.items()))
+    held = rows.groupBy(*keys, "_stretch").agg(*(s.alias(n) for n, s in sums.items()))
     # a series without rows in a stretch has running sums there all the same
-    spine = held.select(*keys).distinct().crossJoin(F.broadcast(bounds.select("stretch")))
-    upto = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    running = spine.join(held, [*keys, "stretch"], "left").select(*keys, "stretch", F.array(*(F.coalesce(F.sum(F.coalesce(F.col(n), F.lit(0.0))).over(upto), F.lit(0.0)) for n in sums)).alias("s"))
-    of = windows.join(bounds.toDF("t0", "lo"), "t0").join(bounds.toDF("t1", "hi"), "t1").select(*SPLIT, "lo", "hi")
-    low = running.withColumnsRenamed({"stretch": "lo", "s": "_lo"}).join(F.broadcast(of), "lo")
-    met = low.join(running.withColumnsRenamed({"stretch": "hi", "s": "_hi"}), [*keys, "hi"]).withColumn("s", F.zip_with("_hi", "_lo", lambda a, b: a - b))
-    at = {n: F.get("s", F.lit(i)) for i, n in enumerate(sums)}
+    spine = held.select(*keys).distinct().crossJoin(F.broadcast(bounds.select("_stretch")))
+    upto = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    running = spine.join(held, [*keys, "_stretch"], "left").select(*keys, "_stretch", F.array(*(F.coalesce(F.sum(F.coalesce(F.col(n), F.lit(0.0))).over(upto), F.lit(0.0)) for n in sums)).alias("_sums"))
+    of = windows.join(bounds.toDF("t0", "_low"), "t0").join(bounds.toDF("t1", "_high"), "t1").select(*SPLIT, "_low", "_high")
+    low = running.withColumnsRenamed({"_stretch": "_low", "_sums": "_from"}).join(F.broadcast(of), "_low")
+    met = low.join(running.withColumnsRenamed({"_stretch": "_high", "_sums": "_to"}), [*keys, "_high"]).withColumn("_sums", F.zip_with("_to", "_from", lambda a, b: a - b))
+    at = {n: F.get("_sums", F.lit(i)) for i, n in enumerate(sums)}
     xx = F.array(*(F.array(*(at[f"_{max(i, j)}_{min(i, j)}"] for j in range(p))) for i in range(p)))
     return met.select(*keys, *SPLIT, F.round(at["_n"]).cast("long").alias("n"), xx.alias("xx"), F.array(*(at[f"_{i}"] for i in range(p))).alias("xy"), at["_yy"].alias("yy"))
 

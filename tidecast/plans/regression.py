@@ -127,24 +127,32 @@ def pooled(rows: DataFrame, by: Sequence[str], columns: Sequence[Column], y: Col
     wide = F.transform("centre", lambda c, i: F.transform("centre", lambda e, j: F.when(i == j, 1 + c * e).otherwise(F.lit(0.0))))
     noise = (F.col("yy") - linalg.dot(F.col("centre"), F.col("xy"))) / F.col("n")
     pool = stored(whole.select(*one, "centre", wide.alias("spread"), noise.alias("noise"), "series"), "pooled-0")
+    # expressions are made once and used in every round
+    second = linalg.plus(F.col("cov"), linalg.outer(F.col("coef"), F.col("coef")))
+    left = F.col("yy") - 2 * linalg.dot(F.col("coef"), F.col("xy")) + linalg.inner(F.col("xx"), F.col("second"))
+    sums = (each("coef").alias("c"), add("second").alias("s"), F.sum("left").alias("left"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("series"))
+    centre = F.transform("c", lambda x: x / F.col("series"))
+    spread = F.zip_with("s", "centre", lambda row, a: F.zip_with(row, "centre", lambda x, b: x / F.col("series") - a * b))
+    told = (*one, "centre", spread.alias("spread"), (F.col("left") / F.col("n")).alias("noise"), "series")
+    posterior = _posterior(p)
     for r in range(rounds):
-        m = _series(held, pool, one, p)
-        second = linalg.plus(F.col("cov"), linalg.outer(F.col("coef"), F.col("coef")))
-        left = F.col("yy") - 2 * linalg.dot(F.col("coef"), F.col("xy")) + linalg.inner(F.col("xx"), F.col("second"))
-        sums = m.withColumn("second", second).withColumn("left", left).groupBy(*one).agg(each("coef").alias("c"), add("second").alias("s"), F.sum("left").alias("left"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("series"))
-        centre = F.transform("c", lambda x: x / F.col("series"))
-        spread = F.zip_with("s", "centre", lambda row, a: F.zip_with(row, "centre", lambda x, b: x / F.col("series") - a * b))
-        pool = sums.withColumn("centre", centre).select(*one, "centre", spread.alias("spread"), (F.col("left") / F.col("n")).alias("noise"), "series")
+        m = _series(held, pool, one, posterior)
+        pool = m.withColumn("second", second).withColumn("left", left).groupBy(*one).agg(*sums).withColumn("centre", centre).select(*told)
         # a round uses the one before once, so a few make one plan
         if (r + 1) % TOGETHER == 0 or r + 1 == rounds:
             pool = stored(pool, f"pooled-{r + 1}")
-    out = _series(held, pool, one, p)
+    out = _series(held, pool, one, posterior)
     return out.select(*by, "n", "coef", "cov"), pool.drop("_pool")
 
 
-def _series(held: DataFrame, pool: DataFrame, one: Sequence[str], p: int) -> DataFrame:
-    """Each series' posterior given its pool."""
-    m = held.join(pool.withColumn("_prior", linalg.inverse(F.col("spread"), p)["x"]).drop("series"), list(one))
-    m = m.withColumn("cov", linalg.inverse(linalg.plus(linalg.scaled(F.col("xx"), 1 / F.col("noise")), F.col("_prior")), p)["x"])
+def _posterior(p: int) -> tuple[Column, Column, Column]:
+    """The prior precision of a pool, and a series' covariance and coefficients given it."""
+    cov = linalg.inverse(linalg.plus(linalg.scaled(F.col("xx"), 1 / F.col("noise")), F.col("_prior")), p)["x"]
     right = linalg.added(linalg.times(F.col("_prior"), F.col("centre")), F.col("xy"), 1 / F.col("noise"))
-    return m.withColumn("coef", linalg.times(F.col("cov"), right))
+    return linalg.inverse(F.col("spread"), p)["x"], cov, linalg.times(F.col("cov"), right)
+
+
+def _series(held: DataFrame, pool: DataFrame, one: Sequence[str], posterior: tuple[Column, Column, Column]) -> DataFrame:
+    """Each series' posterior given its pool."""
+    prior, cov, coef = posterior
+    return held.join(pool.withColumn("_prior", prior).drop("series"), list(one)).withColumn("cov", cov).withColumn("coef", coef)

@@ -111,7 +111,7 @@ class StructuralForecaster(BaseForecaster):
         self.paths_ = stored(state_space.steps(rows, self.keys, covariates=names), "paths")
         run = self.space.filter(F.col("path"), {n: F.col(n) for n in self.names})
         whole = linalg.let(run, lambda f: F.struct(F.aggregate(f, F.lit(0.0), lambda s, e: s + e["ll"]).alias("loglik"), F.element_at(f, -1)["fa"].alias("fa"), F.element_at(f, -1)["fp"].alias("fp")))
-        found = stored(self.paths_.crossJoin(F.broadcast(grid)).select(*self.keys, *self.names, whole.alias("w")).select(*self.keys, *self.names, "w.*"), "grid")
+        found = stored(self.paths_.crossJoin(F.broadcast(grid)).select(*self.keys, *self.names, whole.alias("_fit")).select(*self.keys, *self.names, "_fit.*"), "grid")
         weights = state_space.posterior(found, self.keys, self.names) if self.keys else state_space.posterior(found.withColumn("_all", F.lit(0)), ["_all"], self.names).drop("_all")
         self.weights_ = weights.select(*self.keys, *self.names, "weight").join(found, [*self.keys, *self.names])
         self.weights_ = stored(self.weights_.join(ends, self.keys) if self.keys else self.weights_.crossJoin(F.broadcast(ends)), "posterior")
@@ -123,13 +123,13 @@ class StructuralForecaster(BaseForecaster):
         """(keys, chain, draw, the parameters, fa, fp, t_first, t_obs): each draw is a grid row, by its posterior weight."""
         self._require_fitted()
         row = F.struct("weight", *self.names, "loglik", "fa", "fp", "t_first", "t_obs")
-        held = self.weights_.groupBy(*self.keys).agg(F.array_sort(F.collect_list(row)).alias("g"))
+        held = self.weights_.groupBy(*self.keys).agg(F.array_sort(F.collect_list(row)).alias("_grid"))
         u = uniforms(key_of(self.seed if seed is None else seed, "grid", F.col("draw"), *(F.col(k) for k in self.keys)))[0]
-        held = held.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_samples - 1).cast("long")))).withColumn("u", u)
+        held = held.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_samples - 1).cast("long")))).withColumn("_u", u)
         start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("at"))
-        step = lambda s, g: F.when(s["sum"] >= F.col("u"), s).otherwise(F.struct((s["sum"] + g["weight"]).alias("sum"), (s["at"] + 1).alias("at")))
-        chosen = F.get("g", F.aggregate("g", start, step, lambda s: s["at"]))
-        return held.select(*self.keys, F.lit(0).alias("chain"), "draw", chosen.alias("c")).select(*self.keys, "chain", "draw", *(f"c.{n}" for n in (*self.names, "fa", "fp", "t_first", "t_obs")))
+        step = lambda s, g: F.when(s["sum"] >= F.col("_u"), s).otherwise(F.struct((s["sum"] + g["weight"]).alias("sum"), (s["at"] + 1).alias("at")))
+        chosen = F.get("_grid", F.aggregate("_grid", start, step, lambda s: s["at"]))
+        return held.select(*self.keys, F.lit(0).alias("chain"), "draw", chosen.alias("_row")).select(*self.keys, "chain", "draw", *(f"_row.{n}" for n in (*self.names, "fa", "fp", "t_first", "t_obs")))
 
     def _key(self, seed: int, name: str, pos: Column) -> Column:
         return key_of(seed, name, F.col("chain"), F.col("draw"), *(F.col(k) for k in self.keys), pos)
@@ -158,7 +158,7 @@ class StructuralForecaster(BaseForecaster):
 
         start = F.struct(F.lit(-1).cast("long").alias("pos"), F.col("_a").alias("a"), F.lit(0.0).alias("mu"))
         paths = scan(F.col("_path"), start, step, lambda s: s["mu"])
-        out = held.select(*by, *self.names, F.explode(F.arrays_zip("_path", paths.alias("mu"))).alias("e")).select(*by, *self.names, F.col("e._path.pos").alias(POS), *(F.col(f"e._path.{c}").alias(c) for c in label), F.col("e.mu").alias("mu_future"))
+        out = held.select(*by, *self.names, F.explode(F.arrays_zip("_path", paths.alias("mu"))).alias("_e")).select(*by, *self.names, F.col("_e._path.pos").alias(POS), *(F.col(f"_e._path.{c}").alias(c) for c in label), F.col("_e.mu").alias("mu_future"))
         return self._seen(out, "mu_future", "forecast", seed).select(*by, POS, *label, "mu_future", "forecast")
 
     def _seen(self, rows: DataFrame, mu: str, name: str, seed: int) -> DataFrame:

@@ -143,3 +143,9 @@ def test_events_of_closed_days_are_too_late(spark, tmp_path):
         spark.createDataFrame([(s, DAY + dt.timedelta(days=d, hours=5)) for s, d in rows], "event_type string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     got = {(r.day - DAY.date()).days: r.y for r in local_level(spark, f"{tmp_path}/in", 5.0, 1.0, late="1 day", files_per_batch=1).collect()}
     assert got == {d: float(d in (0, 1, 9)) for d in range(10)}
+
+
+def test_zero_sum_normals(spark):
+    z = spark.range(4000).select(samplers.zero_sum_normal(key_of(2, "z", F.col("id")), F.lit(2.0), 5).alias("z")).toPandas()
+    z = np.array(z.z.to_list())
+    assert np.abs(z.sum(1)).max() < 1e-12 and np.abs(np.cov(z.T) - 4 * (np.eye(5) - 0.2)).max() < 0.3

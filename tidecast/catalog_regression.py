@@ -141,3 +141,24 @@ def conjugate_evidence(spark, d):
     rows = daily(spark, d).filter(F.col(POS) < T_OBS)
     fits = [regression.conjugate(rows, ["series"], _fourier()[:k], F.col("y"), PRECISION[:k], None, SHAPE, RATE).select("series", F.lit(str(k)).alias("model"), rounded("log_evidence").alias("log_evidence")) for k in (2, 4)]
     return fits[0].union(fits[1])
+
+
+#: A level and the effects of six weekdays over the seventh's, which is what they leave of 0.
+DAYS = ["1.0::DOUBLE"] + [f"(CASE isodow(time) WHEN {k + 1} THEN 1.0::DOUBLE WHEN 7 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END)" for k in range(6)]
+_D = range(7)
+
+
+@query(f"""WITH {DAILY}, dd AS (SELECT series, {', '.join(f'{c} AS x{i}' for i, c in enumerate(DAYS))}, y FROM daily),
+s AS (SELECT series, {_sums([f'x{i}' for i in _D])}, {', '.join(f'sum(x{i} * y) AS r{i}' for i in _D)} FROM dd GROUP BY series),
+t AS (SELECT * REPLACE ({', '.join(f'a{i}_{i} + 0.01 AS a{i}_{i}' for i in _D)}) FROM s),
+{solve_sql('v', 't', 'series, ' + ', '.join(f'r{i}' for i in _D), 7)},
+b AS (SELECT series, {', '.join(' + '.join(f'i{i}_{j} * r{j}' for j in _D) + f' AS b{i}' for i in _D)} FROM v)
+SELECT series, k AS weekday, round(CASE k {' '.join(f'WHEN {i} THEN b{i + 1}' for i in range(6))} ELSE -({' + '.join(f'b{i}' for i in range(1, 7))}) END, 6) + 0.0 AS effect FROM b, range(7) g(k)""")
+def weekday_effects(spark, d):
+    """Effects of the weekdays on daily counts, which sum to 0 in each series."""
+    day = F.weekday("time")
+    columns = [F.lit(1.0), *(F.when(day == k, 1.0).when(day == 6, -1.0).otherwise(0.0) for k in range(6))]
+    fit = regression.conjugate(daily(spark, d), ["series"], columns, F.col("y"), [1e-2] * 7)
+    effects = F.slice("coef", 2, 6)
+    whole = F.concat(effects, F.array(-F.aggregate(effects, F.lit(0.0), lambda s, x: s + x)))
+    return fit.select("series", F.posexplode(whole).alias("weekday", "effect")).select("series", F.col("weekday").cast("long").alias("weekday"), rounded("effect").alias("effect"))

@@ -108,3 +108,9 @@ def student(key: Column, degrees: Column) -> Column:
     """A Student number of any degrees of freedom, which may differ by row."""
     return normal(key) * F.sqrt(degrees / (2 * gamma(F.concat_ws("|", key, F.lit("chi")), degrees / 2)))
 
+
+
+def zero_sum_normal(key: Column, sigma: Column, size: int) -> Column:
+    """An array of `size` numbers that sum to 0: normal ones of this deviation less their mean."""
+    z = F.array(*(normal(_numbered(key, F.lit(i))) for i in range(size)))
+    return linalg.let(z, lambda v: linalg.let(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / size, lambda m: F.transform(v, lambda x: sigma * (x - m))))

@@ -44,7 +44,9 @@ def _gp(series: DataFrame, keys: Sequence[str], horizon: int, kernel: Callable[[
         frame = frame.sort_values(POS)
         y, at = frame[value].to_numpy(float), frame[POS].to_numpy()
         where = np.concatenate([at, at[-1] + 1 + np.arange(horizon)])
-        cov = np.array([[kernel(int(a - b)) for b in where] for a in where])
+        # a stationary kernel is asked once for each gap
+        gaps, place = np.unique(np.subtract.outer(where, where), return_inverse=True)
+        cov = np.array([kernel(int(g)) for g in gaps])[place.reshape(len(where), len(where))]
         mean, var = conditional_mvn(np.full(len(where), y.mean()), cov, y, jitter)
         key = [frame[k].iloc[0] for k in keys]
         out = columns(where[len(at) :], mean, var, key)

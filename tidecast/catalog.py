@@ -420,13 +420,13 @@ def posterior_draws(spark, d) -> DataFrame:
     g = F.col("c_nationkey") * 5 + F.instr(F.lit("ABFHM"), F.substring("c_mktsegment", 1, 1)) - 1
     held = read(spark, d, "customer").groupBy(g.cast("long").alias("g")).agg(F.avg("c_acctbal").alias("a"), F.count(F.lit(1)).alias("n"))
     return held.select(
-        (F.col("g") % 2).cast("int").alias("chain"), F.floor(F.col("g") / 2).cast("long").alias("draw"), (F.lit(10.0) + F.col("a") / 2000).alias("intercept"), (F.lit(0.1) + (F.col("n") % 5) * 0.02).alias("slope"),
-        (F.lit(5.0) + F.col("a") / 5000).alias("level"), (F.lit(0.05) + (F.col("n") % 3) * 0.01).alias("drift"), F.lit(0.2).alias("sigma"), F.lit(0.1).alias("obs_sigma"),
+        (F.col("g") % 2).cast("int").alias("chain"), F.floor(F.col("g") / 2).cast("long").alias("draw"), (F.lit(10.0) + F.col("a") / 1999.3).alias("intercept"), (F.lit(0.1) + (F.col("n") % 5) * 0.02).alias("slope"),
+        (F.lit(5.0) + F.col("a") / 4999.7).alias("level"), (F.lit(0.05) + (F.col("n") % 3) * 0.01).alias("drift"), F.lit(0.2).alias("sigma"), F.lit(0.1).alias("obs_sigma"),
     )
 
 
-POST = """post AS MATERIALIZED (SELECT (g % 2)::INTEGER AS chain, (g // 2)::BIGINT AS draw, 10.0::DOUBLE + a / 2000 AS intercept, 0.1::DOUBLE + (n % 5) * 0.02::DOUBLE AS slope,
-5.0::DOUBLE + a / 5000 AS level, 0.05::DOUBLE + (n % 3) * 0.01::DOUBLE AS drift, 0.2::DOUBLE AS sigma, 0.1::DOUBLE AS obs_sigma
+POST = """post AS MATERIALIZED (SELECT (g % 2)::INTEGER AS chain, (g // 2)::BIGINT AS draw, 10.0::DOUBLE + a / 1999.3::DOUBLE AS intercept, 0.1::DOUBLE + (n % 5) * 0.02::DOUBLE AS slope,
+5.0::DOUBLE + a / 4999.7::DOUBLE AS level, 0.05::DOUBLE + (n % 3) * 0.01::DOUBLE AS drift, 0.2::DOUBLE AS sigma, 0.1::DOUBLE AS obs_sigma
 FROM (SELECT c_nationkey * 5 + instr('ABFHM', substr(c_mktsegment, 1, 1)) - 1 AS g, avg(c_acctbal) AS a, count(*) AS n FROM customer GROUP BY 1))"""
 
 

@@ -7,7 +7,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidecast.llm import heap_lloyd, prefix_trie, winnowing
 
